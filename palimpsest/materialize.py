@@ -38,4 +38,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spread(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that comes in at most half as many pieces as there are cores, spread over all cores.
+
+    Small tables are one file with one row group, which would leave all further work to one task.
+    Tables of any size to speak of are returned as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan

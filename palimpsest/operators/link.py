@@ -27,6 +27,7 @@ CONTENT_THRESHOLD = 0.99
 LOOKBACK = 1000
 MIN_BLOCK = 1000
 CELLS = 2_000_000
+BAGS = 32
 
 LINK_SCHEMA = "article string, seq long, prev_seq long, title_match boolean, content_match boolean"
 
@@ -118,29 +119,24 @@ def _block_linker(
             now = seq[rows, None]
             allowed = (seq < now) & (seq >= now - lookback) & (rev != rev[rows, None])
             allowed &= top | ~top[rows, None]
-            same_text = text == text[rows, None]
-            cosine = np.where(same_text, 1.0, unit[rows] @ unit.T)
-            content = allowed & (cosine >= content_threshold)
-            current, position = np.unique(title[rows], return_inverse=True)
-            similar = title_matches([titles[c] for c in current], titles, title_threshold)
-            # Leads share their title by definition.
-            by_title = allowed & (similar[position][:, title] | top[rows, None])
-            newest_content, newest_title = _newest(content), _newest(by_title)
-            pick = np.where(
-                top[rows] & (newest_content >= 0),
-                newest_content,
-                np.maximum(newest_content, newest_title),
+            cosine = np.where(text == text[rows, None], 1.0, unit[rows] @ unit.T)
+            by_content = _newest(allowed & (cosine >= content_threshold))
+            by_title = newest_similar_titles(
+                title[rows], _newest_by_title(allowed, title), by_content - 1, titles, title_threshold
             )
-            at = np.arange(len(rows)), pick
-            found.append((rows, pick, by_title[at], content[at]))
-        rows, pick, by_title, content = (np.concatenate(c) for c in zip(*found, strict=True))
+            # Leads share their title by definition, and a similar text outranks a newer lead.
+            by_title = np.where(top[rows], _newest(allowed), by_title)
+            pick = np.maximum(by_content, by_title)
+            pick = np.where(top[rows] & (by_content >= 0), by_content, pick)
+            found.append((rows, pick, top[rows] | (pick == by_title), pick == by_content))
+        rows, pick, title_match, content_match = (np.concatenate(c) for c in zip(*found))
         return pa.table(
             {
                 "article": table["article"].take(rows),
                 "seq": seq[rows],
                 "prev_seq": pa.array(seq[pick], mask=pick < 0),
-                "title_match": by_title,
-                "content_match": content,
+                "title_match": title_match & (pick >= 0),
+                "content_match": content_match & (pick >= 0),
             }
         )
 
@@ -159,65 +155,116 @@ def _unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
 
 
 def _newest(matches: np.ndarray) -> np.ndarray:
+    """The last true column of each row, or -1."""
     last = matches.shape[1] - 1 - np.argmax(matches[:, ::-1], axis=1)
     return np.where(matches.any(axis=1), last, -1)
 
 
-def title_matches(current: list[str], earlier: list[str], threshold: float) -> np.ndarray:
-    """Which pairs of titles reach the similarity ``1 - edits / longer length``.
+def _newest_by_title(allowed: np.ndarray, title: np.ndarray) -> np.ndarray:
+    """For each row the last allowed column of every title, or -1."""
+    order = np.argsort(title, kind="stable")
+    starts = np.flatnonzero(np.diff(title[order], prepend=-1))
+    columns = np.where(allowed, np.arange(allowed.shape[1]), -1)
+    return np.maximum.reduceat(columns[:, order], starts, axis=1)
 
-    Lengths and character counts bound the number of edits from below, so that the distance itself
-    is computed only for pairs that may still reach the threshold.
+
+def newest_similar_titles(
+    current: np.ndarray, last: np.ndarray, floor: np.ndarray, titles: list[str], threshold: float
+) -> np.ndarray:
+    """For each row the newest column whose title is similar to the row's own, or -1.
+
+    ``last`` holds the newest column of every title; columns up to ``floor`` need not be found. Titles
+    are tried from the newest on, so a row is done with its first match.
     """
-    a, len_a, bag_a = _encoded(current)
-    b, len_b, bag_b = _encoded(earlier)
-    longer = np.maximum(len_a[:, None], len_b)
-    similarity = np.zeros(longer.shape)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bound = 1 - np.abs(len_a[:, None] - len_b) / longer
-        i, j = np.nonzero((longer > 0) & (bound >= threshold))
-        surplus = bag_a[i] - bag_b[j]
-        edits = np.maximum(surplus.clip(min=0).sum(axis=1), (-surplus).clip(min=0).sum(axis=1))
-        keep = 1 - edits / longer[i, j] >= threshold
-    i, j = i[keep], j[keep]
-    order = np.argsort(longer[i, j])
-    i, j = i[order], j[order]
-    start = 0
-    while start < len(i):
+    encoded = _encoded(titles)
+    lengths = encoded[1]
+    longer = np.maximum(lengths[current, None], lengths)
+    gap = np.abs(lengths[current, None] - lengths)
+    bound = np.where(longer > 0, 1 - gap / np.maximum(longer, 1), 0.0)
+    same = np.where(lengths[current] > 0, 1.0, 0.0) >= threshold
+    found = np.where(same, last[np.arange(len(current)), current], -1)
+    possible = (last > np.maximum(floor, found)[:, None]) & (bound >= threshold)
+    order = np.argsort(np.where(possible, -last, 1), axis=1)
+    count = possible.sum(axis=1)
+    start, width = 0, 8
+    open_rows = np.flatnonzero(count)
+    while len(open_rows):
+        tried = order[open_rows, start : start + width]
+        real = np.arange(start, start + tried.shape[1]) < count[open_rows, None]
+        row, column = np.nonzero(real)
+        similar = np.zeros(tried.shape, bool)
+        pairs = current[open_rows[row]], tried[row, column]
+        similar[row, column] = similar_titles(encoded, *pairs, threshold)
+        hit = similar.any(axis=1)
+        match = tried[hit, similar[hit].argmax(axis=1)]
+        found[open_rows[hit]] = last[open_rows[hit], match]
+        start, width = start + width, 2 * width
+        open_rows = open_rows[~hit & (count[open_rows] > start)]
+    return found
+
+
+Encoded = tuple[list[np.ndarray], np.ndarray, np.ndarray]
+
+
+def similar_titles(
+    encoded: Encoded, i: np.ndarray, j: np.ndarray, threshold: float
+) -> np.ndarray:
+    """Which pairs of titles reach the similarity ``1 - edits / longer length``."""
+    points, lengths, bags = encoded
+    pairs, back = np.unique(i.astype(np.int64) * len(lengths) + j, return_inverse=True)
+    similarity = np.zeros(len(pairs))
+    i, j = np.divmod(pairs, len(lengths))
+    longer = np.maximum(lengths[i], lengths[j])
+    order = np.argsort(longer)
+    start = np.searchsorted(longer[order], 1)
+    while start < len(order):
         # Pairs are taken by length, in portions of bounded memory.
-        width = longer[i[start], j[start]]
-        stop = start + max(1, CELLS // (2 * int(width) + 2))
-        p, q = i[start:stop], j[start:stop]
-        distance = _edit_distances(
-            a[p, : len_a[p].max()], len_a[p], b[q, : len_b[q].max()], len_b[q]
-        )
-        similarity[p, q] = 1 - distance / longer[p, q]
-        start = stop
-    return similarity >= threshold
+        rest = longer[order[start:]]
+        cells = np.arange(1, len(rest) + 1) * (rest + BAGS)
+        taken = order[start : start + max(1, np.searchsorted(cells, CELLS))]
+        start += len(taken)
+        # Differing character counts bound the number of edits from below.
+        surplus = bags[i[taken]] - bags[j[taken]]
+        edits = np.maximum(surplus.clip(min=0).sum(axis=1), (-surplus).clip(min=0).sum(axis=1))
+        taken = taken[1 - edits / longer[taken] >= threshold]
+        if len(taken):
+            a, b = i[taken], j[taken]
+            distance = _edit_distances(
+                _padded(points, a), lengths[a], _padded(points, b), lengths[b]
+            )
+            similarity[taken] = 1 - distance / longer[taken]
+    return (similarity >= threshold)[back]
 
 
-def _encoded(titles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _encoded(titles: list[str]) -> Encoded:
+    """Code points, lengths and counts of characters, these by code point modulo ``BAGS``."""
     points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in titles]
     lengths = np.array([len(p) for p in points], np.int64)
-    padded = np.zeros((len(points), lengths.max(initial=0)), np.uint32)
-    bags = np.zeros((len(points), 32), np.int32)
+    bags = np.zeros((len(points), BAGS), np.int32)
     for row, p in enumerate(points):
-        padded[row, : len(p)] = p
-        bags[row] = np.bincount(p % 32, minlength=32)
-    return padded, lengths, bags
+        bags[row] = np.bincount(p % BAGS, minlength=BAGS)
+    return points, lengths, bags
+
+
+def _padded(points: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    distinct, back = np.unique(codes, return_inverse=True)
+    padded = np.zeros((len(distinct), max(len(points[c]) for c in distinct)), np.uint32)
+    for row, code in enumerate(distinct):
+        padded[row, : len(points[code])] = points[code]
+    return padded[back]
 
 
 def _edit_distances(
     a: np.ndarray, len_a: np.ndarray, b: np.ndarray, len_b: np.ndarray
 ) -> np.ndarray:
     """Levenshtein distances of many pairs at once, one row of the tables per step."""
-    steps = np.arange(b.shape[1] + 1)
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
     row = np.tile(steps, (len(a), 1))
     distance = len_b.copy()
     for k in range(a.shape[1]):
         best = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != a[:, k : k + 1]))
-        row = np.column_stack([np.full(len(a), k + 1), best])
-        row = np.minimum.accumulate(row - steps, axis=1) + steps
+        row = np.column_stack([np.full(len(a), k + 1, np.int32), best]) - steps
+        row = np.minimum.accumulate(row, axis=1) + steps
         ended = np.flatnonzero(len_a == k + 1)
         distance[ended] = row[ended, len_b[ended]]
     return distance

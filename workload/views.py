@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import TOP, tokens
-from palimpsest.materialize import cut_lineage
+from palimpsest.materialize import cut_lineage, spread
 from palimpsest.operators.embed import Embed, word_vector_embedding
 
 MIN_COUNT = 5
@@ -14,7 +14,7 @@ EPOCH = 978307200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
