@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import level_stars
 from palimpsest.materialize import cut_lineage
-from palimpsest.operators.ordering import SLICE, carried, slice_by_order, slice_window
+from palimpsest.operators.ordering import SLICE, at_edges, carried, slice_by_order, slice_window
 from palimpsest.operators.sections import filled, outline, with_text
 
 KEY = ["article"]
@@ -31,7 +31,7 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
     )
     # Written first, because range bounds are sampled in a pass of their own over the input.
     sliced = slice_by_order(cut_lineage(outlines, "outlines"), KEY, order)
-    tails = sliced.groupBy(*KEY, SLICE).agg(
+    tails = at_edges(sliced, KEY).groupBy(*KEY, SLICE).agg(
         F.max_by(F.col("sections.mark"), F.struct(*order)).alias("_tail")
     )
     before = carried(tails, KEY, _carried=F.last("_tail"))
@@ -48,7 +48,7 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
         .select(*KEY, SLICE, *order, "user", "sections", "_n", "_upto")
     )
     edits = cut_lineage(changed, "edit-sets")
-    sizes = edits.groupBy(*KEY, SLICE).agg(F.sum("_n").alias("_n"))
+    sizes = at_edges(edits, KEY).groupBy(*KEY, SLICE).agg(F.sum("_n").alias("_n"))
     offsets = carried(sizes, KEY, _offset=F.sum("_n"))
     first = F.col("_upto") - F.col("_n") + F.coalesce("_offset", F.lit(0))
     return (

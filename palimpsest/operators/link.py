@@ -25,7 +25,10 @@ from palimpsest.operators.embed import MAX_CHARS, Embed
 TITLE_THRESHOLD = 0.8
 CONTENT_THRESHOLD = 0.99
 LOOKBACK = 1000
-MIN_BLOCK = 1000
+# Long blocks repeat fewer edits: with the default look-back each edit is sent 1.25 times.
+MIN_BLOCK = 4000
+# Rows of a block taken at a time, and the size of the largest work array.
+STEP = 256
 CELLS = 2_000_000
 BAGS = 32
 
@@ -78,6 +81,8 @@ def attach_previous(edits: DataFrame, links: DataFrame) -> DataFrame:
         F.col("rev_id").alias("prev_rev_id"),
         F.col("section").alias("prev_section"),
     )
+    # Only links that lead somewhere are joined: a null key would gather all others in one task.
+    found = links.filter(F.col("prev_seq").isNotNull()).join(previous, ["article", "prev_seq"])
     match_type = (
         F.when(F.col("seq") == 0, "first-time")
         .when(F.col("prev_seq").isNull(), "none")
@@ -86,19 +91,13 @@ def attach_previous(edits: DataFrame, links: DataFrame) -> DataFrame:
         .otherwise("title")
     )
     distance = F.coalesce(F.col("seq") - F.col("prev_seq"), F.lit(0))
-    return (
-        edits.join(links, ["article", "seq"])
-        .join(previous, ["article", "prev_seq"], "left")
-        .withColumn("match_type", match_type)
-        .withColumn("match_distance", distance)
-        .select(
-            *edits.columns,
-            "prev_content",
-            "prev_rev_id",
-            "prev_section",
-            "match_type",
-            "match_distance",
-        )
+    return edits.join(found, ["article", "seq"], "left").select(
+        *edits.columns,
+        "prev_content",
+        "prev_rev_id",
+        "prev_section",
+        match_type.alias("match_type"),
+        distance.alias("match_distance"),
     )
 
 
@@ -114,21 +113,33 @@ def _block_linker(
         top = np.array([t == TOP for t in titles])[title]
         unit = _unit_rows(table["vec"], len(seq))
         own = np.flatnonzero(table["_own"].to_numpy() == table["_block"].to_numpy())
-        found = []
-        for rows in np.array_split(own, max(1, len(own) * len(seq) // CELLS)):
-            now = seq[rows, None]
-            allowed = (seq < now) & (seq >= now - lookback) & (rev != rev[rows, None])
-            allowed &= top | ~top[rows, None]
-            cosine = np.where(text == text[rows, None], 1.0, unit[rows] @ unit.T)
+        step = max(1, min(STEP, CELLS // (min(lookback, len(seq)) + STEP)))
+        # An article's last edits are also sent on to a block that may hold no edits of its own.
+        found = [(own[:0], own[:0], top[:0], top[:0])]
+        for start in range(0, len(own), step):
+            rows = own[start : start + step]
+            # All that these rows may look back on lies between the first one's reach and the last.
+            low = np.searchsorted(seq, seq[rows[0]] - lookback)
+            near = slice(low, rows[-1] + 1)
+            now, lead = seq[rows, None], top[rows]
+            allowed = (seq[near] < now) & (seq[near] >= now - lookback)
+            allowed &= (rev[near] != rev[rows, None]) & (top[near] | ~lead[:, None])
+            cosine = np.where(text[near] == text[rows, None], 1.0, unit[rows] @ unit[near].T)
             by_content = _newest(allowed & (cosine >= content_threshold))
+            codes, local = np.unique(title[near], return_inverse=True)
             by_title = newest_similar_titles(
-                title[rows], _newest_by_title(allowed, title), by_content - 1, titles, title_threshold
+                np.searchsorted(codes, title[rows]),
+                _newest_by_title(allowed, local),
+                by_content - 1,
+                [titles[c] for c in codes],
+                title_threshold,
             )
             # Leads share their title by definition, and a similar text outranks a newer lead.
-            by_title = np.where(top[rows], _newest(allowed), by_title)
+            by_title = np.where(lead, _newest(allowed), by_title)
             pick = np.maximum(by_content, by_title)
-            pick = np.where(top[rows] & (by_content >= 0), by_content, pick)
-            found.append((rows, pick, top[rows] | (pick == by_title), pick == by_content))
+            pick = np.where(lead & (by_content >= 0), by_content, pick)
+            at = np.where(pick >= 0, pick + low, -1)
+            found.append((rows, at, lead | (pick == by_title), pick == by_content))
         rows, pick, title_match, content_match = (np.concatenate(c) for c in zip(*found))
         return pa.table(
             {

@@ -3,8 +3,8 @@
 A window over ``article`` alone puts a huge article into one task. Here rows are range-partitioned by
 (group, order) instead, so a group spreads over as many slices as its size needs, and every window
 runs per (group, slice). What a slice must know of the slices before it is one row per continued
-group. Ranges are contiguous, so at most one group continues into each slice: the carried table is
-never longer than the number of partitions, which is what makes broadcasting it safe.
+group. Ranges are contiguous, so only the first and the last group of a slice can go on beyond it:
+the tables about them have at most two rows per slice, which is what makes broadcasting them safe.
 """
 
 from __future__ import annotations
@@ -27,11 +27,19 @@ def slice_window(by: list[str], order: list[str]):
     return Window.partitionBy(*by, SLICE).orderBy(*order)
 
 
+def at_edges(sliced: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the first and the last group of every slice."""
+    group = F.struct(*by)
+    ends = sliced.groupBy(SLICE).agg(F.array(F.min(group), F.max(group)).alias("_ends"))
+    edges = ends.select(SLICE, F.inline("_ends"))
+    return sliced.join(F.broadcast(edges), [*by, SLICE], "left_semi")
+
+
 def carried(per_slice: DataFrame, by: list[str], **values: Column) -> DataFrame:
     """Values taken over the earlier slices of a group, for the slices that have any.
 
-    ``per_slice`` holds one row per (group, slice); ``values`` are aggregates such as ``F.sum("n")``
-    or ``F.last("tail")``, evaluated over all earlier slices in order.
+    ``per_slice`` holds one row per (group, slice) at the edges; ``values`` are aggregates such as
+    ``F.sum("n")`` or ``F.last("tail")``, evaluated over all earlier slices in order.
     """
     earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     rows = per_slice.withColumn("_earlier", F.count(F.lit(1)).over(earlier))
@@ -41,9 +49,12 @@ def carried(per_slice: DataFrame, by: list[str], **values: Column) -> DataFrame:
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
-    """Number the rows of each group from 0. ``order`` must be total within a group."""
+    """Number the rows of each group from 0.
+
+    ``order`` must be total within a group. ``df`` is read twice, so it should be a narrow table.
+    """
     sliced = slice_by_order(df, by, order)
-    sizes = sliced.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = at_edges(sliced, by).groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_size"))
     before = carried(sizes, by, _before=F.sum("_size"))
     local = F.row_number().over(slice_window(by, order)) - 1
     numbered = sliced.withColumn("_local", local).join(before, [*by, SLICE], "left")

@@ -27,16 +27,18 @@ def read_api_pages(spark: SparkSession, path: str | list[str], multi_line: bool
 
 
 def corrupt_pages(pages: DataFrame) -> DataFrame:
-    """Responses that are not valid JSON, kept for inspection instead of cutting a history short."""
-    return pages.filter(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
+    """Responses that cannot be read in full, for inspection. Spark wants a parsed column with them."""
+    broken = pages.filter(F.col("_corrupt_record").isNotNull())
+    return broken.select("file", "_corrupt_record", "query")
 
 
 def revisions_from_pages(pages: DataFrame) -> DataFrame:
-    """``(article, rev_id, ts, user, wikitext)`` of all pages that exist.
+    """``(article, rev_id, ts, user, wikitext)`` of all pages that exist, but for corrupt responses.
 
     A page without title goes by the ``requested`` one, if the saved response notes it.
     """
-    found = pages.select("requested", F.explode("query.pages").alias("page_id", "page")).filter(
+    whole = pages.filter(F.col("_corrupt_record").isNull())
+    found = whole.select("requested", F.explode("query.pages").alias("page_id", "page")).filter(
         F.col("page_id") != MISSING_PAGE
     )
     title = F.coalesce("page.title", "requested").alias("article")

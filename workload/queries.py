@@ -213,8 +213,10 @@ def link_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def link_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long histories and a short look-back: each source is one article."""
-    edits = number_rows(views.source_edits(spark, sf_dir), ["article"], ["ts", "rev_id"])
-    edits = cut_lineage(edits, "edits")
+    edits = views.source_edits(spark, sf_dir)
+    keys = edits.select("article", "ts", "rev_id")
+    numbers = number_rows(keys, ["article"], ["ts", "rev_id"]).select("article", "rev_id", "seq")
+    edits = cut_lineage(edits.join(numbers, ["article", "rev_id"]), "edits")
     return linked_columns(link_edits(edits, views.embedding(spark, sf_dir), lookback=LOOKBACK))
 
 
