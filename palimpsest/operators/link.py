@@ -6,13 +6,13 @@ only other leads, and there the newest similar content goes before the newest ti
 
 An edit's match depends on earlier edits only, never on earlier matches, so articles are cut into
 blocks of consecutive edits. Each block is sent together with the ``lookback`` edits before it to one
-task, which bounds a task's group by the look-back, whatever the size of the article, and no pair of
-edits ever leaves a task.
+task, so that what belongs together is bounded by the look-back, whatever the size of the article. A
+task streams through its blocks, and no pair of edits ever leaves it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,9 @@ CONTENT_THRESHOLD = 0.99
 LOOKBACK = 1000
 # Long blocks repeat fewer edits: with the default look-back each edit is sent 1.25 times.
 MIN_BLOCK = 4000
-# Rows of a block taken at a time, and the size of the largest work array.
+# Rows taken at a time, how far their look-back may spread, and the size of other work arrays.
 STEP = 256
+MAX_COLUMNS = 8000
 CELLS = 2_000_000
 BAGS = 32
 
@@ -66,10 +67,9 @@ def find_previous(
     return (
         vectors.withColumn("_own", block)
         .withColumn("_block", F.explode(blocks))
-        .groupBy("article", "_block")
-        .applyInArrow(
-            _block_linker(title_threshold, content_threshold, lookback), LINK_SCHEMA
-        )
+        .repartition("article", "_block")
+        .sortWithinPartitions("article", "_block", "seq")
+        .mapInArrow(_linker(title_threshold, content_threshold, lookback), LINK_SCHEMA)
     )
 
 
@@ -101,11 +101,32 @@ def attach_previous(edits: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _block_linker(
+Batches = Iterator[pa.RecordBatch]
+
+
+def _linker(
     title_threshold: float, content_threshold: float, lookback: int
-) -> Callable[[pa.Table], pa.Table]:
+) -> Callable[[Batches], Batches]:
+    """Links blocks that arrive one after the other, each in order. Small ones are taken together."""
+
+    def link_all(batches: Batches) -> Batches:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest else table
+            # The last block may go on in the next batch.
+            end = int(_block_starts(table)[-1])
+            rest = table.slice(end)
+            if end:
+                yield from link(table.slice(0, end)).to_batches()
+        if rest:
+            yield from link(rest).to_batches()
+
     def link(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("seq")
+        starts = _block_starts(table)
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(table)))
         seq = table["seq"].to_numpy()
         rev = table["rev_id"].to_numpy()
         text = _codes(table["text_id"])[0]
@@ -113,17 +134,22 @@ def _block_linker(
         top = np.array([t == TOP for t in titles])[title]
         unit = _unit_rows(table["vec"], len(seq))
         own = np.flatnonzero(table["_own"].to_numpy() == table["_block"].to_numpy())
-        step = max(1, min(STEP, CELLS // (min(lookback, len(seq)) + STEP)))
         # An article's last edits are also sent on to a block that may hold no edits of its own.
         found = [(own[:0], own[:0], top[:0], top[:0])]
-        for start in range(0, len(own), step):
-            rows = own[start : start + step]
-            # All that these rows may look back on lies between the first one's reach and the last.
-            low = np.searchsorted(seq, seq[rows[0]] - lookback)
+        start = 0
+        while start < len(own):
+            # All that a row may look back on lies between its reach within its block and itself.
+            first = starts[group[own[start]]]
+            reach = seq[own[start]] - lookback
+            low = first + np.searchsorted(seq[first : own[start]], reach)
+            end = np.searchsorted(own, low + MAX_COLUMNS)
+            rows = own[start : min(max(end, start + 1), start + STEP)]
+            start += len(rows)
             near = slice(low, rows[-1] + 1)
             now, lead = seq[rows, None], top[rows]
-            allowed = (seq[near] < now) & (seq[near] >= now - lookback)
-            allowed &= (rev[near] != rev[rows, None]) & (top[near] | ~lead[:, None])
+            allowed = (group[near] == group[rows, None]) & (seq[near] < now)
+            allowed &= (seq[near] >= now - lookback) & (rev[near] != rev[rows, None])
+            allowed &= top[near] | ~lead[:, None]
             cosine = np.where(text[near] == text[rows, None], 1.0, unit[rows] @ unit[near].T)
             by_content = _newest(allowed & (cosine >= content_threshold))
             codes, local = np.unique(title[near], return_inverse=True)
@@ -151,7 +177,14 @@ def _block_linker(
             }
         )
 
-    return link
+    return link_all
+
+
+def _block_starts(table: pa.Table) -> np.ndarray:
+    """The first row of every block; rows of a block follow each other."""
+    article = _codes(table["article"])[0]
+    block = table["_block"].to_numpy()
+    return np.flatnonzero(np.diff(article, prepend=-1) | np.diff(block, prepend=-1))
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
