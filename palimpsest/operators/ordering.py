@@ -28,9 +28,10 @@ def slice_window(by: list[str], order: list[str]):
 
 
 def at_edges(sliced: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of the first and the last group of every slice."""
+    """The rows of the first and the last group of every slice. Groups must not be null."""
     group = F.struct(*by)
-    ends = sliced.groupBy(SLICE).agg(F.array(F.min(group), F.max(group)).alias("_ends"))
+    groups = sliced.select(*by, SLICE).distinct()
+    ends = groups.groupBy(SLICE).agg(F.array(F.min(group), F.max(group)).alias("_ends"))
     edges = ends.select(SLICE, F.inline("_ends"))
     return sliced.join(F.broadcast(edges), [*by, SLICE], "left_semi")
 

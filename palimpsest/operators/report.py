@@ -43,10 +43,11 @@ def match_distance_stats(linked: DataFrame) -> DataFrame:
 
 
 def linking_stats(
-    linked: DataFrame, title_threshold: float, content_threshold: float, lookback: int
+    edits: DataFrame, title_threshold: float, content_threshold: float, lookback: int
 ) -> DataFrame:
+    """Edits linked and texts embedded for it, with the settings in use."""
     # Counting the embedded texts by group keeps the distinct keys spread over the cluster.
-    keys = linked.groupBy("article", "rev_id", "section").agg(F.count(F.lit(1)).alias("n"))
+    keys = edits.groupBy("article", "rev_id", "section").agg(F.count(F.lit(1)).alias("n"))
     return keys.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_edits"),
         F.count(F.lit(1)).alias("n_embeddings"),

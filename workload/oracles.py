@@ -334,11 +334,11 @@ ORACLES = {
         "SELECT article, seq, rev_id, ts_seconds, section FROM items", items=SOURCE_EDITS
     ),
     "title_similarities": sql(
-        """SELECT a.article, a.rev_id, a.pos, a.section, b.section AS next_section,
-        round(1 - CAST(levenshtein(a.section, b.section) AS DOUBLE)
-          / greatest(length(a.section), length(b.section)), 6) AS similarity
-        FROM sections a JOIN sections b
-          ON b.article = a.article AND b.rev_id = a.rev_id AND b.pos = a.pos + 1""",
+        """SELECT article, rev_id, pos, section, next_section,
+        round(1 - CAST(levenshtein(section, next_section) AS DOUBLE)
+          / greatest(length(section), length(next_section)), 6) AS similarity
+        FROM (SELECT *, lead(section) OVER (PARTITION BY article, rev_id ORDER BY pos) AS next_section
+          FROM sections) WHERE next_section IS NOT NULL""",
     ),
     "cosine_pairs": """SELECT a.vec_id, round(list_cosine_similarity(
         CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
@@ -348,6 +348,11 @@ ORACLES = {
         round(CAST(unnest(vec) AS DOUBLE), 6) AS x FROM vectors""",
         items=TURN_EDITS,
     ),
+    "own_embedding": sql(
+        """SELECT article, seq, CAST(length(content) AS DOUBLE) AS n_chars,
+        CAST(length(content) - length(replace(content, ' ', '')) AS DOUBLE) AS n_spaces FROM items""",
+        items=TURN_EDITS,
+    ),
     "link_full": sql(LINK_COLUMNS),
     "link_title": sql(LINK_COLUMNS, links=links(0.8, NEVER, 1000)),
     "link_content": sql(
@@ -417,6 +422,12 @@ ORACLES = {
         """SELECT CAST(d.doc_id AS VARCHAR) AS custom_id, coalesce(response, 'No response') AS response,
         md5(text) AS prompt_md5 FROM documents d LEFT JOIN answers USING (doc_id)""",
     ),
+    "batch_errors": """SELECT CAST(doc_id AS VARCHAR) AS custom_id, '{"code":"blocked"}' AS error
+        FROM labels WHERE toxic = 1""",
+    "scored_prompts": """SELECT CAST(doc_id AS VARCHAR) AS custom_id,
+        CAST(1 + length(text) % 10 AS VARCHAR) AS labels,
+        CAST(1 + length(text) % 10 AS VARCHAR) || '=' || length(text) || ' characters' AS explanations
+        FROM documents""",
     "labelled_history": sql(LABELLED),
     "published_csv": sql(LABELLED),
 }

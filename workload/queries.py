@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.similarity import cosine, title_similarity
 from palimpsest.functions.text import TOP
 from palimpsest.materialize import cut_lineage, scratch_path
 from palimpsest.operators.changes import changed_sections, section_edits
+from palimpsest.operators.embed import column_embedding
 from palimpsest.operators.labels import label_names, parse_answers, taxonomy_names
 from palimpsest.operators.link import link_edits
 from palimpsest.operators.ordering import number_rows
@@ -26,10 +28,11 @@ from palimpsest.operators.report import (
     sections_per_article,
 )
 from palimpsest.operators.sections import split_sections
-from palimpsest.plans.chain import label_edits, link_revisions, prompts_for_model
+from palimpsest.plans.chain import label_edits, link_revisions, prompts_for_model, score
 from palimpsest.sources.api_pages import read_api_pages, revisions_from_pages, write_api_pages
 from palimpsest.sources.batch import (
     join_responses,
+    read_errors,
     read_requests,
     read_responses,
     write_requests,
@@ -133,14 +136,16 @@ def edit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def title_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    within = Window.partitionBy("article", "rev_id").orderBy("pos")
     titles = split_sections(views.revisions(spark, sf_dir)).select(
-        "article", "rev_id", "pos", "section"
-    )
-    following = titles.select(
-        "article", "rev_id", (F.col("pos") - 1).alias("pos"), F.col("section").alias("next_section")
+        "article",
+        "rev_id",
+        "pos",
+        "section",
+        F.lead("section").over(within).alias("next_section"),
     )
     similarity = title_similarity(F.col("section"), F.col("next_section"))
-    return titles.join(following, ["article", "rev_id", "pos"]).select(
+    return titles.filter(F.col("next_section").isNotNull()).select(
         "*", F.round(similarity, 6).alias("similarity")
     )
 
@@ -166,6 +171,23 @@ def mean_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def own_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's model in place of the word vectors."""
+
+    @F.pandas_udf("array<float>")
+    def sizes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), float(t.count(" "))])
+
+    turns = views.turn_edits(spark, sf_dir).select("article", "seq", "content")
+    return column_embedding(sizes)(turns).select(
+        "article",
+        "seq",
+        F.get("vec", F.lit(0)).cast("double").alias("n_chars"),
+        F.get("vec", F.lit(1)).cast("double").alias("n_spaces"),
+    )
+
+
 # Linking
 
 
@@ -241,7 +263,7 @@ def match_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def linking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking_stats(linked_revisions(spark, sf_dir), 0.8, 0.99, 1000)
+    return linking_stats(changed_sections(views.revisions(spark, sf_dir)), 0.8, 0.99, 1000)
 
 
 # Prompts
@@ -409,6 +431,28 @@ def response_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.select("custom_id", "response", digest("prompt").alias("prompt_md5"))
 
 
+@query
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error file with one line per labelled document, of which the toxic ones failed."""
+    path = scratch_path(spark, "errors")
+    error = F.when(F.col("toxic") == 1, F.struct(F.lit("blocked").alias("code")))
+    line = F.struct(F.col("doc_id").cast("string").alias("custom_id"), error.alias("error"))
+    labels = views.table(spark, sf_dir, "labels")
+    labels.select(F.to_json(line).alias("value")).write.text(path)
+    return read_errors(spark, path)
+
+
+@query
+def scored_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts answered by a model function, and the answers parsed."""
+
+    def model(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: f'{{"{1 + len(p) % 10}": "{len(p)} characters"}}')
+
+    parsed = parse_answers(score(source_prompts(spark, sf_dir), model), bundled_taxonomy(spark))
+    return parsed.select("custom_id", joined().alias("labels"), explained().alias("explanations"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain. The answer to a prompt is built from the labels of the edit's document."""
     taxonomy = bundled_taxonomy(spark)
