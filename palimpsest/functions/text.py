@@ -28,8 +28,8 @@ WHITESPACE = "".join(chr(c) for low, high in WHITESPACE_RANGES for c in range(lo
 WS_RANGES = "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in WHITESPACE_RANGES)
 WS = f"[{WS_RANGES}]"
 
-# A heading is found anywhere in a line; the two runs of equal signs may differ in length.
-HEADING = f"(?s)(==+){WS}*(.*?){WS}*(==+)"
+# Whitespace within a line.
+BLANK = f"[{WS_RANGES}&&[^\n]]"
 
 # A token is a run of letters and digits, or one other character that is not whitespace.
 TOKEN = rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{WS_RANGES}]"
@@ -50,17 +50,38 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+# A heading is two runs of at least two equal signs, anywhere in a line and of any lengths, with the
+# title between them. It is taken apart by position: one regex for all of it,
+# ==+ space title space ==+, needs cubic time on a long run of spaces.
+
+
 def is_heading(line: Column) -> Column:
     # The substring test is cheap and spares most lines the regex.
-    return line.contains("==") & line.rlike(HEADING)
+    return line.contains("==") & line.rlike("(?s)==.*==")
+
+
+def _opening(line: Column) -> Column:
+    return F.regexp_extract(line, "==+", 0)
+
+
+def _after_opening(line: Column) -> Column:
+    return F.substr(line, F.instr(line, "==") + F.length(_opening(line)))
+
+
+def _is_closed(line: Column) -> Column:
+    """Whether a second run follows. If not, a run of four or more is both: its last two close."""
+    return _after_opening(line).contains("==")
 
 
 def heading_title(line: Column) -> Column:
-    return strip(F.substring_index(F.regexp_extract(line, HEADING, 2), "/", 1))
+    """The text up to the second run, cut at the first slash."""
+    title = F.substring_index(F.substring_index(_after_opening(line), "==", 1), "/", 1)
+    return F.when(_is_closed(line), strip(title)).otherwise("")
 
 
 def heading_level(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, HEADING, 1)) - 1
+    """One less than the length of the opening run."""
+    return F.length(_opening(line)) - F.when(_is_closed(line), 1).otherwise(3)
 
 
 def level_stars(level: Column) -> Column:

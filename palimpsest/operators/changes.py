@@ -6,10 +6,10 @@ are shuffled once, at the end, to fetch the bodies of the sections that did chan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import level_stars
+from palimpsest.functions.text import bind, level_stars
 from palimpsest.materialize import cut_lineage
 from palimpsest.operators.ordering import SLICE, at_edges, carried, slice_by_order, slice_window
 from palimpsest.operators.sections import filled, outline, with_text
@@ -31,20 +31,25 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
     )
     # Written first, because range bounds are sampled in a pass of their own over the input.
     sliced = slice_by_order(cut_lineage(outlines, "outlines"), KEY, order)
-    tails = at_edges(sliced, KEY).groupBy(*KEY, SLICE).agg(
-        F.max_by(F.col("sections.mark"), F.struct(*order)).alias("_tail")
+    # The last revision of each slice is found on narrow rows before its outline is fetched.
+    last = F.max(F.struct(*order)).alias("_last")
+    lasts = at_edges(sliced.select(*KEY, SLICE, *order), KEY).groupBy(*KEY, SLICE).agg(last)
+    lasts = F.broadcast(lasts.select(*KEY, SLICE, "_last.*"))
+    tails = sliced.join(lasts, [*KEY, SLICE, *order]).select(
+        *KEY, SLICE, F.col("sections.mark").alias("_tail")
     )
     before = carried(tails, KEY, _carried=F.last("_tail"))
     window = slice_window(KEY, order)
     known = F.coalesce("_previous", "_carried", F.array().cast("array<string>"))
+    upto = F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, 0))
     changed = (
         sliced.withColumn("_previous", F.lag("sections.mark").over(window))
         .join(before, [*KEY, SLICE], "left")
-        .withColumn("_new", F.array_except("sections.mark", known))
-        .filter(F.size("_new") > 0)
-        .withColumn("sections", F.filter("sections", lambda s: F.array_contains("_new", s["mark"])))
+        .withColumn("sections", _not_among(known, F.col("sections")))
         .withColumn("_n", F.size("sections").cast("long"))
-        .withColumn("_upto", F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_upto", upto)
+        # Above the window, where the filter cannot be pushed down to compare everything twice.
+        .filter("_n > 0")
         .select(*KEY, SLICE, *order, "user", "sections", "_n", "_upto")
     )
     edits = cut_lineage(changed, "edit-sets")
@@ -59,6 +64,22 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
     )
 
 
+def _not_among(marks: Column, sections: Column) -> Column:
+    """The sections whose fingerprint is not among ``marks``, by sorting both together."""
+    old = F.transform(marks, lambda m: F.struct(m.alias("mark"), F.lit(-1).alias("k")))
+    new = F.transform(sections, lambda s, k: F.struct(s["mark"].alias("mark"), k.alias("k")))
+
+    def fresh(both: Column) -> Column:
+        def is_fresh(entry: Column, i: Column) -> Column:
+            known = F.coalesce(F.get(both, i - 1)["mark"] == entry["mark"], F.lit(False))
+            return (entry["k"] >= 0) & ~known
+
+        numbers = F.transform(F.filter(both, is_fresh), lambda entry: entry["k"])
+        return F.transform(F.sort_array(numbers), lambda k: F.get(sections, k))
+
+    return bind(F.sort_array(F.concat(old, new)), fresh)
+
+
 def _rows(sets: DataFrame) -> DataFrame:
     keep = [c for c in sets.columns if c not in ("sections", "_first", *KEY)]
     # The outer form adds no filter that would compute the sections a second time.

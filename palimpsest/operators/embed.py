@@ -96,9 +96,10 @@ def _embed_by_join(df: DataFrame, word_vectors: DataFrame, dim: int) -> DataFram
     from pyspark.ml.stat import Summarizer
 
     key = ["article", "seq"]
-    # One row per distinct token of a text; a frequent token is spread over the salts.
+    # One row per distinct token of a text; a frequent token is spread over the salts. The outer form
+    # of explode adds no filter that would find the tokens a second time.
     counted = (
-        df.select(*key, F.explode("_tokens").alias("token"))
+        df.select(*key, F.explode_outer("_tokens").alias("token"))
         .groupBy(*key, "token")
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
         .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))

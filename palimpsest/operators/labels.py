@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import WS, bind, strip
+from palimpsest.functions.text import BLANK, WS, bind, strip
 
 # This label is valid whether or not the taxonomy lists it.
 NO_CHANGE = 11
@@ -37,19 +37,23 @@ _STRING = (
 _PAIR = f"{_STRING}{_BLANK}:{_BLANK}{_STRING}{_BLANK}"
 # A flat JSON object of strings. from_json alone is more lenient than JSON.
 FLAT_OBJECT = rf"^{_BLANK}\{{{_BLANK}(?:{_PAIR}(?:,{_BLANK}{_PAIR})*+)?+\}}{_BLANK}\z"
-LABEL_LINE = rf"(?imdu)^{WS}*Labels?{WS}*:{WS}*(.+)$"
-EXPLANATION = rf"(?isu)Explanation{WS}*:{WS}*(.+?)(?:\n{WS}*Labels?{WS}*:|\z)"
-NUMBERS = rf"^[0-9]+(?:{WS}+[0-9]+)*\z"
+# Blank lines before a label line need no matching, which keeps long runs of them cheap.
+LABEL_LINE = rf"(?imdu)^{BLANK}*+Labels?{WS}*:{WS}*(.+)$"
+EXPLANATION = rf"(?isu)Explanation{WS}*:{WS}*(.+?)(?:\n{BLANK}*+Labels?{WS}*:|\z)"
+NUMBERS = rf"^[0-9]++(?:{WS}++[0-9]++)*+\z"
 
 
 def parse_answers(df: DataFrame, taxonomy: DataFrame, response: str = "response") -> DataFrame:
     """Add ``labels``, ``explanations`` and ``parse_status``."""
     answer = F.col(response)
+
+    def validated(items: Column) -> Column:
+        return F.when(_all_valid(items, F.col("_valid")), items)
+
     return (
         df.withColumn("_valid", valid_labels(taxonomy))
         .withColumn("_names", category_numbers(taxonomy))
-        .withColumn("_items", answer_items(answer, F.col("_names")))
-        .withColumn("_items", F.when(_all_valid(F.col("_items"), F.col("_valid")), F.col("_items")))
+        .withColumn("_items", bind(answer_items(answer, F.col("_names")), validated))
         .withColumn("labels", F.array_sort(F.array_distinct("_items.label")))
         .withColumn("explanations", _explanations(F.col("_items")))
         .withColumn("parse_status", F.when(F.col("labels").isNull(), "invalid").otherwise("ok"))
@@ -76,7 +80,8 @@ def answer_items(answer: Column, names: Column) -> Column:
             _text_items(answer)
         )
 
-    fenced = F.when(answer.rlike(FENCE), F.regexp_extract(answer, FENCE, 1)).otherwise(answer)
+    has_fence = answer.contains("```json") & answer.rlike(FENCE)
+    fenced = F.when(has_fence, F.regexp_extract(answer, FENCE, 1)).otherwise(answer)
     return bind(fenced, read)
 
 

@@ -38,6 +38,8 @@ CASES = [
     ("labels:\n2", {2: ""}),
     ("Labels: 5, 5, 1;", {5: "", 1: ""}),
     ("Explanation: two\nlines \nLabel: 7;8", {7: "two\nlines", 8: "two\nlines"}),
+    ("\n \n\u00a0labels :\u00a03\nEXPLANATION : x \n\n \nLabels: 4", {3: "x"}),
+    ("Explanation:\n\nLabels: 1", {1: "Labels: 1"}),
     ("Labels: none", None),
     ("Labels: 12", None),
     ("Labels: ", None),
@@ -79,7 +81,16 @@ def test_long_answers(spark):
     escapes = json.dumps({"1": '"\\' * 20000})
     spaces = "Labels: 1" + " " * 50000 + "x"
     df = spark.createDataFrame(
-        [(0, many), (1, escapes), (2, spaces), (3, "[" * 50000)], "id int, response string"
+        [
+            (0, many),
+            (1, escapes),
+            (2, spaces),
+            (3, "[" * 50000),
+            (4, "Labels: " + "1 " * 50000),
+            (5, "\n" * 100000 + "Labels 1" + "\n" * 100000),
+            (6, "Labels: 4\nExplanation: a" + "\n" * 100000 + "Labels: 5"),
+        ],
+        "id int, response string",
     )
     rows = parse_answers(df, bundled_taxonomy(spark)).orderBy("id").collect()
     assert rows[0].labels == list(range(1, 11))
@@ -87,6 +98,9 @@ def test_long_answers(spark):
     assert rows[1].explanations == {1: '"\\' * 20000}
     assert rows[2].labels == [1]
     assert rows[3].labels is None
+    assert rows[4].labels == [1]
+    assert rows[5].labels is None
+    assert rows[6].explanations == {4: "a"}
 
 
 def test_rates_and_names(spark):

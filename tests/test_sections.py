@@ -74,6 +74,35 @@ def test_changes_of_one_article(spark):
     ]
 
 
+def test_long_lines(spark):
+    lines = ["== " + " " * 100000 + "x", "=" * 100000, "== a" + " " * 100000 + "==", "== " * 30000]
+    rows = [("long", i, i, None, line) for i, line in enumerate(lines)]
+    found = split_sections(revisions(spark, rows)).orderBy("rev_id", "pos").collect()
+    titles = [(r.rev_id, r.section, r.level) for r in found if r.pos]
+    assert titles == [(1, "", 99997), (2, "a", 1), (3, "", 1)]
+
+
+def test_many_sections(spark):
+    texts = ["".join(f"== {i} ==\n{i % 7 + turn * (i % 2)}\n" for i in range(20000)) for turn in (0, 1)]
+    rows = [("many", turn, turn, None, text) for turn, text in enumerate(texts)]
+    edits = changed_sections(revisions(spark, rows)).groupBy("rev_id").count().orderBy("rev_id")
+    assert [tuple(r) for r in edits.collect()] == [(0, 20001), (1, 10000)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_headings_against_a_regex(spark, seed):
+    rng = random.Random(seed)
+    lines = ["".join(rng.choice("===a /\t\u00a0") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    rows = [("r", i, i, None, line) for i, line in enumerate(lines) if line]
+    found = split_sections(revisions(spark, rows)).filter("pos > 0").collect()
+    expected = [
+        (i, title, level)
+        for i, line in enumerate(lines)
+        for title, (level, _) in list(sections_of(line).items())[1:]
+    ]
+    assert sorted((r.rev_id, r.section, r.level) for r in found) == expected
+
+
 def random_text(rng):
     parts = ["", " ", "x", "y z", "\t", "== A ==", "== B ==", "=== B/c ===", "==A==tail", "====",
              "a == b == c", "= no =", " ", "\x1c", "\r"]

@@ -369,7 +369,8 @@ def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parsed_answers(spark, sf_dir)
-    counts = parsed.select(F.explode("labels").alias("label")).groupBy("label").count()
+    # Outer, as the plain form would parse every answer again to find the empty ones.
+    counts = parsed.select(F.explode_outer("labels").alias("label")).groupBy("label").count()
     names = taxonomy_names(bundled_taxonomy(spark)).withColumnRenamed("name", "category")
     return (
         counts.join(names, "label")

@@ -86,7 +86,8 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.col("n")
     return (
         table(spark, sf_dir, "documents")
-        .select(F.explode(tokens(F.col("text"))).alias("token"))
+        .select(F.explode_outer(tokens(F.col("text"))).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .count()
         .filter(F.col("count") >= MIN_COUNT)
