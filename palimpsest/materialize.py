@@ -41,11 +41,18 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return spread(df.sparkSession.read.schema(df.schema).parquet(path))
 
 
+# A full piece of a scan is 128 MB by default, so its parts are still 8 MB.
+PARTS = 16
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan that comes in at most half as many pieces as there are cores, spread over all cores.
+    """A scan that comes in at most half as many pieces as there are cores, cut into more pieces.
 
     Small tables are one file with one row group, which would leave all further work to one task.
     Tables of any size to speak of are returned as they are.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
+    pieces = scan.rdd.getNumPartitions()
+    if 2 * pieces > cores:
+        return scan
+    return scan.repartition(min(cores, PARTS * max(pieces, 1)))

@@ -60,7 +60,7 @@ def column_embedding(embedder: Callable[[Column], Column], max_chars: int = MAX_
 
 def _embed_by_broadcast(df: DataFrame, word_vectors: DataFrame, dim: int) -> DataFrame:
     table = word_vectors.select("token", F.col("vec").cast("array<float>")).toArrow()
-    vectors = table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    vectors = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(table), dim)
     # Unknown tokens point at the extra row of zeros.
     matrix = np.vstack([vectors, np.zeros((1, dim), np.float32)])
     shared = df.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), matrix))

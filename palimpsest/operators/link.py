@@ -193,7 +193,8 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
 
 
 def _unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    vectors = column.combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.float64)
+    numbers = column.combine_chunks().flatten().to_numpy().astype(np.float64)
+    vectors = numbers.reshape(n, len(numbers) // n)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 

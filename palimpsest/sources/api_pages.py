@@ -46,7 +46,7 @@ def revisions_from_pages(pages: DataFrame) -> DataFrame:
     return revisions.select(
         "article",
         F.col("rev.revid").alias("rev_id"),
-        F.to_timestamp("rev.timestamp").alias("ts"),
+        F.try_to_timestamp("rev.timestamp").alias("ts"),
         F.coalesce("rev.user", F.lit(ANONYMOUS)).alias("user"),
         F.col("rev.slots.main").getField("*").alias("wikitext"),
     )

@@ -136,6 +136,16 @@ def test_text_is_cut_before_embedding(spark):
     assert word_vector_embedding(words, max_chars=3)(df).first().vec == [1.0]
 
 
+def test_without_word_vectors_only_titles_and_equal_texts_match(spark):
+    rows = [("x", 0, 1, "A", "t"), ("x", 1, 2, "B", "t"), ("x", 2, 3, "C", "u"), ("x", 3, 4, "C", "v")]
+    edits = spark.createDataFrame(
+        rows, "article string, seq long, rev_id long, section string, content string"
+    )
+    empty = spark.createDataFrame([], "token string, vec array<float>")
+    found = link_edits(edits, word_vector_embedding(empty)).orderBy("seq").collect()
+    assert [r.match_type for r in found] == ["first-time", "content", "none", "title"]
+
+
 def test_own_model_as_embedding(spark):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def lengths(texts):

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.operators.embed import word_vector_embedding
 from palimpsest.plans.chain import label_edits, link_revisions, prompts_for_model, score
 from palimpsest.sources.api_pages import (
     ANONYMOUS,
@@ -43,8 +44,8 @@ def pages(tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()
     saved = [
-        response("12", "CRISPR", revision(1, user="u", **slots("one")), revision(2, **slots("two"))),
-        response("12", "CRISPR", revision(3, user="v"), revision(4, slots={}), revision(5, slots={"main": {}})),
+        response("12", "Plasmid", revision(1, user="u", **slots("one")), revision(2, **slots("two"))),
+        response("12", "Plasmid", revision(3, user="v"), revision(4, slots={}), revision(5, slots={"main": {}})),
         response("-1", "Nowhere", revision(9, **slots("lost"))),
         {**response("7", None, revision(6, **slots("untitled"))), "requested": "Asked"},
         {"query": {"pages": {"8": {"title": "Empty"}}}},
@@ -60,11 +61,11 @@ def test_api_pages(spark, pages):
     rows = revisions_from_pages(read).withColumn("s", F.unix_seconds("ts")).orderBy("rev_id").collect()
     noon = 997358400
     assert [(r.article, r.rev_id, r.s, r.user, r.wikitext) for r in rows] == [
-        ("CRISPR", 1, noon + 1, "u", "one"),
-        ("CRISPR", 2, noon + 2, ANONYMOUS, "two"),
-        ("CRISPR", 3, noon + 3, "v", None),
-        ("CRISPR", 4, noon + 4, ANONYMOUS, None),
-        ("CRISPR", 5, noon + 5, ANONYMOUS, None),
+        ("Plasmid", 1, noon + 1, "u", "one"),
+        ("Plasmid", 2, noon + 2, ANONYMOUS, "two"),
+        ("Plasmid", 3, noon + 3, "v", None),
+        ("Plasmid", 4, noon + 4, ANONYMOUS, None),
+        ("Plasmid", 5, noon + 5, ANONYMOUS, None),
         ("Asked", 6, noon + 6, ANONYMOUS, "untitled"),
     ]
     corrupt = corrupt_pages(read).collect()
@@ -148,6 +149,17 @@ def labelled(spark):
     return label_edits(prompts, score(prompts, model), taxonomy)
 
 
+def test_nothing_in_nothing_out(spark):
+    schema = "article string, rev_id long, ts timestamp, user string, wikitext string"
+    words = spark.createDataFrame([], "token string, vec array<float>")
+    linked = link_revisions(spark.createDataFrame([], schema), word_vector_embedding(words))
+    taxonomy = bundled_taxonomy(spark)
+    prompts = prompts_for_model(linked, taxonomy, taxonomy)
+    answers = spark.createDataFrame([], "custom_id string, response string")
+    result = label_edits(prompts, answers, taxonomy)
+    assert result.columns == COLUMNS and result.isEmpty()
+
+
 def test_chain(labelled):
     assert labelled.columns == COLUMNS
     rows = labelled.orderBy("rev_id", "section").collect()

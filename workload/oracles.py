@@ -345,7 +345,7 @@ ORACLES = {
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "mean_embedding": sql(
         """SELECT article, seq, CAST(generate_subscripts(vec, 1) - 1 AS INT) AS dim,
-        round(CAST(unnest(vec) AS DOUBLE), 6) AS x FROM vectors""",
+        round(CAST(unnest(vec) AS DOUBLE), 6) + 0.0 AS x FROM vectors""",
         items=TURN_EDITS,
     ),
     "own_embedding": sql(
