@@ -80,7 +80,7 @@ FROM (SELECT article, rev_id, ts_seconds, user_name, unnest(string_split(wikitex
 """
 
 SECTIONS = f"""
-SELECT article, rev_id, ts_seconds, user_name, min(k) AS pos, section,
+SELECT article, rev_id, ts_seconds, user_name, CAST(min(k) AS INTEGER) AS pos, section,
   arg_max(level, k) AS level, arg_max(content, k) AS content
 FROM (
   SELECT article, rev_id, ts_seconds, user_name, k,
