@@ -58,7 +58,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """The ``members(bucket, node)`` of buckets that hold two nodes or more."""
     span = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    several = span.filter("lo <> hi").select("bucket")
+    # Such buckets grow with the corpus, so they are never broadcast.
+    several = span.filter("lo <> hi").select("bucket").hint("merge")
     return cut_lineage(members.join(several, "bucket", "left_semi"), "buckets")
 
 

@@ -1,14 +1,16 @@
 """Near-duplicate documents by SimHash, linked through pigeonring filtering.
 
-A fingerprint of 64 bits is cut into ``max_bits + 1`` segments that stand in a ring. If two
+A fingerprint of 64 bits is cut into ``max_bits + 1`` segments that stand in a ring (``max_bits``
+is at most 24, and three segments are the least). If two
 fingerprints differ in at most ``max_bits`` bits, there is a segment from which on every chain of
 consecutive segments stays within its share of the budget: ``l`` segments differ in at most
-``l * max_bits / (max_bits + 1)`` bits. So the first segment of such a chain is equal, and the second
-differs in at most one bit. These two together are the bucket key; the longer chains are tested on the
-candidates before the full Hamming distance is.
+``l * max_bits / (max_bits + 1)`` bits. So the first segment of such a chain is equal, the second
+differs in at most one bit and the first three in at most two. Buckets are made so that all pairs with
+such a chain meet, under keys of 30 bits or more: the first two segments and a part of the third that
+must be equal. The longer chains are tested on the candidates before the full Hamming distance is.
 
 One of two segments that differ in one bit has an even number of ones, so only fingerprints of even
-parity are filed under all neighbours of their second segment: 40 narrow rows for a fingerprint.
+parity are filed under all neighbours of their second segment: about 85 narrow rows for a fingerprint.
 Equal fingerprints are one node from the start.
 
 Rows without text have fingerprint zero. A null ``doc_id`` does not count for the smallest one; where
@@ -38,6 +40,8 @@ SHINGLE = 4
 MAX_BITS = 4
 ROUNDS = 2
 BLOCK = 2000
+# Segments and kinds are numbered above the bits of a key.
+KIND_BIT = 56
 # Shingles whose bits are unpacked at a time.
 STEP = 1 << 16
 
@@ -67,8 +71,9 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment."""
-    edges = [BITS * i // (max_bits + 1) for i in range(max_bits + 2)]
+    """First bit and width of each segment: one more than ``max_bits``, or three."""
+    count = max(3, max_bits + 1)
+    edges = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
@@ -76,23 +81,35 @@ def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+#: Kinds of bucket: how often the second segment differs, and the equal part of the third. A third
+#: segment with two differences left has three parts of which one is equal; with one left, two.
+KINDS = [(0, part, 3) for part in range(3)] + [(1, part, 2) for part in range(2)]
+
+
 def _bucket_keys(fingerprint: Column, max_bits: int) -> Column:
-    """Each key holds the number of its segment, its kind, and the bits of two segments."""
+    """Each key holds the numbers of its segment and kind, and the bits of the segments."""
     segments = _segments(max_bits)
+
+    def field(start: int, size: int) -> Column:
+        return F.shiftrightunsigned(fingerprint, start).bitwiseAND(F.lit((1 << size) - 1))
+
     keys = []
     for i, (at, width) in enumerate(segments):
         nat, nwidth = segments[(i + 1) % len(segments)]
-
-        def field(start: int, size: int) -> Column:
-            return F.shiftrightunsigned(fingerprint, start).bitwiseAND(F.lit((1 << size) - 1))
-
-        first, second = F.shiftleft(field(at, width), nwidth), field(nat, nwidth)
-        own = first.bitwiseOR(second)
-        kind = [F.lit((2 * i + k) << 56) for k in range(2)]
-        flips = [kind[1].bitwiseOR(own.bitwiseXOR(F.lit(1 << b))) for b in range(nwidth)]
+        tat, twidth = segments[(i + 2) % len(segments)]
+        second = field(nat, nwidth)
         even = F.bit_count(second) % 2 == 0
-        keys.append(F.array(kind[0].bitwiseOR(own)))
-        keys.append(F.when(even, F.array(*flips)).otherwise(F.array(kind[1].bitwiseOR(own))))
+        own = F.shiftleft(field(at, width), nwidth).bitwiseOR(second)
+        for number, (apart, part, parts) in enumerate(KINDS):
+            key = F.lit((len(KINDS) * i + number) << KIND_BIT).bitwiseOR(own)
+            low, high = twidth * part // parts, twidth * (part + 1) // parts
+            third = F.shiftleft(field(tat + low, high - low), width + nwidth)
+            key = key.bitwiseOR(third)
+            if apart:
+                flips = F.array(*[key.bitwiseXOR(F.lit(1 << b)) for b in range(nwidth)])
+                keys.append(F.when(even, flips).otherwise(F.array(key)))
+            else:
+                keys.append(F.array(key))
     return F.concat(*keys)
 
 
@@ -100,7 +117,7 @@ def _chains_hold(bucket: Column, difference: Column, max_bits: int) -> Column:
     """Whether all chains from the bucket's segment on stay within their share of the budget."""
     segments = _segments(max_bits)
     count = len(segments)
-    start = F.shiftright(bucket, 57).cast("int")
+    start = F.floor(F.shiftright(bucket, KIND_BIT) / len(KINDS)).cast("int")
     holds = F.lit(True)
     for length in range(2, count + 1):
         masks = []
@@ -153,18 +170,10 @@ def cluster_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFra
     prints = cut_lineage(prints, "fingerprints")
     nodes = prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("least"))
     nodes = cut_lineage(nodes, "nodes")
-    found = near_fingerprints(nodes.select("node"), max_bits) if max_bits else None
-    if found is None:
-        named = nodes.select("node", F.col("node").alias("cluster"), "least")
-        return _with_cluster(prints, named)
+    found = near_fingerprints(nodes.select("node"), max_bits)
     linked = nodes.join(found, "node", "left")
     linked = linked.withColumn("cluster", F.coalesce("component", "node"))
     least = linked.groupBy("cluster").agg(F.min("least").alias("first"))
-    named = linked.select("node", "cluster").join(least, "cluster")
-    return _with_cluster(prints, named.select("node", "cluster", F.col("first").alias("least")))
-
-
-def _with_cluster(prints: DataFrame, named: DataFrame) -> DataFrame:
-    named = named.withColumnRenamed("node", "fingerprint")
+    named = linked.select(F.col("node").alias("fingerprint"), "cluster").join(least, "cluster")
     joined = prints.join(named, "fingerprint")
-    return joined.select(*prints.columns, "cluster", F.col("least").alias("component_id"))
+    return joined.select(*prints.columns, "cluster", F.col("first").alias("component_id"))
