@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import contamination, mixing, sharding, toxicity
 from palimpsest.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +24,100 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_shard_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
 @query
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     hex_digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+ORACLES["op7_mix_sources"] = f"""
+WITH docs AS (
+    SELECT doc_id, source, {WORDS} AS size,
+        ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(text))), 1, 15))::BIGINT
+            AS draw
+    FROM documents
+),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+        [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+    FROM docs GROUP BY source
+),
+-- Sources by how soon they reach their cap; those up to a place are capped, the others share on.
+filling AS (
+    SELECT *, (sum(source_size) OVER () * 1.5
+            - coalesce(sum(2 * source_size) OVER earlier, 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+    FROM sources
+    WINDOW earlier AS (ORDER BY 2 * source_size / weight, source
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+final AS (SELECT max(level) AS level FROM filling
+    WHERE level < 2 * source_size / weight),
+targets AS (
+    SELECT source, source_size, CASE WHEN 2 * source_size <= weight * level
+        THEN (2 * source_size)::DOUBLE ELSE weight * level END AS target
+    FROM sources, final
+),
+draws AS (
+    SELECT d.source, draw, sum(size) AS size,
+        any_value(target - least(floor(target / source_size), 2) * source_size) AS rest
+    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL
+),
+below AS (
+    SELECT source, draw,
+        coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= rest AS more
+    FROM draws
+)
+SELECT doc_id, size, source_size, target,
+    (size * least(least(floor(target / source_size), 2) + more::INT, 2))::BIGINT AS taken
+FROM docs d
+JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+JOIN below b ON d.source IS NOT DISTINCT FROM b.source AND d.draw = b.draw
+"""
+
+
+@query
+def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = contamination.search(docs, items)
+    containment = (F.col("n_shared") / F.col("n_item")).alias("containment")
+    return found.select("doc_id", "item_id", "n_shared", "n_item", containment)
+
+
+SHINGLES = """
+    SELECT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS shingle
+    FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})
+"""
+ORACLES["op8_benchmark_containment"] = f"""
+WITH items AS (SELECT DISTINCT * FROM ({SHINGLES.format(id="item_id", table="benchmark")})),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY ALL),
+docs AS (SELECT DISTINCT * FROM ({SHINGLES.format(id="doc_id", table="documents")})),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared
+    FROM docs JOIN items USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
+"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    held_out = F.coalesce(~toxicity.learnable(F.col("doc_id")), F.lit(True)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", toxicity.predicted().alias("predicted"))
