@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, mixing, sharding, toxicity
+from palimpsest.llm import contamination, mixing, prefix_free, sharding, toxicity
 from palimpsest.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
     held_out = F.coalesce(~toxicity.learnable(F.col("doc_id")), F.lit(True)).alias("held_out")
     return scored.select("doc_id", held_out, "score", toxicity.predicted().alias("predicted"))
+
+
+@query
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
