@@ -22,63 +22,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.filters import passes, permuted, value_filter
 from palimpsest.llm.text import binary, shingle_hashes, words_of
 from palimpsest.materialize import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 32
-# A filter has so many bits for each value, and this power of two at most (16 MB).
-FILTER_RATIO = 16
-FILTER_BITS = 27
-SLICE = 15
 # Shingles that are worked on at a time.
 STEP = 1 << 18
 
-_draw = np.random.default_rng(20240229)
-FACTORS = _draw.integers(1, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _draw.integers(1, 1 << 62, HASHES, np.uint64)
-
-
-def permuted(hashes: np.ndarray, j: int) -> np.ndarray:
-    mixed = (hashes ^ OFFSETS[j]) * FACTORS[j]
-    return (mixed ^ (mixed >> np.uint64(31))) * FACTORS[-1 - j]
-
-
-def value_filter(values: DataFrame) -> tuple[int, Broadcast]:
-    """A bitmap over the top bits of ``values(value)``, and how many bits these are.
-
-    Its size is fixed at ``2**FILTER_BITS`` bits or less. A table too large for it lets more pass, and
-    what passes is joined exactly later on.
-    """
-    count = values.count()
-    bits = int(np.clip(np.ceil(np.log2(max(count, 1) * FILTER_RATIO)), SLICE, FILTER_BITS))
-    slot = F.shiftrightunsigned("value", 64 - bits).alias("slot")
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(1 << SLICE, bool)
-        flags[group["slot"].to_numpy() & ((1 << SLICE) - 1)] = True
-        return pd.DataFrame({"slice": group["slice"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
-
-    slots = values.select(slot).distinct().withColumn("slice", F.shiftright("slot", SLICE))
-    packed = slots.groupBy("slice").applyInPandas(pack, "slice long, bits binary")
-    bitmap = np.zeros((1 << bits) // 8, np.uint8)
-    for row in packed.collect():
-        part = np.frombuffer(row["bits"], np.uint8)
-        bitmap[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
-    return bits, values.sparkSession.sparkContext.broadcast(bitmap)
-
-
-def _passes(values: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
-    slots = values >> np.uint64(64 - bits)
-    return bitmap[slots >> np.uint64(3)] >> (~slots & np.uint64(7)).astype(np.uint8) & 1 == 1
-
 
 def item_sketches(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """``(row, item_id, shingles, n, size_class, minima)`` of the items that have words."""
@@ -163,7 +121,7 @@ def _hits(
                 ends, out = np.cumsum(sizes), []
                 for k, hit in found.items():
                     own = np.unique(hashes[ends[k] - sizes[k] : ends[k]])
-                    own = own[_passes(own, shingles[0], shingles[1].value)]
+                    own = own[passes(own, shingles[0], shingles[1].value)]
                     out.append((rows[k], hit, own.view(np.int64).tolist()))
                 if out:
                     at = pa.array([r for r, _, _ in out])
@@ -233,7 +191,7 @@ def _sketch_hits(
             both[:-1] = np.where(
                 owner[:-1] == owner[1:], np.minimum(least[:-1], least[1:]), least[:-1]
             )
-            for at in np.flatnonzero(_passes(both, bits, bitmap.value)):
+            for at in np.flatnonzero(passes(both, bits, bitmap.value)):
                 value = int(both[at : at + 1].view(np.int64)[0])
                 found.setdefault(int(owner[at]), []).append((size_class, j, value))
     return found

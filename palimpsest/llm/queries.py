@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, mixing, prefix_free, sharding, toxicity
+from palimpsest.llm import contamination, mixing, paragraphs, prefix_free, sharding, toxicity
 from palimpsest.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,12 @@ def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
     digest = F.sha2("kept", 256).alias("kept_sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+@query
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = paragraphs.remove_paragraphs(docs)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    return found.select("doc_id", n_bytes, "n_removed", digest, "keepers")
