@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, mixing, paragraphs, prefix_free, sharding, toxicity
+from palimpsest.llm import (
+    contamination,
+    mixing,
+    paragraphs,
+    prefix_free,
+    quality,
+    sharding,
+    toxicity,
+)
 from palimpsest.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +145,10 @@ def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     return found.select("doc_id", n_bytes, "n_removed", digest, "keepers")
+
+
+@query
+def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    found = quality.quality(docs)
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
