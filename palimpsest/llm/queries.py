@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import (
     contamination,
     mixing,
     paragraphs,
+    pii,
     prefix_free,
     quality,
     sharding,
+    tokens,
     toxicity,
 )
 from palimpsest.llm.simhash import near_duplicates
@@ -152,3 +154,33 @@ def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     found = quality.quality(docs)
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def listed(spans: Column) -> Column:
+        entries = F.transform(
+            F.sort_array(spans),
+            lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"]),
+        )
+        return F.array_join(entries, ",")
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+@query
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs)
