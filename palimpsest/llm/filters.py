@@ -8,7 +8,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A filter has so many bits for each value, and this power of two at most (16 MB).
+# A filter has so many bits for each value if not told else, and this power of two at most (16 MB).
 FILTER_RATIO = 16
 FILTER_BITS = 27
 SLICE = 15
@@ -24,14 +24,14 @@ def permuted(hashes: np.ndarray, j: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * FACTORS[-1 - j]
 
 
-def value_filter(values: DataFrame) -> tuple[int, Broadcast]:
+def value_filter(values: DataFrame, ratio: int = FILTER_RATIO) -> tuple[int, Broadcast]:
     """A bitmap over the top bits of ``values(value)``, and how many bits these are.
 
     Its size is fixed at ``2**FILTER_BITS`` bits or less. A table too large for it lets more pass, and
     what passes is joined exactly later on.
     """
     count = values.count()
-    bits = int(np.clip(np.ceil(np.log2(max(count, 1) * FILTER_RATIO)), SLICE, FILTER_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(count, 1) * ratio)), SLICE, FILTER_BITS))
     slot = F.shiftrightunsigned("value", 64 - bits).alias("slot")
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:

@@ -37,6 +37,8 @@ ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters next to a span in which its neighbouring words are looked for.
 NEAR = 256
 CACHE = 1 << 18
+# There are few patterns and many words, so the filter of patterns is a sparse one.
+FILTER_RATIO = 4096
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -193,7 +195,7 @@ def places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def context_counts(docs: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
     """``(key, total)``: how many places of all texts have each of the contexts ``patterns(key)``."""
-    bits, bitmap = value_filter(patterns.select(F.col("key").alias("value")))
+    bits, bitmap = value_filter(patterns.select(F.col("key").alias("value")), FILTER_RATIO)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -234,7 +236,8 @@ def trusted_patterns(docs: DataFrame, uses: DataFrame, text: str) -> DataFrame:
     sides = graph.groupBy("key").agg(
         F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("others")
     )
-    useful = sides.filter((F.col("others") > 0) & (F.col("seeds") > 0)).select("key")
+    enough = F.col("seeds") + F.col("others") >= MIN_SEEDS
+    useful = sides.filter((F.col("others") > 0) & (F.col("seeds") > 0) & enough).select("key")
     useful = cut_lineage(useful, "patterns")
     schema = "key long, kind int, worth double"
     if useful.isEmpty():
