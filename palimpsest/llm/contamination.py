@@ -34,8 +34,10 @@ from palimpsest.materialize import cut_lineage
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 32
+# A document has thousands of window values, so their filter is a sparse one.
+FILTER_RATIO = 1 << 14
 # Shingles that are worked on at a time.
-STEP = 1 << 18
+STEP = 1 << 16
 
 
 def item_sketches(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -85,7 +87,7 @@ def search(
     classes = sorted(r[0] for r in items.select("size_class").distinct().collect())
     minima = items.select("row", "size_class", F.posexplode("minima").alias("j", "value"))
     shingles = items.select("row", F.explode("shingles").alias("value"))
-    hits = _hits(docs, doc_id, text, classes, value_filter(minima), value_filter(shingles))
+    hits = _hits(docs, doc_id, text, classes, value_filter(minima, FILTER_RATIO), value_filter(shingles))
     hits = cut_lineage(hits.select(F.monotonically_increasing_id().alias("doc"), "*"), "hits")
     agreed = hits.select("doc", F.explode(F.array_distinct("minima")).alias("_m"))
     agreed = agreed.select("doc", "_m.*").join(minima, ["size_class", "j", "value"])
