@@ -8,13 +8,13 @@ its last start, which is as far as the order of suffixes matters here: two suffi
 suffixes of different phrases. The first is settled by grouping the parse, one row per phrase however
 long the repetition; the second needs single suffixes, and only of phrases whose trigger string is
 found in different phrases. Phrases whose trigger string is met in one document only are left out from
-the start. Suffixes are compared by hashes of 128 bits, which takes the place of sorting the
+the start, and so is what a second count shows to be in one document only. Suffixes are compared by hashes of 128 bits, which takes the place of sorting the
 dictionary: only equality to a fixed depth is asked for, and groups of equal suffixes are what a suffix
 array would be read for.
 
-The trigger strings of the corpus are counted by hash range. What comes out are two bitmaps of fixed
-size, of trigger strings seen in several documents and of those seen in several phrases. Where they are
-too small for a corpus, more phrases are looked at, and the result stays the same.
+Both counts go by hash range. What comes out are bitmaps of fixed size, of trigger strings seen in
+several documents, of those seen in several phrases, and of suffixes seen in several documents. Where
+they are too small for a corpus, more is looked at, and the result stays the same.
 
 A row's bytes are removed if a document with a smaller id has them. Null texts are empty. Rows with a
 null id have no order: they are kept whole, and nothing is removed because of them. Rows that share an
@@ -23,7 +23,7 @@ id do not remove each other's bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ CHUNK = 1 << 17
 PLACE = np.uint64((1 << 20) - 1)
 # Each bitmap has so many bits (16 MB).
 FILTER_BITS = 27
+# Phrases that a task remembers.
+SEEN = 1 << 20
 
 _draw = np.random.default_rng(50)
 
@@ -149,63 +151,71 @@ def _ranges(df: DataFrame) -> int:
     return 1 << min(max(6, (4 * partitions - 1).bit_length()), FILTER_BITS - 3)
 
 
-def trigger_filter(rows: DataFrame) -> np.ndarray:
-    """A bitmap of trigger strings seen in several documents, and one of those in several phrases."""
+Keyed = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def key_bitmaps(rows: DataFrame, keyed: Callable[[pa.RecordBatch], Iterable[Keyed]]) -> np.ndarray:
+    """A bitmap of keys met in several rows, and one of those among them with several names.
+
+    ``keyed`` gives arrays of keys, names and row numbers for a batch. Keys are sorted and reduced
+    where they are made and sent in blocks by hash range, with 32 bits of each that the range does not
+    tell and 30 bits of its name. Bitmaps hold a fixed number of slots, so a slot may also be set for
+    another key.
+    """
     ranges = _ranges(rows)
     bits = ranges.bit_length() - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                (c.anchor, c.keys(0, c.low, c.high + LENGTH), c.row)
-                for c in _chunks(binary(batch.column("text")))
-            ]
+            found = list(keyed(batch))
             if not found:
                 continue
-            anchor, phrase, row = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(anchor)
-            anchor, phrase, row = anchor[order], phrase[order], row[order]
-            first = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]))
-            many = np.maximum.reduceat(phrase, first) != np.minimum.reduceat(phrase, first)
+            key, name, row = (np.concatenate(x) for x in zip(*found))
+            if not len(key):
+                continue
+            order = np.argsort(key)
+            key, name, row = key[order], name[order] >> np.uint64(34), row[order]
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+            several = np.maximum.reduceat(name, first) != np.minimum.reduceat(name, first)
             docs = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
-            anchor, phrase = anchor[first], phrase[first]
-            phrase = phrase & ~np.uint64(3) | 2 * many.astype(np.uint64) | docs.astype(np.uint64)
-            # The range stands for the first bits, and 32 of the others tell strings apart.
-            part = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-            rest = (anchor << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+            key, name = key[first], (name[first] << np.uint64(2)).astype(np.uint32)
+            name |= (2 * several + docs).astype(np.uint32)
+            part = (key >> np.uint64(64 - bits)).astype(np.int64)
+            rest = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
             edges = np.searchsorted(part, np.arange(ranges + 1))
             filled = np.flatnonzero(np.diff(edges))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(filled),
                     pa.array([rest[edges[r] : edges[r + 1]].tobytes() for r in filled]),
-                    pa.array([phrase[edges[r] : edges[r + 1]].tobytes() for r in filled]),
+                    pa.array([name[edges[r] : edges[r + 1]].tobytes() for r in filled]),
                 ],
-                ["range", "rest", "phrases"],
+                ["range", "rest", "names"],
             )
 
     slots = (1 << FILTER_BITS) // ranges
 
     def merge(table: pa.Table) -> pa.Table:
         rest = np.frombuffer(b"".join(table["rest"].to_pylist()), np.uint32)
-        phrase = np.frombuffer(b"".join(table["phrases"].to_pylist()), np.uint64)
-        order = np.argsort(rest, kind="stable")
-        rest, phrase = rest[order], phrase[order]
+        name = np.frombuffer(b"".join(table["names"].to_pylist()), np.uint32)
+        order = np.argsort(rest)
+        rest, name = rest[order], name[order]
         first = np.flatnonzero(np.diff(rest.astype(np.int64), prepend=-1))
-        flags = np.bitwise_or.reduceat(phrase, first)
-        name = phrase >> np.uint64(2)
-        many = (flags & np.uint64(2) > 0) | (
+        flags = np.bitwise_or.reduceat(name, first)
+        name = name >> np.uint32(2)
+        several = (flags & np.uint32(2) > 0) | (
             np.maximum.reduceat(name, first) != np.minimum.reduceat(name, first)
         )
-        shared = (flags & np.uint64(1) > 0) | (np.diff(np.append(first, len(rest))) > 1)
+        # Blocks come from different rows, so a key in two of them is in several.
+        shared = (flags & np.uint32(1) > 0) | (np.diff(np.append(first, len(rest))) > 1)
         slot = rest[first] >> np.uint32(32 - FILTER_BITS + bits)
         bitmaps = np.zeros((2, slots), bool)
         bitmaps[0, slot[shared]] = True
-        bitmaps[1, slot[shared & many]] = True
+        bitmaps[1, slot[shared & several]] = True
         packed = [np.packbits(b, bitorder="little").tobytes() for b in bitmaps]
         return pa.table({"range": table["range"][:1], "shared": [packed[0]], "many": [packed[1]]})
 
-    parts = rows.select("text").mapInArrow(emit, "range long, rest binary, phrases binary")
+    parts = rows.mapInArrow(emit, "range long, rest binary, names binary")
     maps = parts.groupBy("range").applyInArrow(merge, "range long, shared binary, many binary")
     bitmaps = np.zeros((2, (1 << FILTER_BITS) // 8), np.uint8)
     for row in maps.toLocalIterator():
@@ -215,43 +225,83 @@ def trigger_filter(rows: DataFrame) -> np.ndarray:
     return bitmaps
 
 
-def suffix_groups(rows: DataFrame, bitmaps: np.ndarray) -> DataFrame:
-    """``(k1, k2, doc_id, text_hash, start, length)`` of phrases and suffixes that may repeat."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmaps)
+def _look(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = key >> np.uint64(64 - FILTER_BITS)
+    return bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
 
-    def look(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        slot = anchor >> np.uint64(64 - FILTER_BITS)
-        return bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+def _triggers(batch: pa.RecordBatch) -> Iterator[Keyed]:
+    for c in _chunks(binary(batch.column("text"))):
+        yield c.anchor, c.keys(0, c.low, c.high + LENGTH), c.row
+
+
+class Suffixes:
+    """The phrases of a batch that may repeat, and the single suffixes of those that need them.
+
+    Of a phrase that a task meets again, the suffixes are given once more only for a smaller or the
+    same id: for larger ids the phrase itself says all that its suffixes could.
+    """
+
+    def __init__(self, bitmaps: np.ndarray) -> None:
+        self.bitmaps = bitmaps
+        self.least: dict[int, object] = {}
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, ...]]:
+        """Chunks with starts and ends in them, and their numbers of phrase."""
+        ids = batch.column("doc_id").to_pylist()
+        if len(self.least) > SEEN:
+            self.least.clear()
+        for c in _chunks(binary(batch.column("text"))):
+            met = _look(self.bitmaps[0], c.anchor)
+            many = np.flatnonzero(_look(self.bitmaps[1], c.anchor) & met)
+            names = c.keys(0, c.low[many], c.high[many] + LENGTH)
+            fresh = np.zeros(len(many), bool)
+            for k, (name, row) in enumerate(zip(names.tolist(), c.row[many].tolist())):
+                known = self.least.get(name)
+                if known is None or ids[row] <= known:
+                    self.least[name] = ids[row]
+                    fresh[k] = True
+            whole, single = np.flatnonzero(met), many[fresh]
+            counts = c.high[single] - c.low[single] + 1
+            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            low = np.concatenate([c.low[whole], np.repeat(c.low[single], counts) + inner])
+            end = np.concatenate([c.high[whole] + LENGTH, low[len(whole) :] + LENGTH])
+            yield c, low, end, np.concatenate([whole, np.repeat(single, counts)])
+
+
+def suffix_groups(rows: DataFrame) -> DataFrame:
+    """``(k1, k2, doc_id, text_hash, start, length)`` of phrases and suffixes met in several rows."""
+    triggers = rows.sparkSession.sparkContext.broadcast(key_bitmaps(rows, _triggers))
+
+    def keyed(batch: pa.RecordBatch) -> Iterator[Keyed]:
+        for c, low, end, phrase in Suffixes(triggers.value)(batch):
+            key = c.keys(0, low, end)
+            yield key, np.zeros(len(key), np.uint64), c.row[phrase]
+
+    repeated = rows.sparkSession.sparkContext.broadcast(key_bitmaps(rows, keyed)[0])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffixes = Suffixes(triggers.value)
         for batch in batches:
-            for c in _chunks(binary(batch.column("text"))):
-                met = look(shared.value[0], c.anchor)
-                many = look(shared.value[1], c.anchor) & met
-                whole = np.flatnonzero(met & ~many)
-                single = np.flatnonzero(many)
-                counts = c.high[single] - c.low[single] + 1
-                inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                low = np.concatenate([c.low[whole], np.repeat(c.low[single], counts) + inner])
-                end = np.concatenate(
-                    [c.high[whole] + LENGTH, low[len(whole) :] + LENGTH]
-                )
-                phrase = np.concatenate([whole, np.repeat(single, counts)])
+            for c, low, end, phrase in suffixes(batch):
+                key = c.keys(0, low, end)
+                kept = np.flatnonzero(_look(repeated.value, key))
+                low, end, phrase = low[kept], end[kept], phrase[kept]
                 row = pa.array(c.row[phrase])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(c.keys(0, low, end).view(np.int64)),
+                        pa.array(key[kept].view(np.int64)),
                         pa.array(c.keys(1, low, end).view(np.int64)),
                         batch.column("doc_id").take(row),
                         batch.column("text_hash").take(row),
-                        pa.array(low + c.shift[phrase]),
-                        pa.array(end - low),
+                        pa.array((low + c.shift[phrase]).astype(np.int32)),
+                        pa.array((end - low).astype(np.int32)),
                     ],
                     ["k1", "k2", "doc_id", "text_hash", "start", "length"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"k1 long, k2 long, doc_id {kind}, text_hash long, start long, length long"
+    schema = f"k1 long, k2 long, doc_id {kind}, text_hash long, start int, length int"
     return rows.mapInArrow(emit, schema)
 
 
@@ -266,12 +316,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.xxhash64(text).alias("text_hash"),
         F.col(text).alias("text"),
     )
-    found = cut_lineage(suffix_groups(rows, trigger_filter(rows)), "suffixes")
+    found = cut_lineage(suffix_groups(rows), "suffixes")
     first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     several = first.filter("lo < hi").select("k1", "k2", "lo")
     later = found.join(several, ["k1", "k2"]).filter("doc_id > lo")
-    span = F.struct(F.col("start").cast("int"), F.col("length").cast("int"))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("spans"))
+    spans = F.collect_list(F.struct("start", "length")).alias("spans")
+    return later.groupBy("doc_id", "text_hash").agg(spans)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,8 +334,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = docs.select(doc_id, text).join(spans, same, "left").select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
-        F.col("spans.col1").alias("starts"),
-        F.col("spans.col2").alias("lengths"),
+        F.col("spans.start").alias("starts"),
+        F.col("spans.length").alias("lengths"),
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
