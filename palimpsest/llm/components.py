@@ -66,20 +66,26 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Links found by holding each bucket against one pivot a round, and what that leaves open.
 
-    A bucket of mutual near copies is tied together by as many checks as it has members. The pivot
-    changes from round to round, nodes already in the pivot's component are not checked again, and
+    A bucket of mutual near copies is tied together by as many checks as it has members. The first
+    pivot is the node whose buckets hold most members, as the original of varied copies does; later ones
+    are drawn. Nodes already in the pivot's component are not checked again, and
     buckets that lie in one component are done. Returned are the links ``(a, b)`` and, of the buckets
     that still span components, the rows ``(bucket, node, label)``: they need an exact check of the
     pairs across labels, and no others.
 
     ``verify`` takes candidates ``(bucket, a, b)`` and returns those that link.
     """
-    open_ = shared.select("bucket", "node", F.col("node").alias("label"))
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    degrees = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("degree"))
+    open_ = shared.join(degrees, "node").select(
+        "bucket", "node", F.col("node").alias("label"), "degree"
+    )
     links = None
     for turn in range(rounds):
         draw = F.xxhash64("node", "bucket", F.lit(turn))
+        order = F.struct(-F.col("degree"), "node") if turn == 0 else draw
         pivots = open_.groupBy("bucket").agg(
-            F.min_by(F.struct("node", "label"), draw).alias("pivot"),
+            F.min_by(F.struct("node", "label"), order).alias("pivot"),
             F.min("label").alias("lo"),
             F.max("label").alias("hi"),
         )

@@ -22,12 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.components import (
-    across_labels,
-    connected_components,
-    pivot_links,
-    shared_buckets,
-)
+from palimpsest.llm.components import connected_components, pivot_links, shared_buckets
 from palimpsest.llm.filters import passes, permuted, value_filter
 from palimpsest.llm.text import SEED, binary, shingle_hashes, words_of
 from palimpsest.materialize import cut_lineage
@@ -38,7 +33,9 @@ RECALL = 0.998
 HASHES = 48
 MIN_WORDS = 20
 ROUNDS = 2
-BLOCK = 2000
+# Nodes of a bucket that are taken together, and columns of a matrix.
+BLOCK = 1000
+WIDTH = 4096
 # Shingles that are worked on at a time.
 STEP = 1 << 17
 
@@ -159,7 +156,69 @@ def linked_classes(
         return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
     links, unsettled = pivot_links(shared, verify, ROUNDS)
-    return connected_components(links.union(verify(across_labels(unsettled, BLOCK))))
+    return connected_components(links.union(_block_links(unsettled, sets, threshold)))
+
+
+def _block_links(unsettled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` that join the labels of ``unsettled(bucket, node, label)`` within buckets.
+
+    Buckets are cut into parts of about ``BLOCK`` nodes, and every two parts of a bucket meet in one
+    block, where all similarities come from one matrix product. Of the links between two labels as
+    many leave the block as join what they join.
+    """
+    sizes = unsettled.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    parts = unsettled.join(sizes, "bucket").withColumn("part", part)
+    rows = parts.select("*", other).select(
+        "bucket",
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        "node",
+        "label",
+    )
+
+    def link(table: pa.Table) -> pa.Table:
+        nodes, back = np.unique(table["label"].to_numpy(), return_inverse=True)
+        lists = table["shingles"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        values, column, count = np.unique(
+            lists.flatten().to_numpy(), return_inverse=True, return_counts=True
+        )
+        row = np.repeat(np.arange(len(size)), size)
+        # Shingles of one node only are shared with none.
+        number = np.cumsum(count > 1) - 1
+        common = count[column] > 1
+        row, column = row[common], number[column[common]]
+        shared = np.zeros((len(size), len(size)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+            a, b = np.searchsorted(column, [first, first + WIDTH])
+            matrix = np.zeros((len(size), WIDTH), np.float32)
+            matrix[row[a:b], column[a:b] - first] = 1
+            shared += matrix @ matrix.T
+        total = size[:, None] + size[None, :] - shared
+        near = (shared >= threshold * total - 1e-9) & (back[:, None] < back[None, :])
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        ids, found = table["node"].to_numpy(), []
+        for x, y in zip(*np.nonzero(near)):
+            low, high = root(back[x]), root(back[y])
+            if low != high:
+                parent[high] = low
+                found.append((ids[x], ids[y]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    given = rows.join(sets, "node").select("bucket", "i", "j", "node", "label", "shingles")
+    return given.groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def repeated_paragraphs(
