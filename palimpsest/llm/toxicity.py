@@ -124,27 +124,28 @@ def train(
 
 
 def _round(rows: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Learns from all rows in order, starting at ``state``; returns ``(slot, z, n)``."""
-    start = None
+    """Learns from all rows in order, starting at ``state``; returns ``(slot, z, n)``.
+
+    The state comes to the task as rows ahead of the texts, so it never passes through the driver.
+    """
+    empty = {"slot": "int", "z": "double", "n": "double"}
+    ahead = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()))
     if state is not None:
-        table = state.toArrow()
-        columns = [table[c].to_numpy() for c in ("slot", "z", "n")]
-        start = rows.sparkSession.sparkContext.broadcast(columns)
+        ahead = ahead.unionByName(state, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
-        if start is not None:
-            slots, zs, ns = start.value
-            z[slots], n[slots] = zs, ns
-        _learn(
-            (
-                pair
-                for batch in batches
-                for pair in zip(binary(batch.column("_text")), batch.column("_mark").to_pylist())
-            ),
-            z,
-            n,
-        )
+
+        def texts() -> Iterator[tuple[bytes, int]]:
+            for batch in batches:
+                known = batch.filter(batch.column("slot").is_valid())
+                slots = known.column("slot").to_numpy()
+                z[slots] = known.column("z").to_numpy()
+                n[slots] = known.column("n").to_numpy()
+                rest = batch.filter(batch.column("slot").is_null())
+                yield from zip(binary(rest.column("_text")), rest.column("_mark").to_pylist())
+
+        _learn(texts(), z, n)
         slots = np.flatnonzero(n).astype(np.int32)
         for at in range(0, len(slots), 100_000):
             part = slots[at : at + 100_000]
@@ -152,8 +153,11 @@ def _round(rows: DataFrame, state: DataFrame | None) -> DataFrame:
                 [pa.array(part), pa.array(z[part]), pa.array(n[part])], ["slot", "z", "n"]
             )
 
-    ordered = rows.repartition(1).sortWithinPartitions("_order", "_id", "_mark", "_text")
-    return ordered.select("_mark", "_text").mapInArrow(run, "slot int, z double, n double")
+    ordered = ahead.repartition(1).sortWithinPartitions(
+        F.col("slot").asc_nulls_last(), "_order", "_id", "_mark", "_text"
+    )
+    narrow = ordered.select("_mark", "_text", "slot", "z", "n")
+    return narrow.mapInArrow(run, "slot int, z double, n double")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
