@@ -118,8 +118,11 @@ def count_tokens(
         raise ValueError(f"the rule must be one of {RULES}")
     added = ["n_tokens", "n_crossing", "n_outside", "section_tokens"]
     kept = docs.select(*[c for c in docs.columns if c not in (*added, text)], text)
-    if sections is not None:
-        span = F.struct(F.col("start").cast("long"), F.col("end").cast("long"))
+    by_line = sections is None
+    if not by_line:
+        span = F.struct(
+            F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")
+        )
         spans = sections.groupBy(F.col(doc_id).alias("_of")).agg(
             F.sort_array(F.collect_list(span)).alias("_spans")
         )
@@ -138,7 +141,7 @@ def count_tokens(
                     continue
                 raw = value.encode()
                 ends = np.cumsum(lengths[coder.encode_ordinary(value)], dtype=np.int64)
-                if sections is None:
+                if by_line:
                     spans = line_spans(raw)
                 else:
                     given = batch.column("_spans")[i].as_py() or []
