@@ -14,11 +14,18 @@ from palimpsest.llm.simhash import cluster_fingerprints, with_fingerprint
 from palimpsest.materialize import cut_lineage
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that no operator adds, and these names by the given ones."""
+    names = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that a model learned from ``labels`` doesn't take for toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    narrow = toxicity.score(docs, model).filter(toxicity.predicted() == 0)
-    return narrow.select(*docs.columns)
+    plain, names = numbered(docs)
+    kept = toxicity.score(plain, model, names["text"]).filter(toxicity.predicted() == 0)
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +53,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source: rows appear as often as they are taken."""
-    return mixing.repeat_taken(mixing.mix(docs)).select(*docs.columns)
+    plain, names = numbered(docs)
+    mixed = mixing.mix(plain, **{c: names[c] for c in ("doc_id", "text", "source")})
+    return mixing.repeat_taken(mixed).select(*names.values()).toDF(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the slot and the shard of each row."""
-    return sharding.place(docs).select(*docs.columns, "slot", "shard")
+    """Adds the slot and the shard of each row, in place of columns of these names."""
+    kept = [c for c in docs.columns if c not in ("slot", "shard")]
+    return sharding.place(docs).select(*kept, "slot", "shard")
 
 
 STAGES = [
