@@ -88,9 +88,10 @@ def level_stars(level: Column) -> Column:
     return F.repeat(F.lit("*"), level)
 
 
-def clip(text: Column, max_chars: int) -> Column:
-    """Text as it is embedded: null counts as empty, longer texts end at ``max_chars``."""
-    return F.substring(F.coalesce(text, F.lit("")), 1, max_chars)
+def clip(text: Column, max_chars: int | None) -> Column:
+    """Text as it is embedded: null counts as empty, and nothing is cut unless ``max_chars`` says so."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
 def tokens(text: Column) -> Column:

@@ -35,9 +35,10 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
     last = F.max(F.struct(*order)).alias("_last")
     lasts = at_edges(sliced.select(*KEY, SLICE, *order), KEY).groupBy(*KEY, SLICE).agg(last)
     lasts = F.broadcast(lasts.select(*KEY, SLICE, "_last.*"))
-    tails = sliced.join(lasts, [*KEY, SLICE, *order]).select(
-        *KEY, SLICE, F.col("sections.mark").alias("_tail")
-    )
+    lasts = lasts.select(*(F.col(c).alias(f"_{c}_last") for c in [*KEY, SLICE, *order]))
+    # Times may be null.
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_last")) for c in [*KEY, SLICE, *order]]
+    tails = sliced.join(lasts, same).select(*KEY, SLICE, F.col("sections.mark").alias("_tail"))
     before = carried(tails, KEY, _carried=F.last("_tail"))
     window = slice_window(KEY, order)
     known = F.coalesce("_previous", "_carried", F.array().cast("array<string>"))

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.text import clip, tokens
 
-MAX_CHARS = 10_000
 TABLE_LIMIT = 256 * 1024 * 1024
 SALTS = 16
 
@@ -25,7 +24,7 @@ Embed = Callable[[DataFrame], DataFrame]
 
 
 def word_vector_embedding(
-    word_vectors: DataFrame, max_chars: int = MAX_CHARS, table_limit: int = TABLE_LIMIT
+    word_vectors: DataFrame, max_chars: int | None = None, table_limit: int = TABLE_LIMIT
 ) -> Embed:
     """An embedding stage: takes rows with ``content``, returns them with ``vec`` in its place.
 
@@ -48,7 +47,7 @@ def word_vector_embedding(
     return embed
 
 
-def column_embedding(embedder: Callable[[Column], Column], max_chars: int = MAX_CHARS) -> Embed:
+def column_embedding(embedder: Callable[[Column], Column], max_chars: int | None = None) -> Embed:
     """An embedding stage around a user's own model, given as a pandas UDF of the text."""
 
     def embed(df: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import TOP, clip
-from palimpsest.operators.embed import MAX_CHARS, Embed
+from palimpsest.functions.text import TOP
+from palimpsest.operators.embed import Embed
 
 TITLE_THRESHOLD = 0.8
 CONTENT_THRESHOLD = 0.99
@@ -48,7 +48,7 @@ def link_edits(
     ``edits`` is read more than once, so it should be a table rather than a long plan. It needs
     ``article, seq, rev_id, section, content`` with ``seq`` counting from 0 within an article.
     """
-    text_id = F.sha2(clip(F.col("content"), MAX_CHARS), 256)
+    text_id = F.sha2(F.coalesce("content", F.lit("")), 256)
     narrow = edits.select(
         "article", "seq", "rev_id", "section", text_id.alias("text_id"), "content"
     )
@@ -188,13 +188,21 @@ def _block_starts(table: pa.Table) -> np.ndarray:
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
-    encoded = column.combine_chunks().dictionary_encode()
+    encoded = column.combine_chunks().fill_null("").dictionary_encode()
     return encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
 
 
 def _unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    numbers = column.combine_chunks().flatten().to_numpy().astype(np.float64)
-    vectors = numbers.reshape(n, len(numbers) // n)
+    """Unit vectors; a null one counts as zero. All others must have the same length."""
+    lists = column.combine_chunks()
+    sizes = np.unique(lists.drop_null().value_lengths().to_numpy())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sizes.tolist()}")
+    width = int(sizes[0]) if len(sizes) else 0
+    vectors = np.zeros((n, width))
+    known = lists.is_valid().to_numpy(zero_copy_only=False)
+    if width:
+        vectors[known] = lists.drop_null().flatten().to_numpy().reshape(-1, width)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 

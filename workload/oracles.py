@@ -13,7 +13,7 @@ from palimpsest.functions.text import TOKEN, WS
 from palimpsest.operators.labels import LABEL_NAMES
 from palimpsest.operators.prompts import FIELDS, bundled_template
 from workload.queries import LOOKBACK, NEVER
-from workload.views import ANSWERS, EPOCH, JSON_ANSWERS, MIN_COUNT, TEXT_ANSWERS
+from workload.views import ANSWERS, EPOCH, JSON_ANSWERS, TEXT_ANSWERS
 
 HEADING = f"(==+){WS}*(.*?){WS}*(==+)"
 
@@ -122,7 +122,7 @@ SELECT CAST(conv_id AS VARCHAR) AS article, turn AS seq, turn AS rev_id, role AS
 WORDS = f"""
 SELECT token, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id
 FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents)
-GROUP BY token HAVING count(*) >= {MIN_COUNT}
+GROUP BY token
 """
 
 # Means are stored as FLOAT; texts without any known token have a vector of zeros.
@@ -130,10 +130,10 @@ VECTORS = f"""
 SELECT article, seq, list(x ORDER BY dim) AS vec FROM (
   SELECT article, seq, d.dim, CAST(coalesce(sum(c * x), 0) / greatest(any_value(n), 1) AS FLOAT) AS x FROM (
     SELECT e.article, e.seq, e.n, s.c, s.vec_id FROM
-      (SELECT article, seq, len(regexp_extract_all(substr(content, 1, 10000), '{TOKEN}')) AS n FROM items) e
+      (SELECT article, seq, len(regexp_extract_all(content, '{TOKEN}')) AS n FROM items) e
       LEFT JOIN (
         SELECT article, seq, vec_id, count(*) AS c FROM (
-          SELECT article, seq, unnest(regexp_extract_all(substr(content, 1, 10000), '{TOKEN}')) AS token
+          SELECT article, seq, unnest(regexp_extract_all(content, '{TOKEN}')) AS token
           FROM items) JOIN words USING (token) GROUP BY ALL) s
       ON s.article = e.article AND s.seq = e.seq) t
   CROSS JOIN (SELECT unnest(range(64)) AS dim) d
@@ -176,7 +176,7 @@ LEFT JOIN items p ON p.article = c.article AND p.seq = c.prev_seq
 
 
 EMBEDDED = """
-SELECT i.article, i.seq, i.rev_id, i.section, substr(i.content, 1, 10000) AS norm_text,
+SELECT i.article, i.seq, i.rev_id, i.section, i.content AS norm_text,
   CAST(v.vec AS DOUBLE[]) AS vec, list_inner_product(v.vec, v.vec) AS norm
 FROM items i JOIN vectors v ON v.article = i.article AND v.seq = i.seq
 """

@@ -9,7 +9,6 @@ from palimpsest.functions.text import TOP, tokens
 from palimpsest.materialize import cut_lineage
 from palimpsest.operators.embed import Embed, word_vector_embedding
 
-MIN_COUNT = 5
 EPOCH = 978307200
 
 
@@ -80,7 +79,7 @@ def turn_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for each token seen at least five times, drawn from ``embeddings`` by its hash."""
+    """A vector for each token, drawn from ``embeddings`` by its hash."""
     embeddings = table(spark, sf_dir, "embeddings")
     n = embeddings.agg(F.count(F.lit(1))).scalar()
     slot = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.col("n")
@@ -90,7 +89,6 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("token").isNotNull())
         .groupBy("token")
         .count()
-        .filter(F.col("count") >= MIN_COUNT)
         .withColumn("n", n)
         .select("token", slot.alias("vec_id"))
         .join(embeddings, "vec_id")
