@@ -34,7 +34,7 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
     # The last revision of each slice is found on narrow rows before its outline is fetched.
     last = F.max(F.struct(*order)).alias("_last")
     lasts = at_edges(sliced.select(*KEY, SLICE, *order), KEY).groupBy(*KEY, SLICE).agg(last)
-    lasts = F.broadcast(lasts.select(*KEY, SLICE, "_last.*"))
+    lasts = lasts.select(*KEY, SLICE, "_last.*")
     lasts = lasts.select(*(F.col(c).alias(f"_{c}_last") for c in [*KEY, SLICE, *order]))
     # Times may be null.
     same = [F.col(c).eqNullSafe(F.col(f"_{c}_last")) for c in [*KEY, SLICE, *order]]

@@ -4,7 +4,8 @@ A window over ``article`` alone puts a huge article into one task. Here rows are
 (group, order) instead, so a group spreads over as many slices as its size needs, and every window
 runs per (group, slice). What a slice must know of the slices before it is one row per continued
 group. Ranges are contiguous, so only the first and the last group of a slice can go on beyond it:
-the tables about them have at most two rows per slice, which is what makes broadcasting them safe.
+the tables about them have at most two rows per slice. How they are joined is left to Spark, as they
+grow with the number of slices.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def at_edges(sliced: DataFrame, by: list[str]) -> DataFrame:
     groups = sliced.select(*by, SLICE).distinct()
     ends = groups.groupBy(SLICE).agg(F.array(F.min(group), F.max(group)).alias("_ends"))
     edges = ends.select(SLICE, F.inline("_ends"))
-    return sliced.join(F.broadcast(edges), [*by, SLICE], "left_semi")
+    return sliced.join(edges, [*by, SLICE], "left_semi")
 
 
 def carried(per_slice: DataFrame, by: list[str], **values: Column) -> DataFrame:
@@ -46,7 +47,7 @@ def carried(per_slice: DataFrame, by: list[str], **values: Column) -> DataFrame:
     rows = per_slice.withColumn("_earlier", F.count(F.lit(1)).over(earlier))
     for name, value in values.items():
         rows = rows.withColumn(name, value.over(earlier))
-    return F.broadcast(rows.filter("_earlier > 0").select(*by, SLICE, *values))
+    return rows.filter("_earlier > 0").select(*by, SLICE, *values)
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
