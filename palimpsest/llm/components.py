@@ -26,19 +26,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     edges = cut_lineage(edges.distinct(), "edges")
-    before = None
-    while True:
-        after = edges.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("sum")
-        ).first()
-        if after == before or not after["n"]:
-            break
-        before = after
+    while not _are_stars(edges):
         edges = cut_lineage(_small_star(_large_star(edges)), "edges")
     least = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge only and is no smaller end: nothing is left to move."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.filter("up > 1 OR (up = 1 AND down = 1)").count() == 0
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the least of its neighbours and itself."""
     both = edges.union(edges.select("b", "a"))
@@ -69,8 +70,8 @@ def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFra
     A bucket of mutual near copies is tied together by as many checks as it has members. The first
     pivot is the node whose buckets hold most members, as the original of varied copies does; later ones
     are drawn. Nodes already in the pivot's component are not checked again, and
-    buckets that lie in one component are done. Returned are the links ``(a, b)`` and, of the buckets
-    that still span components, the rows ``(bucket, node, label)``: they need an exact check of the
+    buckets that lie in one component are done. Returned are edges ``(a, b)`` that tie each node linked
+    so far to the least of its component and, of the buckets that still span components, the rows ``(bucket, node, label)``: they need an exact check of the
     pairs across labels, and no others.
 
     ``verify`` takes candidates ``(bucket, a, b)`` and returns those that link.
@@ -80,7 +81,7 @@ def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFra
     open_ = shared.join(degrees, "node").select(
         "bucket", "node", F.col("node").alias("label"), "degree"
     )
-    links = None
+    stars = None
     for turn in range(rounds):
         draw = F.xxhash64("node", "bucket", F.lit(turn))
         order = F.struct(-F.col("degree"), "node") if turn == 0 else draw
@@ -94,9 +95,10 @@ def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFra
         candidates = held.filter("label <> pivot.label").select(
             "bucket", F.col("pivot.node").alias("a"), F.col("node").alias("b")
         )
-        found = verify(candidates).select("a", "b").distinct()
-        links = cut_lineage(links.union(found) if links else found, "links")
-        labels = connected_components(links)
+        found = verify(candidates).select("a", "b")
+        # The stars so far say all that the earlier links do, in fewer rows.
+        labels = connected_components(stars.union(found) if stars else found)
+        stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         open_ = (
             held.select("bucket", "node")
             .join(labels, "node", "left")
@@ -104,7 +106,7 @@ def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFra
         )
     span = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     unsettled = span.filter("lo <> hi").select("bucket")
-    return links, cut_lineage(open_.join(unsettled, "bucket", "left_semi"), "unsettled")
+    return stars, cut_lineage(open_.join(unsettled, "bucket", "left_semi"), "unsettled")
 
 
 def across_labels(open_: DataFrame, block: int) -> DataFrame:
