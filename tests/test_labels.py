@@ -13,12 +13,12 @@ CASES = [
     ('t ```json\n{"2":"x"}\n``` t', {2: "x"}),
     ('{"1":"a","1":"b"}', {1: "a b"}),
     ('{"1":"a","01":"b"}', {1: "a b"}),
-    ('{"1":"a","New Scientific Information":"b"}', {1: "a b"}),
-    ('{" wikilink added ":"x"}', {9: "x"}),
+    ('{"1":"a","Event Reported":"b"}', {1: "a b"}),
+    ('{" worked example ":"x"}', {9: "x"}),
     ('{"11":"x"}', {11: "x"}),
     ('{" +1 ":"x"}', {1: "x"}),
     ('{"1":"a \\"quoted\\" \\u00e9 \\n"}', {1: 'a "quoted" é'}),
-    ('{"12":"x"}', None),
+    ('{"14":"x"}', None),
     ('{"1":"a","99":"b"}', None),
     ('{"-1":"x"}', None),
     ('{"1.0":"x"}', None),
@@ -34,14 +34,14 @@ CASES = [
     ("Labels: 1\nExplanation: why", {1: "why"}),
     ("Labels: 3 4 6", {3: "", 4: "", 6: ""}),
     ("Labels: 3 and 4", {3: ""}),
-    ("Labels: 1. New Scientific Information, 4. Terms.", {1: "", 4: ""}),
+    ("Labels: 1. Event Reported, 4. Terms.", {1: "", 4: ""}),
     ("labels:\n2", {2: ""}),
     ("Labels: 5, 5, 1;", {5: "", 1: ""}),
     ("Explanation: two\nlines \nLabel: 7;8", {7: "two\nlines", 8: "two\nlines"}),
     ("\n \n\u00a0labels :\u00a03\nEXPLANATION : x \n\n \nLabels: 4", {3: "x"}),
     ("Explanation:\n\nLabels: 1", {1: "Labels: 1"}),
     ("Labels: none", None),
-    ("Labels: 12", None),
+    ("Labels: 14", None),
     ("Labels: ", None),
     ("**Labels:** 1", None),
     ("Labels: 99999999999999", None),
@@ -109,7 +109,7 @@ def test_rates_and_names(spark):
     assert tuple(parse_rate(result).first()) == (1, 2)
     assert [r.id for r in failed_answers(result).collect()] == [2]
     names = {r.label: r.name for r in taxonomy_names(bundled_taxonomy(spark)).collect()}
-    assert names[2] == "Scientific Information Removed" and names[11] == "Non Scientific Edit"
+    assert names[2] == "Date Corrected" and names[11] == "Non Scientific Edit"
     assert {r.label: r.name for r in label_names(spark).collect()}[2] == "Clarification Added"
 
 

@@ -54,10 +54,10 @@ def test_prompts(spark, taxonomies):
 def test_bundled_data(spark):
     full = {r.label for r in bundled_taxonomy(spark).collect()}
     first = {r.label for r in bundled_taxonomy(spark, first_time=True).collect()}
-    assert full == set(range(1, 11)) and first == {4, 5, 7, 9, 10}
+    assert full == {*range(1, 11), 12, 13} and first == {1, 3, 4, 7, 8, 9}
     df = spark.createDataFrame([("A", 0, "S", "t", None, None, "none")], LINKED)
     prompt = build_prompts(df, bundled_taxonomy(spark), bundled_taxonomy(spark, True)).first().prompt
-    assert 'section "S"' in prompt and '    "7": "The section' in prompt
+    assert "Section: S" in prompt and "\n9. Worked Example: " in prompt and "matters for A is" in prompt
 
 
 def test_the_taxonomy_is_not_joined(spark, taxonomies, capsys):

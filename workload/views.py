@@ -105,7 +105,7 @@ JSON_ANSWERS = [
     '{{"{0}": "from {2}"}}',
     'Here it is:\n```json\n{{"{0}": " from {2} ", "{1}": "also"}}\n```\nDone.',
     '{{"{0}": "from {2}", "0{0}": "again"}}',
-    '{{" WIKILINK added ":"from {2}", "9": "again"}}',
+    '{{" WORKED example ":"from {2}", "9": "again"}}',
 ]
 TEXT_ANSWERS = [
     "Explanation: from {2}\nLabels: {0}, {1}.",
