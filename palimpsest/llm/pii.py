@@ -7,7 +7,7 @@ with ``MIN_DIGITS`` digits. Patterns and instances make a graph that Spark score
 worth the share of its places, among all places of the corpus, that instances of one kind take up; an
 instance that is no seed is worth its best pattern. Patterns with ``MIN_SEEDS`` different instances and
 a share of ``ACCEPT`` mark their other instances as data of that kind, and these support patterns in the
-next turn.
+next turn, also patterns without a seed. Worths only rise, and turns end when no further pattern can hold.
 
 Base spans are always kept. Null texts are empty. Rows are told apart by a number of their own, so
 repeated and null ids do no harm.
@@ -32,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_DIGITS = 6
 MIN_SEEDS = 3
 ACCEPT = 0.5
-TURNS = 3
+# Turns that add no pattern go on only while worths rise by more and could lift one over ``ACCEPT``.
+SETTLED = 1e-6
 ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters next to a span in which its neighbouring words are looked for.
 NEAR = 256
@@ -231,40 +232,55 @@ def trusted_patterns(docs: DataFrame, uses: DataFrame, text: str) -> DataFrame:
     graph = uses.groupBy("key", "instance", "kind").agg(F.count(F.lit(1)).alias("n"))
     graph = cut_lineage(graph, "graph")
     seeds = graph.filter("kind IS NOT NULL").select("instance", "kind").distinct()
-    seeds = seeds.withColumn("worth", F.lit(1.0))
+    seeds = cut_lineage(seeds.withColumn("worth", F.lit(1.0)), "seeds")
     # Only patterns with candidates can mark anything, and only those with enough instances hold.
     sides = graph.groupBy("key").agg(
-        F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("others")
+        F.sum("n").alias("used"),
+        F.count(F.lit(1)).alias("instances"),
+        F.count_if(F.col("kind").isNull()).alias("others"),
     )
-    enough = F.col("seeds") + F.col("others") >= MIN_SEEDS
-    useful = sides.filter((F.col("others") > 0) & (F.col("seeds") > 0) & enough).select("key")
-    useful = cut_lineage(useful, "patterns")
-    schema = "key long, kind int, worth double"
-    if useful.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    totals = context_counts(docs, useful, text)
-    used = graph.join(useful, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("used"))
-    totals = used.join(totals, "key", "left").select(
-        "key", F.greatest("used", F.coalesce("total", F.lit(0))).alias("total")
-    )
-    totals = cut_lineage(totals, "totals")
-    edges = graph.join(useful, "key", "left_semi").select("key", "instance", "n", "kind")
-    edges = cut_lineage(edges, "edges")
-    worth, held = seeds, None
-    for _ in range(TURNS):
+    sides = sides.filter((F.col("others") > 0) & (F.col("instances") >= MIN_SEEDS))
+    edges = graph.join(sides.select("key", "used"), "key")
+    edges = cut_lineage(edges.select("key", "used", "instance", "n", "kind"), "edges")
+    spark = docs.sparkSession
+    totals = spark.createDataFrame([], "key long, total long")
+    held = spark.createDataFrame([], "key long, kind int, worth double")
+    others = edges.filter("kind IS NULL").select("key", "instance")
+    worth, n_held, mass = seeds, 0, 0.0
+    while True:
         weighed = edges.drop("kind").join(worth, "instance")
         shares = weighed.groupBy("key", "kind").agg(
             F.sum(F.col("n") * F.col("worth")).alias("mass"),
+            F.sum("n").alias("most"),
             F.approx_count_distinct("instance").alias("instances"),
+            F.first("used").alias("used"),
         )
+        # The others cannot hold before more instances are marked, whatever their totals are.
+        able = (F.col("instances") >= MIN_SEEDS) & (F.col("most") >= ACCEPT * F.col("used"))
+        shares = cut_lineage(shares.filter(able), "shares")
+        fresh = shares.select("key", "used").distinct().join(totals, "key", "left_anti")
+        fresh = cut_lineage(fresh, "patterns")
+        if not fresh.isEmpty():
+            met = fresh.join(context_counts(docs, fresh, text), "key", "left").select(
+                "key", F.greatest("used", F.coalesce("total", F.lit(0))).alias("total")
+            )
+            totals = totals.unionByName(cut_lineage(met, "totals"))
         shares = shares.join(totals, "key").withColumn("worth", F.col("mass") / F.col("total"))
-        good = (F.col("worth") >= ACCEPT) & (F.col("instances") >= MIN_SEEDS)
-        held = cut_lineage(shares.filter(good).select("key", "kind", "worth"), "held")
-        others = edges.filter("kind IS NULL").select("key", "instance")
+        good = F.col("worth") >= ACCEPT
+        # With marked instances worth as much as seeds, which their worth can only come near.
+        open_ = ~good & (F.col("most") >= ACCEPT * F.col("total"))
+        shares = cut_lineage(shares.select("key", "kind", "worth", open_.alias("open")), "shares")
+        held = shares.filter(good).select("key", "kind", "worth")
+        now = shares.agg(
+            F.count_if(good), F.sum(F.when(good, F.col("worth"))), F.count_if("open")
+        ).first()
+        more, risen = now[0] > n_held, (now[1] or 0.0) - mass > SETTLED
+        n_held, mass = now[0], now[1] or 0.0
+        if not more and not (now[2] and risen):
+            return held
         marked = others.join(held, "key").groupBy("instance", "kind").agg(F.max("worth").alias("worth"))
         fresh = marked.join(seeds.select("instance", "kind"), ["instance", "kind"], "left_anti")
         worth = cut_lineage(seeds.unionByName(fresh), "worth")
-    return held
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -183,6 +183,23 @@ def test_personal_data(docs, empty, spark):
     assert added.pop(12) == [(3, 12, 22)] and not any(added.values())
 
 
+def found_spans(spark, texts):
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_personal_data(given).collect()
+    return {r["doc_id"]: [tuple(a) for a in r["added"]] for r in found if r["added"]}
+
+
+def test_personal_data_turns(spark):
+    """What a turn marks supports patterns that no seed stands in, over several hops."""
+    a, b, c, d, e = (f"555010444{k}" for k in range(5))
+    texts = [f"please dial +1 555 010 {1000 + i} now" for i in range(12)]
+    texts += [f"please dial {v} now" for v in (a, b, c)]
+    texts += [f"your member no {v} here" for v in (a, b, c, d)]
+    texts += [f"old account id {v} closed" for v in (b, c, d, e)]
+    texts += ["we made 5550105555 units"]
+    assert sorted(found_spans(spark, texts)) == list(range(12, 23))
+
+
 def test_quality(docs, rows, empty, spark):
     def base(text):
         text = text or ""
