@@ -245,14 +245,19 @@ def trusted_patterns(docs: DataFrame, uses: DataFrame, text: str) -> DataFrame:
     spark = docs.sparkSession
     totals = spark.createDataFrame([], "key long, total long")
     held = spark.createDataFrame([], "key long, kind int, worth double")
+    # One row for each pattern and instance, so that instances are counted exactly.
+    places_of = edges.groupBy("key", "instance").agg(
+        F.sum("n").alias("n"), F.first("used").alias("used")
+    )
+    places_of = cut_lineage(places_of, "instances")
     others = edges.filter("kind IS NULL").select("key", "instance")
     worth, n_held, mass = seeds, 0, 0.0
     while True:
-        weighed = edges.drop("kind").join(worth, "instance")
+        weighed = places_of.join(worth, "instance")
         shares = weighed.groupBy("key", "kind").agg(
             F.sum(F.col("n") * F.col("worth")).alias("mass"),
             F.sum("n").alias("most"),
-            F.approx_count_distinct("instance").alias("instances"),
+            F.count(F.lit(1)).alias("instances"),
             F.first("used").alias("used"),
         )
         # The others cannot hold before more instances are marked, whatever their totals are.

@@ -200,6 +200,16 @@ def test_personal_data_turns(spark):
     assert sorted(found_spans(spark, texts)) == list(range(12, 23))
 
 
+def test_personal_data_exact_instances(spark):
+    """Three instances are three, also where an estimate by registers says two."""
+    rows = [(key, 4 * key + i, 3 if i else None) for key in range(2000) for i in range(4)]
+    uses = spark.createDataFrame(rows, "key long, instance long, kind int")
+    estimate = F.approx_count_distinct("instance").alias("n")
+    assert uses.filter("kind = 3").groupBy("key").agg(estimate).filter("n < 3").count() > 0
+    texts = spark.createDataFrame([("a b c",)], "text string")
+    assert pii.trusted_patterns(texts, uses, "text").count() == 2000
+
+
 def test_quality(docs, rows, empty, spark):
     def base(text):
         text = text or ""
