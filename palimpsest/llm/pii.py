@@ -2,8 +2,9 @@
 
 The base finds e-mail addresses, IPv4 addresses, card and phone numbers by their form. These are the
 seeds of a bootstrapped extraction. A pattern is the words around a place: the word before, the two
-words before, or the words before and after. Instances are the seeds and all words with an at sign or
-with ``MIN_DIGITS`` digits. Patterns and instances make a graph that Spark scores by turns: a pattern is
+words before, or the words before and after. Instances are the seeds, all runs of
+digit groups joined by spaces, brackets, dots or hyphens, and all other words with an at sign or a digit.
+Patterns and instances make a graph that Spark scores by turns: a pattern is
 worth the share of its places, among all places of the corpus, that instances of one kind take up; an
 instance that is no seed is worth its best pattern. Patterns with ``MIN_SEEDS`` different instances and
 a share of ``ACCEPT`` mark their other instances as data of that kind, and these support patterns in the
@@ -29,7 +30,6 @@ from palimpsest.llm.text import SEED, binary, words_of
 from palimpsest.materialize import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS = 6
 MIN_SEEDS = 3
 ACCEPT = 0.5
 # Turns that add no pattern go on only while worths rise by more and could lift one over ``ACCEPT``.
@@ -50,6 +50,10 @@ MARK = re.compile(r"[0-9@]")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DIGIT = re.compile(r"[0-9]")
+# Digit groups of a word, and of several words. A dot before a space ends a sentence.
+GROUPS = re.compile(r"[0-9]++(?:[().-]++[0-9]++)*+")
+RUN = re.compile(r"[0-9]++(?:(?:(?!\.\x20)[\x20().-])++[0-9]++)*+")
+WORD_END = re.compile(f"[{re.escape(ENDS)}]*+(?![^\\x20\\x09-\\x0D])")
 
 SINGLE, PAIR, AROUND, MIX = (
     np.uint64(m)
@@ -94,8 +98,22 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [list(_emails(text)) if "@" in text else [], ips, cards, phones]
 
 
+def _run_end(text: str, begin: int, end: int, limit: int) -> int:
+    """Where the digit groups that start at ``begin`` end, at the end of a word; else ``end``."""
+    run = RUN.match(text, begin, limit)
+    while run and run.end() > end:
+        if WORD_END.match(text, run.end()):
+            return run.end()
+        # The last group is the start of another word.
+        run = RUN.match(text, begin, text.rfind(" ", begin, run.end()))
+    return end
+
+
 def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with an at sign or enough digits, without punctuation at their ends, off the base."""
+    """Runs of digit groups, and other words with a digit or an at sign, off the base.
+
+    They go without punctuation at their ends.
+    """
     at = k = 0
     while found := MARK.search(text, at):
         start = found.start()
@@ -109,7 +127,10 @@ def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         clear = k == len(taken) or taken[k][0] >= at
-        if clear and ("@" in text[begin:end] or len(DIGIT.findall(text[begin:end])) >= MIN_DIGITS):
+        if clear and MARK.search(text, begin, end):
+            if GROUPS.fullmatch(text, begin, end):
+                end = _run_end(text, begin, end, taken[k][0] if k < len(taken) else len(text))
+                at = max(at, end)
             yield begin, end
 
 
@@ -131,11 +152,14 @@ def _patterns(one: np.ndarray, two: np.ndarray, after: np.ndarray) -> np.ndarray
 
 def _context(text: str, start: int, end: int) -> list[int]:
     """The pattern keys of a place; none at the very start of a text."""
-    before = WORD.findall(text, max(0, start - NEAR), start)[-2:]
-    after = WORD.search(text, end, min(len(text), end + NEAR))
+    before = WORD.findall(text, max(0, start - NEAR), start)
     # What belongs to the same word is no context.
     if before and start and not SPACE.match(text, start - 1):
         before = before[:-1]
+    before = before[-2:]
+    rest = WORD.match(text, end)
+    end = rest.end() if rest else end
+    after = WORD.search(text, end, min(len(text), end + NEAR))
     if not before:
         return []
     one = np.array([_value(before[-1])], np.uint64)

@@ -210,6 +210,23 @@ def test_personal_data_exact_instances(spark):
     assert pii.trusted_patterns(texts, uses, "text").count() == 2000
 
 
+def test_personal_data_runs(spark):
+    """Candidates of several words and of few digits, with the context outside of the whole run."""
+    texts = [f"please dial +1 555 010 {1000 + i} now" for i in range(12)]
+    values = ["555 010 4444", "07700 900 123", "4444", "303) 555-7713", "12-34 5678"]
+    starts = len("please dial ")
+    texts += [f"please dial {v} now" for v in values[:3]]
+    texts += [f"please dial ({values[3]}, now", f"please dial {values[4]}. 3 came now"]
+    texts += ["please dial 555 12a now", "we made 555 010 5555 now"]
+    expected = {12 + i: [(3, starts + (i == 3), starts + (i == 3) + len(v))] for i, v in enumerate(values)}
+    expected[17] = [(3, starts, starts + 3)]
+    assert found_spans(spark, texts) == expected
+    at = [text[s:e] for text in ["a (303) 555-7713, b1 2 3x 4@d 5 6"] for s, e in pii._candidates(text, [])]
+    assert at == ["303) 555-7713", "b1", "2", "3x", "4@d", "5 6"]
+    text = "please dial (303) 555-7713, now"
+    assert pii._context(text, 13, 26) == pii._context("please dial 5 now", 12, 13)
+
+
 def test_quality(docs, rows, empty, spark):
     def base(text):
         text = text or ""
