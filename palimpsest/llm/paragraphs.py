@@ -1,6 +1,8 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard, components.
 
-A paragraph is a line with at least ``min_words`` words. Paragraphs with the same words are one class
+A paragraph is a line with at least ``min_words`` words, which is any word if not told else. Adjacent
+lines of fewer than ``WRAPPED`` words are also one paragraph together, as a passage may be wrapped in
+them: first whole passages and long lines are settled, then the single lines that are left. Paragraphs with the same words are one class
 from the start. A class has ``HASHES`` MinHash values over its five-word shingles, filed in bands; how
 many rows a band has is tuned so that a pair at the threshold is missed with probability
 ``1 - recall`` at most. Classes that collide in a band are compared by exact Jaccard similarity, and
@@ -31,7 +33,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.998
 HASHES = 48
-MIN_WORDS = 20
+MIN_WORDS = 1
+WRAPPED = 20
 ROUNDS = 2
 # Nodes of a bucket that are taken together, and columns of a matrix.
 BLOCK = 1000
@@ -48,12 +51,33 @@ def band_rows(threshold: float, recall: float, hashes: int) -> int:
     return max(fitting, default=1)
 
 
-def _lines(text: bytes, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Number, class and words of each paragraph."""
-    for place, line in enumerate(text.split(b"\n")):
+def _class(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
+
+
+def _units(
+    text: bytes, min_words: int
+) -> Iterator[tuple[int, int, int | None, int, list[bytes]]]:
+    """First and last line, passage, class and words of each paragraph.
+
+    A line within a passage of several lines names the first line of it; others have no passage.
+    """
+    wrapped: list[tuple[int, list[bytes]]] = []
+    for place, line in enumerate([*text.split(b"\n"), b""]):
         words = words_of(line)
-        if len(words) >= min_words:
-            yield place, xxhash.xxh3_64_intdigest(b" ".join(words), SEED), words
+        if 0 < len(words) < WRAPPED:
+            wrapped.append((place, words))
+            continue
+        passage = wrapped[0][0] if len(wrapped) > 1 else None
+        for at, own in wrapped:
+            if len(own) >= min_words:
+                yield at, at, passage, _class(own), own
+        joined = [w for _, own in wrapped for w in own]
+        if passage is not None and len(joined) >= min_words:
+            yield passage, wrapped[-1][0], None, _class(joined), joined
+        wrapped = []
+        if words and len(words) >= min_words:
+            yield place, place, None, _class(words), words
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -61,44 +85,52 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, rows: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, text_hash, place, node, buckets)`` of all paragraphs of ``(doc_id, text_hash, text)``."""
+    """``(doc_id, text_hash, place, last, passage, node, buckets)`` of all paragraphs.
+
+    ``docs`` is ``(doc_id, text_hash, text)``. Paragraphs of less than a shingle are like no others, so
+    they have no buckets.
+    """
     bands = HASHES // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, places, nodes, values, total = [], [], [], [], 0
+            owners, units, ends, values, total = [], [], [0], [], 0
             texts = binary(batch.column("text"))
             for owner, text in enumerate(texts):
-                for place, node, words in _lines(text, min_words):
+                for place, last, passage, node, words in _units(text, min_words):
                     owners.append(owner)
-                    places.append(place)
-                    nodes.append(node)
-                    values.append(shingle_hashes(words, SHINGLE))
-                    total += len(values[-1])
-                if total >= STEP or (owner == len(batch) - 1 and owners):
+                    units.append((place, last, passage, node))
+                    total += len(words)
+                    if len(words) >= SHINGLE:
+                        values.append(shingle_hashes(words, SHINGLE))
+                    ends.append(len(values) * bands)
+                if owners and (total >= STEP or owner == len(batch) - 1):
                     at = pa.array(owners)
-                    buckets = pa.array(_buckets(values, rows, bands).view(np.int64).ravel())
+                    places, lasts, passages, nodes = map(list, zip(*units))
+                    buckets = _buckets(values, rows, bands).view(np.int64).ravel()
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("doc_id").take(at),
                             batch.column("text_hash").take(at),
                             pa.array(places, pa.int32()),
+                            pa.array(lasts, pa.int32()),
+                            pa.array(passages, pa.int32()),
                             pa.array(_signed(nodes)),
-                            pa.FixedSizeListArray.from_arrays(buckets, bands).cast(
-                                pa.list_(pa.int64())
-                            ),
+                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets)),
                         ],
-                        ["doc_id", "text_hash", "place", "node", "buckets"],
+                        ["doc_id", "text_hash", "place", "last", "passage", "node", "buckets"],
                     )
-                    owners, places, nodes, values, total = [], [], [], [], 0
+                    owners, units, ends, values, total = [], [], [0], [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, place int, node long, buckets array<long>"
-    return docs.mapInArrow(run, schema)
+    schema = f"doc_id {kind}, text_hash long, place int, last int, passage int, node long"
+    return docs.mapInArrow(run, f"{schema}, buckets array<long>")
 
 
 def _buckets(values: list[np.ndarray], rows: int, bands: int) -> np.ndarray:
     """One hash for each paragraph and band, from the least values of the band's permutations."""
+    if not values:
+        return np.empty((0, bands), np.uint64)
     hashes = np.concatenate(values)
     sizes = np.array([len(v) for v in values])
     starts = np.cumsum(sizes) - sizes
@@ -119,11 +151,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, min_words: int = MIN_WORDS)
         for batch in batches:
             found: dict[int, np.ndarray] = {}
             for text in binary(batch.column("text")):
-                lines = list(_lines(text, min_words))
-                if not lines:
+                units = [unit[3:] for unit in _units(text, min_words)]
+                if not units:
                     continue
-                wanted = passes(np.array([n for _, n, _ in lines], np.uint64), bits, bitmap.value)
-                for (_, node, words), want in zip(lines, wanted.tolist()):
+                wanted = passes(np.array([n for n, _ in units], np.uint64), bits, bitmap.value)
+                for (node, words), want in zip(units, wanted.tolist()):
                     if want and node not in found:
                         found[node] = np.unique(shingle_hashes(words, SHINGLE)).view(np.int64)
             if found:
@@ -229,7 +261,7 @@ def repeated_paragraphs(
     recall: float = RECALL,
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """Every paragraph to remove: ``doc_id, text_hash, place`` and ``keeper``, the document that keeps it."""
+    """Every line to remove: ``doc_id, text_hash, place`` and ``keeper``, the document that keeps it."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
@@ -240,11 +272,39 @@ def repeated_paragraphs(
     classes = linked_classes(rows, found, threshold, min_words)
     named = found.drop("buckets").join(classes, "node", "left")
     named = named.withColumn("label", F.coalesce("component", "node"))
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash", "place")
-    first = named.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    several = first.filter("first <> last").select("label", "first")
-    again = named.join(several, "label").filter(place != F.col("first"))
-    return again.select("doc_id", "text_hash", "place", F.col("first.doc_id").alias("keeper"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash", "place", "last")
+    named = named.withColumn("order", order)
+    ranges = named.groupBy("label").agg(
+        F.min("order").alias("low"),
+        F.max("order").alias("high"),
+        F.min(F.when(F.col("passage").isNull(), F.col("order"))).alias("outer"),
+    )
+    several = ranges.filter("low <> high").select("label", "outer")
+    repeats = named.join(several, "label").select("label", "outer", "order", "passage")
+    repeats = cut_lineage(repeats, "repeats")
+    # Whole passages and lines of their own: all but the first go.
+    later = F.col("passage").isNull() & (F.col("order") != F.col("outer"))
+    gone = repeats.filter(later & (F.col("order.place") < F.col("order.last"))).select(
+        F.col("order.doc_id").alias("d"),
+        F.col("order.text_hash").alias("h"),
+        F.col("order.place").alias("p"),
+    )
+    within = (
+        F.col("order.doc_id").eqNullSafe(F.col("d"))
+        & (F.col("order.text_hash") == F.col("h"))
+        & (F.col("passage") == F.col("p"))
+    )
+    # Lines of passages that stay: all but the first of what is left go.
+    left = cut_lineage(repeats.join(gone.distinct(), within, "left_anti"), "left")
+    first = left.filter(~later).groupBy("label").agg(F.min("order").alias("first"))
+    single = (F.col("order.place") == F.col("order.last")) & (F.col("order") != F.col("first"))
+    again = left.join(first, "label").filter(later | single)
+    return again.select(
+        "order.doc_id",
+        "order.text_hash",
+        F.explode(F.sequence("order.place", "order.last")).alias("place"),
+        F.col("first.doc_id").alias("keeper"),
+    )
 
 
 def remove_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

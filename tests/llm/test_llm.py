@@ -151,6 +151,25 @@ def test_paragraphs(docs, rows, empty):
     assert paragraphs.band_rows(0.8, 0.998, 48) == 4
 
 
+def test_wrapped_and_short_paragraphs(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 999)}" for _ in range(60)]
+    own = [f"v{i} " * 3 for i in range(4)]
+
+    def wrapped(width):
+        return "\n".join(" ".join(words[i : i + width]) for i in range(0, 60, width))
+
+    texts = [
+        f"{own[0]}\n\n{wrapped(12)}\n\nSee also", f"{own[1]}\n\n{wrapped(10)}\n",
+        " ".join(words) + f"\n{own[2]}", f"{own[3]}\nSEE  also\nnew line",
+    ]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(given).collect()}
+    kept = [texts[0], f"{own[1]}\n\n", own[2], f"{own[3]}\nnew line"]
+    assert [got[i]["kept_text"] for i in range(4)] == kept
+    assert [(got[i]["n_removed"], got[i]["keepers"]) for i in range(4)] == [(0, []), (6, [0]), (1, [0]), (1, [0])]
+
+
 def test_personal_data(docs, empty, spark):
     patterns = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
