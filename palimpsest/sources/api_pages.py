@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.changes import ANONYMOUS
 
-# The response's field names. The page id is a changing object key, hence a map.
-PAGES = """MAP<STRING, STRUCT<title: STRING, revisions: ARRAY<STRUCT<
-    revid: BIGINT, timestamp: STRING, user: STRING, slots: STRUCT<main: STRUCT<`*`: STRING>>>>>>"""
-API_SCHEMA = f"query STRUCT<pages: {PAGES}>, requested STRING, _corrupt_record STRING"
+# The response's field names. The page id is a changing object key, hence a map. Pages and
+# revisions stay texts at first, so that one of a wrong form spoils no other.
+API_SCHEMA = "query STRUCT<pages: MAP<STRING, STRING>>, requested STRING, _corrupt_record STRING"
+PAGE = "title STRING, revisions STRING, _corrupt_record STRING"
+REVISION = "revid STRING, timestamp STRING, user STRING, slots STRING, _corrupt_record STRING"
+SLOTS = "main STRING, _corrupt_record STRING"
+CONTENT = "`*` STRING, _corrupt_record STRING"
 MISSING_PAGE = "-1"
 
 
@@ -32,23 +35,52 @@ def corrupt_pages(pages: DataFrame) -> DataFrame:
     return broken.select("file", "_corrupt_record", "query")
 
 
-def revisions_from_pages(pages: DataFrame) -> DataFrame:
-    """``(article, rev_id, ts, user, wikitext)`` of all pages that exist, but for corrupt responses.
+def _entries(pages: DataFrame) -> DataFrame:
+    """``(file, article, entry, rev, rev_id, content, bad)`` of all revisions of pages that exist.
 
-    A page without title goes by the ``requested`` one, if the saved response notes it.
+    A page that cannot be read is one bad entry.
     """
     whole = pages.filter(F.col("_corrupt_record").isNull())
-    found = whole.select("requested", F.explode("query.pages").alias("page_id", "page")).filter(
-        F.col("page_id") != MISSING_PAGE
+    found = whole.select("file", "requested", F.explode("query.pages").alias("page_id", "text"))
+    found = found.filter(F.col("page_id") != MISSING_PAGE)
+    found = found.withColumn("page", F.from_json("text", PAGE))
+    found = found.withColumn("list", F.from_json("page.revisions", "ARRAY<STRING>"))
+    unread = F.col("page._corrupt_record").isNotNull() | (
+        F.col("page.revisions").isNotNull() & F.col("list").isNull()
+    )
+    listed = F.when(unread, F.array("text")).otherwise(F.col("list"))
+    article = F.coalesce("page.title", "requested").alias("article")
+    entries = found.select("file", article, unread.alias("unread"), F.explode(listed).alias("entry"))
+    entries = entries.withColumn("rev", F.from_json("entry", REVISION))
+    entries = entries.withColumn("slots", F.from_json("rev.slots", SLOTS))
+    entries = entries.withColumn("content", F.from_json("slots.main", CONTENT))
+    entries = entries.withColumn("rev_id", F.col("rev.revid").try_cast("bigint"))
+    bad = (
+        F.col("unread")
+        | F.col("entry").isNull()
+        | (F.col("rev.revid").isNotNull() & F.col("rev_id").isNull())
     )
-    title = F.coalesce("page.title", "requested").alias("article")
-    revisions = found.select(title, F.explode("page.revisions").alias("rev"))
-    return revisions.select(
+    for part in ("rev", "slots", "content"):
+        bad |= F.col(f"{part}._corrupt_record").isNotNull()
+    return entries.withColumn("bad", bad)
+
+
+def corrupt_revisions(pages: DataFrame) -> DataFrame:
+    """``(file, article, entry)``: revisions, or whole pages, of a wrong form in responses that are JSON."""
+    return _entries(pages).filter("bad").select("file", "article", "entry")
+
+
+def revisions_from_pages(pages: DataFrame) -> DataFrame:
+    """``(article, rev_id, ts, user, wikitext)`` of all pages that exist, but for corrupt entries.
+
+    A page without title goes by the ``requested`` one, if the saved response notes it.
+    """
+    return _entries(pages).filter("NOT bad").select(
         "article",
-        F.col("rev.revid").alias("rev_id"),
+        "rev_id",
         F.try_to_timestamp("rev.timestamp").alias("ts"),
         F.coalesce("rev.user", F.lit(ANONYMOUS)).alias("user"),
-        F.col("rev.slots.main").getField("*").alias("wikitext"),
+        F.col("content").getField("*").alias("wikitext"),
     )
 
 

@@ -25,5 +25,9 @@ def test_against_sql(spark, testdata, name):
     assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, rows))
 
 
+def test_partial_pages_against_sql(spark, testdata):
+    test_against_sql(spark, testdata, "partial_pages")
+
+
 def test_flagship(spark):
     assert entry.entry(spark).limit(1).count() == 1

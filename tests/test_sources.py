@@ -8,6 +8,7 @@ from palimpsest.plans.chain import label_edits, link_revisions, prompts_for_mode
 from palimpsest.sources.api_pages import (
     ANONYMOUS,
     corrupt_pages,
+    corrupt_revisions,
     read_api_pages,
     revisions_from_pages,
     write_api_pages,
@@ -79,6 +80,20 @@ def test_api_pages_by_line(spark, pages, tmp_path):
     assert sorted(again.collect(), key=str) == sorted(revisions.collect(), key=str)
 
 
+def test_partial_pages(spark, tmp_path):
+    """A bad entry takes no good one with it."""
+    good = [revision(i, user="u", **slots(f"t{i}")) for i in (1, 2, 3)]
+    bad = [{**revision(4), "revid": "x"}, {**revision(5), "slots": "y"}, {**revision(6), "slots": {"main": 1}}, 7, None]
+    saved = [response("1", "A", good[0], *bad, good[1]), response("2", "B", good[2])]
+    saved[1]["query"]["pages"] |= {"3": "z", "4": {"title": "C", "revisions": 5}}
+    lines = [*map(json.dumps, saved), '{"query": {"pages"']
+    (tmp_path / "lines.json").write_text("\n".join(lines), encoding="utf-8")
+    read = read_api_pages(spark, str(tmp_path / "lines.json"), multi_line=False)
+    rows = revisions_from_pages(read).orderBy("rev_id").collect()
+    assert [(r.article, r.rev_id, r.wikitext) for r in rows] == [("A", 1, "t1"), ("A", 2, "t2"), ("B", 3, "t3")]
+    assert corrupt_revisions(read).count() == 7 and len(corrupt_pages(read).collect()) == 1
+
+
 def test_requests(spark, tmp_path):
     prompts = spark.createDataFrame([("a#0", 'say "é"\nnow')], "custom_id string, prompt string")
     write_requests(prompts, str(tmp_path / "requests"), "m")

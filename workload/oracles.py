@@ -415,6 +415,9 @@ ORACLES = {
         """SELECT article, rev_id, ts_seconds, user_name AS "user", length(wikitext) AS n_chars,
         md5(wikitext) AS text_md5 FROM revs""",
     ),
+    "partial_pages": """SELECT CASE WHEN doc_id % 5 = 0 THEN 'Asked' ELSE 'T' END AS article,
+        CAST(2 * doc_id + i AS BIGINT) AS rev_id, md5(coalesce(text, '')) AS text_md5
+        FROM documents, (VALUES (0), (1)) AS v(i) WHERE doc_id % 7 <> 6""",
     "batch_exchange": """SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method,
         '/v1/chat/completions' AS url, 'some-model' AS model, 'user' AS role, md5(text) AS prompt_md5
         FROM documents""",

@@ -397,6 +397,29 @@ def api_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def partial_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two revisions a response, every third time a third one with a bad id; some pages are missing."""
+    doc = F.col("doc_id")
+    text = F.struct(F.struct(F.coalesce("text", F.lit("")).alias("*")).alias("main")).alias("slots")
+
+    def entry(rev_id: Column) -> Column:
+        return F.to_json(F.struct(rev_id.alias("revid"), F.lit("u").alias("user"), text))
+
+    entries = F.concat_ws(
+        ",", entry(2 * doc), F.when(doc % 3 == 0, entry(F.lit("x"))), entry(2 * doc + 1)
+    )
+    page_id = F.when(doc % 7 == 6, "-1").otherwise("5")
+    response = F.concat(
+        F.lit('{"requested":"Asked","query":{"pages":{"'), page_id, F.lit('":{'),
+        F.when(doc % 5 > 0, '"title":"T",').otherwise(""), F.lit('"revisions":['), entries, F.lit("]}}}}"),
+    )
+    path = scratch_path(spark, "partial")
+    views.table(spark, sf_dir, "documents").select(response.alias("value")).write.text(path)
+    found = revisions_from_pages(read_api_pages(spark, path, multi_line=False))
+    return found.select("article", "rev_id", digest("wikitext").alias("text_md5"))
+
+
 def source_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("custom_id"), F.col("text").alias("prompt")
