@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from palimpsest.llm import (
     contamination,
     mixing,
+    packing,
     paragraphs,
     pii,
     prefix_free,
     quality,
+    ranking,
     sharding,
+    structure,
     tokens,
     toxicity,
 )
@@ -184,3 +187,145 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs)
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.crc32("ids").alias("ids_crc32")
+    pieces = packing.encode_pieces(docs).select("doc_id", "piece", "start", "length", digest)
+    return packing.pack(pieces).withColumn("length", F.col("length").cast("long"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ranking.search(docs, items)
+
+
+def lexical_terms(column: str) -> str:
+    """The terms of a text in SQL."""
+    lowered = f"translate(coalesce({column}, ''), '{ranking.UPPER}', '{ranking.LOWER}')"
+    return f"regexp_extract_all({lowered}, '{ranking.TERM}')"
+
+
+ORACLES["op12_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {lexical_terms("text")} AS terms FROM documents),
+sizes AS (SELECT row, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+items AS (SELECT DISTINCT item_id, unnest({lexical_terms("text")}) AS term FROM benchmark),
+scores AS (
+    SELECT item_id, doc_id, row,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (row), totals
+    GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    found, repaired = structure.repair(structure.damage(given))
+    key = F.struct("conv_id").alias("conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    solved = found.select(key, *counts, "audit")
+    digests = structure.digests(repaired).select(key, "repaired_sha256")
+    everyone = given.select(key).distinct()
+    joined = everyone.join(solved, "conv", "left").join(digests, "conv", "left")
+    return joined.select(
+        "conv.conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def crc32(text: str, table: str) -> str:
+    """The CRC-32 of an ASCII text in SQL, with the table of all bytes' checksums."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    step = f"xor({table}[1 + (xor(crc, c) & 255)], crc >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, c: {step}), 4294967295)"
+
+
+CRC_TABLE = "range(0, 256)"
+for _ in range(8):
+    CRC_TABLE = f"list_transform({CRC_TABLE}, lambda c: xor(c >> 1, 3988292384 * (c & 1)))"
+#: Inserts that may stand before a turn or at the end: states are 0 (nothing), 1 (s), 2 (u) and 3 (a).
+INSERTS = """(VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', 'user:'), (0, 3, 4, 'II', 'user:|assistant:'),
+    (1, 1, 0, '', ''), (1, 2, 2, 'I', 'user:'), (1, 3, 4, 'II', 'user:|assistant:'),
+    (2, 2, 0, '', ''), (2, 3, 2, 'I', 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', 'user:'))"""
+ORACLES["op13_structure_repair"] = f"""
+WITH RECURSIVE checksums AS (SELECT {CRC_TABLE} AS crcs),
+kinds AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')", "crcs")} % 20 AS kind
+    FROM conversations, checksums),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+    FROM kinds, (VALUES (0), (1)) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+    FROM damaged),
+marked AS (
+    SELECT *, bare = '' AS blank,
+        bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+    FROM placed),
+turns AS (
+    SELECT *, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+        blank OR duplicate AS bad, left(role, 1) AS initial FROM marked),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+        count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS size
+    FROM turns GROUP BY conv_id),
+inserts(state, after, cost, audit, lines) AS {INSERTS},
+-- Of every conversation the cheapest edits of its first i turns, for each state.
+steps AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state,
+        {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS best FROM counts
+    UNION ALL
+    SELECT conv_id, i, state, min(best) FROM (
+        SELECT s.conv_id, t.i, e.state, {{
+            'cost': s.best.cost + n.cost + e.cost,
+            'audit': s.best.audit || n.audit || e.edit,
+            'lines': s.best.lines || replace(n.lines || CASE WHEN n.lines = '' THEN '' ELSE '|' END, '|', chr(10))
+                || e.line}} AS best
+        FROM steps s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i + 1
+        JOIN inserts n ON n.state = s.state,
+        LATERAL (
+            SELECT n.after AS state, 3 AS cost, 'D' AS edit, '' AS line
+            UNION ALL
+            SELECT a.state, t.truncated::INT + CASE WHEN a.kept THEN 0 ELSE 2 END,
+                CASE WHEN a.kept THEN 'K' ELSE 'R' END,
+                CASE WHEN a.kept THEN t.role ELSE a.role END || ':' || t.text || chr(10)
+            FROM (VALUES (0, 's', 1, true, ''), (0, 'u', 2, true, ''), (1, 'u', 2, true, ''),
+                (2, 'a', 3, true, ''), (3, 'u', 2, true, ''), (0, 'u', 2, false, 'user'),
+                (1, 'u', 2, false, 'user'), (2, 'a', 3, false, 'assistant'), (3, 'u', 2, false, 'user'))
+                AS a(origin, initial, state, kept, role)
+            WHERE a.origin = n.after AND NOT t.bad AND (NOT a.kept OR a.initial = t.initial)) e)
+    GROUP BY conv_id, i, state),
+solved AS (
+    SELECT s.conv_id, min({{
+        'cost': s.best.cost + n.cost, 'audit': s.best.audit || n.audit,
+        'lines': s.best.lines || replace(n.lines || CASE WHEN n.lines = '' THEN '' ELSE '|' END, '|', chr(10))
+    }}) AS best
+    FROM steps s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.size = s.i
+    JOIN inserts n ON n.state = s.state WHERE n.after IN (0, 3) GROUP BY s.conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0) AS blank,
+    coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+    coalesce(c.illegal, 0) AS illegal, coalesce(s.best.cost, 0) AS cost, coalesce(s.best.audit, '') AS audit,
+    sha256(coalesce(left(s.best.lines, greatest(length(s.best.lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
