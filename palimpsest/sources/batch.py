@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.api_pages import source_place
+
 # The request's method and address, and the field names of requests and responses.
 METHOD = "POST"
 URL = "/v1/chat/completions"
@@ -36,14 +38,8 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 def read_responses(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(custom_id, response)``. Of lines with the same id the last one counts."""
     lines = spark.read.schema(RESPONSE_SCHEMA).json(path)
-    # The place of a line: its file, the split within it, and the order within the split.
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"),
-    )
     content = F.get("response.body.choices", F.lit(0))["message"]["content"]
-    placed = lines.select("custom_id", content.alias("response"), place.alias("place"))
+    placed = lines.select("custom_id", content.alias("response"), source_place().alias("place"))
     return placed.groupBy("custom_id").agg(F.max_by("response", "place").alias("response"))
 
 
