@@ -23,14 +23,21 @@ def _order(df: DataFrame) -> list[str]:
     return [c for c in ("ts", "rev_seq", "rev_id") if c in df.columns]
 
 
-def _edit_sets(revisions: DataFrame) -> DataFrame:
-    """One row per revision that changed anything: its changed sections and running edit count."""
+def _outlines(revisions: DataFrame) -> DataFrame:
     order = _order(revisions)
-    outlines = with_text(revisions).select(
-        *KEY, *order, "user", outline(F.col("wikitext")).alias("sections")
-    )
+    sections = outline(F.col("wikitext")).alias("sections")
+    base = F.lit(None).cast("long").alias("_base")
+    return with_text(revisions).select(*KEY, *order, "user", sections, base)
+
+
+def _edit_sets(outlines: DataFrame, order: list[str], slices: int | None) -> DataFrame:
+    """One row per revision that changed anything: its changed sections and running edit count.
+
+    A row with ``_base`` stands for all that came before: its sections are known, and so many edits
+    were counted.
+    """
     # Written first, because range bounds are sampled in a pass of their own over the input.
-    sliced = slice_by_order(cut_lineage(outlines, "outlines"), KEY, order)
+    sliced = slice_by_order(cut_lineage(outlines, "outlines"), KEY, order, slices)
     # The last revision of each slice is found on narrow rows before its outline is fetched.
     last = F.max(F.struct(*order)).alias("_last")
     lasts = at_edges(sliced.select(*KEY, SLICE, *order), KEY).groupBy(*KEY, SLICE).agg(last)
@@ -43,22 +50,24 @@ def _edit_sets(revisions: DataFrame) -> DataFrame:
     window = slice_window(KEY, order)
     known = F.coalesce("_previous", "_carried", F.array().cast("array<string>"))
     upto = F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    fresh = F.when(F.col("_base").isNull(), _not_among(known, F.col("sections")))
     changed = (
         sliced.withColumn("_previous", F.lag("sections.mark").over(window))
         .join(before, [*KEY, SLICE], "left")
-        .withColumn("sections", _not_among(known, F.col("sections")))
-        .withColumn("_n", F.size("sections").cast("long"))
+        .withColumn("sections", fresh)
+        .withColumn("_n", F.coalesce("_base", F.size("sections").cast("long")))
         .withColumn("_upto", upto)
         # Above the window, where the filter cannot be pushed down to compare everything twice.
         .filter("_n > 0")
-        .select(*KEY, SLICE, *order, "user", "sections", "_n", "_upto")
+        .select(*KEY, SLICE, *order, "user", "sections", "_base", "_n", "_upto")
     )
     edits = cut_lineage(changed, "edit-sets")
     sizes = at_edges(edits, KEY).groupBy(*KEY, SLICE).agg(F.sum("_n").alias("_n"))
     offsets = carried(sizes, KEY, _offset=F.sum("_n"))
     first = F.col("_upto") - F.col("_n") + F.coalesce("_offset", F.lit(0))
     return (
-        edits.join(offsets, [*KEY, SLICE], "left")
+        edits.filter(F.col("_base").isNull())
+        .join(offsets, [*KEY, SLICE], "left")
         .withColumn("_first", first)
         .withColumn("user", F.coalesce("user", F.lit(ANONYMOUS)))
         .select(*KEY, *order, "user", "sections", "_first")
@@ -89,17 +98,86 @@ def _rows(sets: DataFrame) -> DataFrame:
     return exploded.select(*KEY, seq, *keep, "_s.*")
 
 
-def changed_sections(revisions: DataFrame) -> DataFrame:
+def changed_sections(revisions: DataFrame, slices: int | None = None) -> DataFrame:
     """Section edits without their texts, numbered per article in order of (time, position)."""
-    rows = _rows(_edit_sets(revisions)).withColumnRenamed("title", "section")
+    sets = _edit_sets(_outlines(revisions), _order(revisions), slices)
+    rows = _rows(sets).withColumnRenamed("title", "section")
     return rows.withColumn("level_stars", level_stars(F.col("level"))).drop(
         "first_line", "n_lines", "mark"
     )
 
 
-def section_edits(revisions: DataFrame) -> DataFrame:
-    """Section edits with their texts. ``(article, rev_id)`` must be unique in ``revisions``."""
-    texts = with_text(revisions).select(*KEY, "rev_id", "wikitext")
-    sets = _edit_sets(revisions).join(texts, [*KEY, "rev_id"])
+def _with_bodies(sets: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The only shuffle of texts: they are sent to the revisions that changed anything."""
+    # As one value the key is the same also where a part of it is null.
+    key = F.struct(*KEY, *_order(revisions)).alias("_key")
+    texts = with_text(revisions).select(key, "wikitext")
+    found = sets.withColumn("_key", key).join(texts, "_key")
     bodies = filled(F.col("wikitext"), F.col("sections"))
-    return _rows(sets.withColumn("sections", bodies).drop("wikitext"))
+    return _rows(found.withColumn("sections", bodies).drop("wikitext", "_key"))
+
+
+def section_edits(revisions: DataFrame, slices: int | None = None) -> DataFrame:
+    """Section edits with their texts. Revisions of an article must differ in time, order or id."""
+    sets = _edit_sets(_outlines(revisions), _order(revisions), slices)
+    return _with_bodies(sets, revisions)
+
+
+def late_revisions(revisions: DataFrame, state: DataFrame) -> DataFrame:
+    """Revisions that are no later than the last one the state has seen of their article.
+
+    Either they were seen before, or they came too late to be told apart by ``continue_edits``.
+    """
+    last = state.select(*KEY, F.col("last").alias("_last"))
+    late = F.struct(*_order(revisions)) <= F.col("_last")
+    return revisions.drop("wikitext").join(last, KEY).filter(late).drop("_last")
+
+
+def continue_edits(
+    revisions: DataFrame, state: DataFrame | None = None, slices: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Section edits of new revisions, given what is known of their articles, and the state after them.
+
+    The state has a row per article: ``article, last, marks, n_edits``, which are the order of its last
+    revision with text, the fingerprints of that one's sections, and the number of its edits. So older
+    pages need not be read again: edits are found and numbered as in one run over the whole history.
+    Revisions no later than ``last`` are left out; a page fetched twice does no harm.
+    """
+    order = _order(revisions)
+    outlines = _outlines(revisions)
+    if state is None:
+        fields = ", ".join(f"`{c}` {revisions.schema[c].dataType.simpleString()}" for c in order)
+        schema = f"article string, last struct<{fields}>, marks array<string>, n_edits long"
+        state = revisions.sparkSession.createDataFrame([], schema)
+    # Of the state only the articles at hand are read on.
+    known = cut_lineage(state.join(outlines.select(*KEY).distinct(), KEY, "left_semi"), "known")
+    last = known.select(*KEY, F.col("last").alias("_last"))
+    later = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
+    fresh = outlines.join(last, KEY, "left").filter(later).drop("_last")
+    fresh = cut_lineage(fresh, "fresh")
+    element = outlines.schema["sections"].dataType.elementType
+
+    def section(mark: Column) -> Column:
+        values = {f.name: F.lit(None).cast(f.dataType) for f in element} | {"mark": mark}
+        return F.struct(*(value.alias(name) for name, value in values.items()))
+
+    seeds = known.select(
+        *KEY,
+        *(F.col("last")[c].alias(c) for c in order),
+        F.lit(None).cast("string").alias("user"),
+        F.transform("marks", section).alias("sections"),
+        F.col("n_edits").alias("_base"),
+    )
+    sets = cut_lineage(_edit_sets(fresh.unionByName(seeds), order, slices), "numbered-sets")
+    edits = _with_bodies(sets, revisions)
+    now = fresh.groupBy(*KEY).agg(
+        F.max(F.struct(*order)).alias("last"),
+        F.max_by(F.col("sections.mark"), F.struct(*order)).alias("marks"),
+    )
+    counts = sets.groupBy(*KEY).agg(F.sum(F.size("sections")).alias("_new"))
+    before = known.select(*KEY, F.col("n_edits").alias("_before"))
+    total = F.coalesce("_before", F.lit(0)) + F.coalesce("_new", F.lit(0))
+    touched = now.join(counts, KEY, "left").join(before, KEY, "left")
+    touched = touched.select(*KEY, "last", "marks", total.cast("long").alias("n_edits"))
+    rest = state.join(now.select(*KEY), KEY, "left_anti")
+    return edits, rest.unionByName(touched)

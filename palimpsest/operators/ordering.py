@@ -18,9 +18,15 @@ from palimpsest.materialize import cut_lineage
 SLICE = "_slice"
 
 
-def slice_by_order(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Add ``_slice``. Range bounds come from sampling, so the result is written before use."""
-    ranged = df.repartitionByRange(*by, *order).withColumn(SLICE, F.spark_partition_id())
+def slice_by_order(
+    df: DataFrame, by: list[str], order: list[str], slices: int | None = None
+) -> DataFrame:
+    """Add ``_slice``. Range bounds come from sampling, so the result is written before use.
+
+    How many slices there are is left to Spark if not told.
+    """
+    count = [] if slices is None else [slices]
+    ranged = df.repartitionByRange(*count, *by, *order).withColumn(SLICE, F.spark_partition_id())
     return cut_lineage(ranged, "slices")
 
 
@@ -50,12 +56,14 @@ def carried(per_slice: DataFrame, by: list[str], **values: Column) -> DataFrame:
     return rows.filter("_earlier > 0").select(*by, SLICE, *values)
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
+def number_rows(
+    df: DataFrame, by: list[str], order: list[str], name: str = "seq", slices: int | None = None
+) -> DataFrame:
     """Number the rows of each group from 0.
 
     ``order`` must be total within a group. ``df`` is read twice, so it should be a narrow table.
     """
-    sliced = slice_by_order(df, by, order)
+    sliced = slice_by_order(df, by, order, slices)
     sizes = at_edges(sliced, by).groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("_size"))
     before = carried(sizes, by, _before=F.sum("_size"))
     local = F.row_number().over(slice_window(by, order)) - 1

@@ -5,10 +5,16 @@ from emulation import edits_of, sections_of
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WHITESPACE
-from palimpsest.operators.changes import changed_sections, section_edits
-from palimpsest.operators.ordering import number_rows
+from palimpsest.operators.changes import (
+    changed_sections,
+    continue_edits,
+    late_revisions,
+    section_edits,
+)
+from palimpsest.operators.ordering import SLICE, number_rows, slice_by_order
 from palimpsest.operators.sections import split_sections
 from palimpsest.sources.api_pages import ANONYMOUS
+from palimpsest.sources.state import read_state, write_state
 
 REVISIONS = "article string, rev_id long, second int, user string, wikitext string"
 
@@ -135,6 +141,56 @@ def test_against_row_by_row_emulation(spark):
     }
 
 
+EDIT = ["article", "seq", "rev_id", "pos", "section", "level", "content"]
+
+
+@pytest.mark.parametrize("slices", [None, 12])
+def test_a_history_fed_in_parts(spark, tmp_path, slices):
+    rng = random.Random(3)
+    articles = {f"a{a}": [random_text(rng) for _ in range(rng.randint(1, 9))] for a in range(25)}
+    articles["hot"] = [random_text(rng) for _ in range(150)]
+    rows = [(a, i, i // 2, None, t or None) for a, ts in articles.items() for i, t in enumerate(ts)]
+    whole = sorted(map(tuple, section_edits(revisions(spark, rows)).select(*EDIT).collect()), key=str)
+    state = str(tmp_path / "state")
+    found = []
+    # Cuts differ by article, some run through revisions of one time, and pages overlap.
+    cuts = {a: sorted(rng.sample(range(len(ts) + 1), min(2, len(ts) + 1))) for a, ts in articles.items()}
+    for part in range(3):
+        fed = []
+        for row in rows:
+            cut = [0, *cuts[row[0]], len(articles[row[0]])]
+            if (0 if part == 1 else cut[min(part, len(cut) - 1)] - 1) <= row[1] < cut[min(part + 1, len(cut) - 1)]:
+                fed.append(row)
+        edits, after = continue_edits(revisions(spark, fed), read_state(spark, state), slices)
+        found += map(tuple, edits.select(*EDIT).collect())
+        write_state(after, state)
+    assert sorted(found, key=str) == whole
+    last = read_state(spark, state)
+    counts = {r.article: r.n_edits for r in last.collect()}
+    assert counts == {a: sum(e[0] == a for e in whole) for a, ts in articles.items() if any(ts)}
+    again, after = continue_edits(revisions(spark, rows), last)
+    assert again.isEmpty() and sorted(map(str, after.collect())) == sorted(map(str, last.collect()))
+    assert late_revisions(revisions(spark, [("a0", 0, 0, None, "x"), ("a0", 99, 99, None, "x")]), last).count() == 1
+
+
+def test_slices_are_as_many_as_told(spark):
+    rows = [("hot" if i % 10 else f"a{i}", i, i, None, f"text {i % 7}\n== A ==\n{i // 3}") for i in range(400)]
+    df = revisions(spark, rows)
+    assert slice_by_order(df, ["article"], ["ts", "rev_id"], 16).select(SLICE).distinct().count() == 16
+    for made in (section_edits, changed_sections):
+        few, many = (
+            sorted(map(str, made(df, slices=n).select("article", "seq", "rev_id", "section").collect()))
+            for n in (1, 16)
+        )
+        assert few == many
+
+
+def test_null_and_repeated_ids_keep_their_edits(spark):
+    rows = [("a", 1, 0, None, "one"), ("a", None, 1, None, "two"), ("a", 1, 2, None, "three"), ("a", None, None, None, "zero")]
+    edits = section_edits(revisions(spark, rows)).orderBy("seq").collect()
+    assert [(e.seq, e.content) for e in edits] == [(0, "zero"), (1, "one"), (2, "two"), (3, "three")]
+
+
 def test_source_order_breaks_ties(spark):
     rows = [("a", 9, 0, None, "one"), ("a", 4, 0, None, "two")]
     df = revisions(spark, rows)

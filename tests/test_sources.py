@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.operators.changes import section_edits
 from palimpsest.operators.embed import word_vector_embedding
 from palimpsest.plans.chain import label_edits, link_revisions, prompts_for_model, score
 from palimpsest.sources.api_pages import (
@@ -11,6 +12,7 @@ from palimpsest.sources.api_pages import (
     corrupt_revisions,
     read_api_pages,
     revisions_from_pages,
+    scan_pages,
     write_api_pages,
 )
 from palimpsest.sources.batch import (
@@ -95,6 +97,25 @@ def test_partial_pages(spark, tmp_path):
     assert corrupt_revisions(read).count() == 7 and len(corrupt_pages(read).collect()) == 1
 
 
+def test_overlapping_pages(spark, tmp_path):
+    """Pages that share revisions, conflicting copies, ids that are missing or texts, and equal times."""
+    same = {"timestamp": "2001-08-09T12:00:00Z"}
+    saved = {
+        "p1": [revision(1, **slots("one")), revision(2, **slots("two")), {"timestamp": "x", **slots("lost")}],
+        "p2": [revision(2, **slots("two")), revision(3, **slots("old")), {**revision(4), "revid": "x"}],
+        "p3": [revision(3, **slots("new")), {**revision(9, **slots("n")), **same}, {**revision(8, **slots("e")), **same}, {**revision(5), "revid": "7"}],
+    }
+    for name, entries in saved.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(response("1", "A", *entries)), encoding="utf-8")
+    scan = scan_pages(read_api_pages(spark, str(tmp_path)))
+    rows = scan.revisions.orderBy("rev_seq").collect()
+    assert [(r.rev_id, r.wikitext) for r in rows] == [(1, "one"), (2, "two"), (3, "new"), (9, "n"), (8, "e"), (7, None)]
+    assert [(r.rev_id, r.wikitext) for r in scan.conflicts.collect()] == [(3, "old")]
+    assert sorted(json.loads(r.entry).get("revid", "") for r in scan.corrupt.collect()) == ["", "x"]
+    edits = section_edits(scan.revisions.filter("rev_id > 7")).orderBy("seq").collect()
+    assert [e.rev_id for e in edits] == [9, 8]
+
+
 def test_requests(spark, tmp_path):
     prompts = spark.createDataFrame([("a#0", 'say "é"\nnow')], "custom_id string, prompt string")
     write_requests(prompts, str(tmp_path / "requests"), "m")
