@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import TOP
@@ -48,21 +48,55 @@ def link_edits(
     ``edits`` is read more than once, so it should be a table rather than a long plan. It needs
     ``article, seq, rev_id, section, content`` with ``seq`` counting from 0 within an article.
     """
+    links = _links(edits, embed, title_threshold, content_threshold, lookback)
+    return attach_previous(edits, links, lookback)
+
+
+def link_types(
+    edits: DataFrame,
+    embed: Embed,
+    title_threshold: float = TITLE_THRESHOLD,
+    content_threshold: float = CONTENT_THRESHOLD,
+    lookback: int = LOOKBACK,
+) -> DataFrame:
+    """``article, seq, section, rev_id, prev_seq, match_type, match_distance, is_first_time``.
+
+    All that can be told of the links without any text: none is shuffled.
+    """
+    links = _links(edits, embed, title_threshold, content_threshold, lookback)
+    unnamed = F.col("rev_id").isNull() & (F.coalesce(F.length("content"), F.lit(0)) == 0)
+    # Of previous versions only those that say nothing and have no id change what an edit counts as.
+    nothing = edits.filter(unnamed).select("article", F.col("seq").alias("prev_seq"), F.lit(True).alias("_nothing"))
+    narrow = edits.select("article", "seq", "section", "rev_id")
+    typed = narrow.join(links, ["article", "seq"]).select(
+        *narrow.columns, "prev_seq", match_type().alias("match_type"), match_distance().alias("match_distance")
+    )
+    found = typed.join(nothing, ["article", "prev_seq"], "left")
+    first = F.col("match_type").isin("first-time", "none") | F.col("_nothing").isNotNull()
+    return found.select(*typed.columns, first.alias("is_first_time"))
+
+
+def _links(
+    edits: DataFrame, embed: Embed, title_threshold: float, content_threshold: float, lookback: int
+) -> DataFrame:
     text_id = F.sha2(F.coalesce("content", F.lit("")), 256)
     narrow = edits.select(
         "article", "seq", "rev_id", "section", text_id.alias("text_id"), "content"
     )
-    links = find_previous(embed(narrow), title_threshold, content_threshold, lookback)
-    return attach_previous(edits, links)
+    return find_previous(embed(narrow), title_threshold, content_threshold, lookback)
+
+
+def blocks_of(lookback: int) -> tuple[Column, Column]:
+    """The block of an edit, and whether the next block looks back on it."""
+    size = max(lookback, MIN_BLOCK)
+    return F.floor(F.col("seq") / size), F.pmod("seq", F.lit(size)) >= size - lookback
 
 
 def find_previous(
     vectors: DataFrame, title_threshold: float, content_threshold: float, lookback: int
 ) -> DataFrame:
     """One row per edit: the number of its previous version, if any, and what made it match."""
-    size = max(lookback, MIN_BLOCK)
-    block = F.floor(F.col("seq") / size)
-    follows = F.pmod("seq", F.lit(size)) >= size - lookback
+    block, follows = blocks_of(lookback)
     blocks = F.when(follows, F.array(block, block + 1)).otherwise(F.array(block))
     return (
         vectors.withColumn("_own", block)
@@ -73,31 +107,76 @@ def find_previous(
     )
 
 
-def attach_previous(edits: DataFrame, links: DataFrame) -> DataFrame:
-    previous = edits.select(
-        "article",
-        F.col("seq").alias("prev_seq"),
-        F.col("content").alias("prev_content"),
-        F.col("rev_id").alias("prev_rev_id"),
-        F.col("section").alias("prev_section"),
-    )
-    # Only links that lead somewhere are joined: a null key would gather all others in one task.
-    found = links.filter(F.col("prev_seq").isNotNull()).join(previous, ["article", "prev_seq"])
-    match_type = (
+def match_type() -> Column:
+    return (
         F.when(F.col("seq") == 0, "first-time")
         .when(F.col("prev_seq").isNull(), "none")
         .when(F.col("title_match") & F.col("content_match"), "both")
         .when(F.col("content_match"), "content")
         .otherwise("title")
     )
-    distance = F.coalesce(F.col("seq") - F.col("prev_seq"), F.lit(0))
-    return edits.join(found, ["article", "seq"], "left").select(
+
+
+def match_distance() -> Column:
+    return F.coalesce(F.col("seq") - F.col("prev_seq"), F.lit(0))
+
+
+def attach_previous(edits: DataFrame, links: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+    """Edits and their previous versions brought together by one shuffle of the texts.
+
+    Edits go to the task of their block, and the last ones of a block also to that of the next. Links go
+    to both of their ends. All that follows are windows within blocks: an edit learns its link and
+    whether it is asked for; then each one asked for hands its text to those that ask.
+    """
+    block, follows = blocks_of(lookback)
+    edit = F.struct(*edits.columns)
+    link = F.struct("prev_seq", "title_match", "content_match")
+    no_edit = F.lit(None).cast(edits.select(edit).schema[0].dataType)
+    no_link = F.lit(None).cast(links.select(link).schema[0].dataType)
+
+    def rows(df: DataFrame, block: Column, seq: Column, edit: Column, link: Column, own: bool) -> DataFrame:
+        return df.select(
+            "article", block.alias("_block"), seq.alias("_seq"), edit.alias("_edit"), link.alias("_link"),
+            F.lit(own).alias("_own"),
+        )
+
+    sent = rows(edits, block, F.col("seq"), edit, no_link, True)
+    # What the next block looks back on needs no more than what a previous version shows.
+    shown = ("seq", "content", "rev_id", "section")
+    tail = F.struct(
+        *(
+            (F.col(c) if c in shown else F.lit(None).cast(edits.schema[c].dataType)).alias(c)
+            for c in edits.columns
+        )
+    )
+    sent = sent.union(rows(edits.filter(follows), block + 1, F.col("seq"), tail, no_link, False))
+    sent = sent.union(rows(links, block, F.col("seq"), no_edit, link, True))
+    asks = links.filter(F.col("prev_seq").isNotNull())
+    sent = sent.union(rows(asks, block, F.col("prev_seq"), no_edit, no_link, False))
+    gathered = sent.repartition("article", "_block")
+    same = Window.partitionBy("article", "_block", "_seq")
+    asked = F.max(F.col("_edit").isNull() & F.col("_link").isNull()).over(same)
+    told = gathered.withColumn("_asked", asked).withColumn("_told", F.max("_link").over(same))
+    told = told.filter(F.col("_edit").isNotNull())
+    # An edit that is asked for stands under its own number, one that asks under that of the other.
+    previous = F.struct(F.col("_edit.content"), F.col("_edit.rev_id"), F.col("_edit.section"))
+    offers = F.when(F.col("_asked"), F.array(F.struct(F.col("_seq").alias("at"), F.lit(0).alias("kind"))))
+    at = F.coalesce(F.col("_told.prev_seq"), F.lit(-1) - F.col("_seq"))
+    takes = F.when(F.col("_own"), F.array(F.struct(at.alias("at"), F.lit(1).alias("kind"))))
+    none = F.array().cast("array<struct<at: long, kind: int>>")
+    both = F.concat(F.coalesce(offers, none), F.coalesce(takes, none))
+    met = told.withColumn("_place", F.explode(both))
+    offered = F.when(F.col("_place.kind") == 0, previous)
+    hand = Window.partitionBy("article", "_block", "_place.at")
+    first = hand.orderBy("_place.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    handed = met.withColumn("_previous", F.first(offered).over(first)).filter("_place.kind = 1")
+    return handed.select("_edit.*", "_told.*", "_previous").select(
         *edits.columns,
-        "prev_content",
-        "prev_rev_id",
-        "prev_section",
-        match_type.alias("match_type"),
-        distance.alias("match_distance"),
+        F.col("_previous.content").alias("prev_content"),
+        F.col("_previous.rev_id").alias("prev_rev_id"),
+        F.col("_previous.section").alias("prev_section"),
+        match_type().alias("match_type"),
+        match_distance().alias("match_distance"),
     )
 
 
