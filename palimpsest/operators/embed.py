@@ -1,7 +1,11 @@
 """Embedding of texts as the mean of their token vectors.
 
-``word_vectors`` is a table ``(token, vec ARRAY<FLOAT>)`` with unique tokens. Tokens without a vector
-count as zero vectors, so a text without any known token has a zero vector.
+``word_vectors`` is a table ``(token, vec ARRAY<FLOAT>)`` and may tell by ``n`` how frequent a token is. Of
+rows with the same token the one with the greatest vector counts; rows without token or vector don't. Tokens
+without a vector count as zero vectors, so a text without any known token has a zero vector.
+
+Vectors are added in the order of the text, whichever way they came to it, so the size of the table has no
+influence on the result, not even by rounding.
 """
 
 from __future__ import annotations
@@ -11,14 +15,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import clip, tokens
+from palimpsest.materialize import cut_lineage
 
 TABLE_LIMIT = 256 * 1024 * 1024
-SALTS = 16
+# Numbers gathered at a time.
+CELLS = 4_000_000
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -28,88 +35,161 @@ def word_vector_embedding(
 ) -> Embed:
     """An embedding stage: takes rows with ``content``, returns them with ``vec`` in its place.
 
-    A vector table of up to ``table_limit`` bytes is broadcast, and the rows are embedded where they
-    are, without a shuffle. A larger one is joined by token.
+    Of the vectors as many as ``table_limit`` bytes hold are broadcast, the most frequent tokens first. A
+    text that has others gets them by a join on the token, for which rows need ``article`` and ``seq``.
     """
-    size = word_vectors.agg(
+    vectors = one_per_token(word_vectors)
+    size = vectors.agg(
         F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("chars"),
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim"),
     ).first()
+    dim, total = size["dim"], size["chars"] + size["n"] * size["dim"] * 4
+    shared = []
+
+    def frequent() -> tuple[DataFrame, DataFrame | None]:
+        if total <= table_limit:
+            return vectors, None
+        # Rows of average size; the limit is on what they hold together.
+        count = int(table_limit * size["n"] // total)
+        order = [F.col("n").desc()] if "n" in vectors.columns else []
+        first = cut_lineage(vectors.orderBy(*order, "token").limit(count), "frequent")
+        return first, vectors.join(F.broadcast(first.select("token")), "token", "left_anti")
 
     def embed(df: DataFrame) -> DataFrame:
+        if not shared:
+            first, rest = frequent()
+            shared.append((_broadcast(first, dim), first, rest))
+        known, first, rest = shared[0]
         words = tokens(clip(F.col("content"), max_chars))
         tokenised = df.withColumn("_tokens", words).drop("content")
-        if size["chars"] + size["n"] * size["dim"] * 4 <= table_limit:
-            return _embed_by_broadcast(tokenised, word_vectors, size["dim"])
-        return _embed_by_join(tokenised, word_vectors, size["dim"])
+        if rest is not None:
+            tokenised = _with_others(tokenised, first, rest)
+        return _means(tokenised, known, dim)
 
     return embed
 
 
-def column_embedding(embedder: Callable[[Column], Column], max_chars: int | None = None) -> Embed:
-    """An embedding stage around a user's own model, given as a pandas UDF of the text."""
+def one_per_token(word_vectors: DataFrame) -> DataFrame:
+    kept = word_vectors.filter(F.col("token").isNotNull() & F.col("vec").isNotNull())
+    kept = kept.withColumn("vec", F.col("vec").cast("array<float>"))
+    counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    # Most tables have none, and need not be sorted by token then.
+    if counts.filter("c > 1").isEmpty():
+        return kept
+    most = [F.max("n").alias("n")] if "n" in kept.columns else []
+    return kept.groupBy("token").agg(F.max("vec").alias("vec"), *most)
 
-    def embed(df: DataFrame) -> DataFrame:
-        vec = embedder(clip(F.col("content"), max_chars)).cast("array<float>")
-        return df.withColumn("vec", vec).drop("content")
 
-    return embed
+def _broadcast(vectors: DataFrame, dim: int):
+    table = vectors.select("token", "vec").toArrow()
+    matrix = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(table), dim)
+    return vectors.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), matrix))
 
 
-def _embed_by_broadcast(df: DataFrame, word_vectors: DataFrame, dim: int) -> DataFrame:
-    table = word_vectors.select("token", F.col("vec").cast("array<float>")).toArrow()
-    vectors = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(table), dim)
-    # Unknown tokens point at the extra row of zeros.
-    matrix = np.vstack([vectors, np.zeros((1, dim), np.float32)])
-    shared = df.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), matrix))
+def _with_others(df: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
+    """Adds ``_others``, the tokens and vectors of each text that aren't broadcast."""
+    key = ["article", "seq"]
+    # Frequent tokens are sorted out where they are, so the join has no hot key. The outer form of
+    # explode adds no filter that would find the tokens a second time.
+    words = df.select(*key, F.explode_outer(F.array_distinct("_tokens")).alias("token"))
+    rare = words.join(F.broadcast(first.select("token")), "token", "left_anti")
+    found = rare.join(rest.select("token", "vec"), "token")
+    others = found.groupBy(*key).agg(F.collect_list(F.struct("token", "vec")).alias("_others"))
+    return df.join(others, key, "left")
+
+
+def _means(df: DataFrame, known, dim: int) -> DataFrame:
+    names = [c for c in df.columns if c not in ("_tokens", "_others")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, matrix = shared.value
-        unknown = len(matrix) - 1
+        vocabulary, matrix = known.value
         for batch in batches:
             lists = batch.column("_tokens")
-            found = pc.index_in(lists.flatten(), value_set=vocabulary)
-            rows = pc.fill_null(found, unknown).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            means = np.zeros((len(lists), dim), np.float32)
-            start = 0
-            for i, end in enumerate(ends):
-                if end > start:
-                    means[i] = matrix[rows[start:end]].mean(axis=0, dtype=np.float64)
-                start = end
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            words = lists.flatten()
+            found = pc.index_in(words, value_set=vocabulary)
+            rows = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+            more = np.zeros((0, dim), np.float32)
+            if "_others" in batch.schema.names:
+                others = batch.column("_others")
+                flat = others.flatten()
+                if len(flat):
+                    more = flat.field("vec").flatten().to_numpy().reshape(-1, dim)
+                    # A token has one vector, whichever text it came with.
+                    at = pc.index_in(words, value_set=flat.field("token"))
+                    at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+                    rows = np.where((rows < 0) & (at >= 0), at + len(matrix), rows)
+            owner, rows = owner[rows >= 0], rows[rows >= 0]
+            sums = _sums(matrix, more, rows, owner, len(lists))
+            means = (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
             offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
             vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.reshape(-1)))
-            kept = batch.drop_columns(["_tokens"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, vec], names=[*kept.schema.names, "vec"]
-            )
+            kept = batch.select(names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, vec], names=[*names, "vec"])
 
-    schema = T.StructType(df.drop("_tokens").schema.fields).add("vec", T.ArrayType(T.FloatType()))
+    schema = T.StructType(df.select(*names).schema.fields).add("vec", T.ArrayType(T.FloatType()))
     return df.mapInArrow(run, schema)
 
 
-def _embed_by_join(df: DataFrame, word_vectors: DataFrame, dim: int) -> DataFrame:
-    # Imported here, so that Python workers of the other path need not load it.
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+def _sums(matrix: np.ndarray, more: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each owner the sum of its rows, one after the other. ``owner`` ascends, and rows of ``more``
+    are numbered after those of ``matrix``."""
+    dim = matrix.shape[1]
+    sums = np.zeros((n, dim))
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    ends = np.append(starts[1:], len(rows))
+    step = max(1, CELLS // max(dim, 1))
+    at = 0
+    while at < len(starts):
+        # Whole texts, as many as fit, or one that doesn't.
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + step, "right")))
+        part = slice(starts[at], ends[to - 1])
+        gathered = np.empty((part.stop - part.start, dim))
+        common = rows[part] < len(matrix)
+        gathered[common] = matrix[rows[part][common]]
+        gathered[~common] = more[rows[part][~common] - len(matrix)]
+        sums[owner[starts[at:to]]] = np.add.reduceat(gathered, starts[at:to] - starts[at], axis=0)
+        at = to
+    return sums
 
-    key = ["article", "seq"]
-    # One row per distinct token of a text; a frequent token is spread over the salts. The outer form
-    # of explode adds no filter that would find the tokens a second time.
-    counted = (
-        df.select(*key, F.explode_outer("_tokens").alias("token"))
-        .groupBy(*key, "token")
-        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
-        .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-    )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    vector = array_to_vector(F.col("vec").cast("array<double>")).alias("_vector")
-    sums = (
-        counted.join(word_vectors.select("token", vector, salts), ["token", "_salt"])
-        .groupBy(*key)
-        .agg(vector_to_array(Summarizer.sum(F.col("_vector"), F.col("_n"))).alias("_sum"))
-    )
-    mean = F.transform("_sum", lambda x: x / F.size("_tokens"))
-    vec = F.coalesce(mean, F.array_repeat(F.lit(0.0), dim)).cast("array<float>")
-    return df.join(sums, key, "left").withColumn("vec", vec).drop("_tokens", "_sum")
+
+def column_embedding(embedder: Callable[[Column], Column], max_chars: int | None = None) -> Embed:
+    """An embedding stage around a user's own model, given as a pandas UDF of the text."""
+
+    def embed(df: DataFrame) -> DataFrame:
+        vec = embedder(clip(F.col("content"), max_chars)).cast("array<float>")
+        return df.withColumn("vec", vec).drop("content")
+
+    return embed
+
+
+def stored_embedding(embed: Embed, path: str) -> Embed:
+    """An embedding stage that embeds each distinct text once, over all runs with the same ``path``.
+
+    The folder holds ``(text_id, vec)``, by fingerprint of the text. Only texts that are not there are
+    sent to ``embed``, one of each, and added; all rows get their vectors from the folder. It belongs to
+    one model: another one, or another ``max_chars``, needs another folder.
+    """
+
+    def stored(df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        content = F.coalesce("content", F.lit(""))
+        keyed = df.withColumn("_text_id", F.sha2(content, 256))
+        texts = keyed.select(F.col("_text_id").alias("text_id"), content.alias("content"))
+        try:
+            texts = texts.join(spark.read.parquet(path).select("text_id"), "text_id", "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        distinct = texts.groupBy("text_id").agg(F.first("content").alias("content"))
+        # As an article with one edit, for stages that ask for these.
+        rows = distinct.select("text_id", F.col("text_id").alias("article"), F.lit(0).alias("seq"), "content")
+        embed(rows).select("text_id", "vec").write.mode("append").parquet(path)
+        # Runs at the same time may both add a text.
+        key = F.col("text_id").alias("_text_id")
+        vectors = spark.read.parquet(path).groupBy(key).agg(F.first("vec").alias("vec"))
+        return keyed.drop("content", "vec").join(vectors, "_text_id", "left").drop("_text_id")
+
+    return stored

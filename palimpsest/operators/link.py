@@ -32,6 +32,11 @@ STEP = 256
 MAX_COLUMNS = 8000
 CELLS = 2_000_000
 BAGS = 32
+# Coordinates that bound the similarity of contents.
+LEADING = 16
+SLACK = 1e-9
+# What a product of one pair costs, in products that are part of a matrix product.
+SINGLE = 20
 
 LINK_SCHEMA = "article string, seq long, prev_seq long, title_match boolean, content_match boolean"
 
@@ -229,8 +234,9 @@ def _linker(
             allowed = (group[near] == group[rows, None]) & (seq[near] < now)
             allowed &= (seq[near] >= now - lookback) & (rev[near] != rev[rows, None])
             allowed &= top[near] | ~lead[:, None]
-            cosine = np.where(text[near] == text[rows, None], 1.0, unit[rows] @ unit[near].T)
-            by_content = _newest(allowed & (cosine >= content_threshold))
+            same = text[near] == text[rows, None]
+            similar, _ = similar_contents(unit[rows], unit[near], allowed, same, content_threshold)
+            by_content = _newest(similar)
             codes, local = np.unique(title[near], return_inverse=True)
             by_title = newest_similar_titles(
                 np.searchsorted(codes, title[rows]),
@@ -286,6 +292,36 @@ def _unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
+def similar_contents(
+    a: np.ndarray, b: np.ndarray, allowed: np.ndarray, same: np.ndarray, threshold: float
+) -> tuple[np.ndarray, int]:
+    """Which allowed pairs have the same text or reach the cosine, and how many products that took.
+
+    ``a`` and ``b`` hold unit vectors or zeros. The product over a few leading coordinates and the
+    lengths of what is left bound the whole one from above (Cauchy-Schwarz), so only pairs that can reach
+    the threshold are multiplied in full.
+    """
+    similar = allowed & same if threshold <= 1 else np.zeros_like(allowed)
+    open_ = allowed & ~same
+    if a.shape[1] > 2 * LEADING:
+        left = [np.sqrt(np.square(x[:, LEADING:]).sum(axis=1)) for x in (a, b)]
+        bound = a[:, :LEADING] @ b[:, :LEADING].T + left[0][:, None] * left[1]
+        # Rounding must not decide.
+        open_ &= bound >= threshold - SLACK
+    some, others = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    count = int(np.count_nonzero(open_))
+    if count * SINGLE > len(some) * len(others):
+        block = np.ix_(some, others)
+        similar[block] |= open_[block] & (a[some] @ b[others].T >= threshold)
+        return similar, len(some) * len(others)
+    rows, columns = np.nonzero(open_)
+    step = max(1, CELLS // max(a.shape[1], 1))
+    for at in range(0, count, step):
+        i, j = rows[at : at + step], columns[at : at + step]
+        similar[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
+    return similar, count
+
+
 def _newest(matches: np.ndarray) -> np.ndarray:
     """The last true column of each row, or -1."""
     last = matches.shape[1] - 1 - np.argmax(matches[:, ::-1], axis=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,46 @@ def parse_rate(parsed: DataFrame) -> DataFrame:
 
 def failed_answers(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("labels").isNull())
+
+
+MATCH_TYPES = ("first-time", "none", "title", "content", "both")
+
+
+def observed_links(linked: DataFrame) -> tuple[DataFrame, Observation]:
+    """``linked``, and figures of it that come with whatever run writes it.
+
+    They are exact where no shuffle follows before the write, as for prompts: a task that is run again
+    there counts once.
+    """
+    seen = Observation()
+    distance = F.when(F.col("match_distance") > 0, F.col("match_distance"))
+    types = [F.count_if(F.col("match_type") == t).alias(f"n_{t}") for t in MATCH_TYPES]
+    observed = linked.observe(
+        seen,
+        *types,
+        F.count(distance).alias("n_linked"),
+        F.coalesce(F.sum(distance), F.lit(0)).alias("sum_distance"),
+        F.max(distance).alias("max_distance"),
+    )
+    return observed, seen
+
+
+def observed_answers(parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    n_parsed = F.count(F.when(F.col("labels").isNotNull(), 1)).alias("n_parsed")
+    return parsed.observe(seen, n_parsed, F.count(F.lit(1)).alias("n_prompts")), seen
+
+
+def link_figures(seen: Observation) -> dict[str, object]:
+    """Match types and distances as ``match_type_stats`` and ``match_distance_stats`` count them.
+
+    Waits for the run that the figures come from.
+    """
+    found = seen.get
+    n = found["n_linked"]
+    return {
+        "types": {t: found[f"n_{t}"] for t in MATCH_TYPES if found[f"n_{t}"]},
+        "n_linked": n,
+        "avg_distance": found["sum_distance"] / n if n else None,
+        "max_distance": found["max_distance"],
+    }

@@ -6,14 +6,27 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest.materialize import cut_lineage
 from palimpsest.operators.changes import section_edits
 from palimpsest.operators.embed import Embed
 from palimpsest.operators.labels import parse_answers
-from palimpsest.operators.link import CONTENT_THRESHOLD, LOOKBACK, TITLE_THRESHOLD, link_edits
+from palimpsest.operators.link import (
+    CONTENT_THRESHOLD,
+    LOOKBACK,
+    TITLE_THRESHOLD,
+    link_edits,
+    link_types,
+)
 from palimpsest.operators.prompts import build_prompts
-from palimpsest.sources.batch import join_responses
+from palimpsest.sources.batch import (
+    join_responses,
+    ledger_answers,
+    open_prompts,
+    read_ledger,
+    record_answers,
+)
 from palimpsest.sources.output import labelled_edits
 
 
@@ -29,6 +42,18 @@ def link_revisions(
     return link_edits(edits, embed, title_threshold, content_threshold, lookback)
 
 
+def link_revision_types(
+    revisions: DataFrame,
+    embed: Embed,
+    title_threshold: float = TITLE_THRESHOLD,
+    content_threshold: float = CONTENT_THRESHOLD,
+    lookback: int = LOOKBACK,
+) -> DataFrame:
+    """What ``link_revisions`` finds, without texts: for counts of matches and prompts."""
+    edits = cut_lineage(section_edits(revisions), "edits")
+    return link_types(edits, embed, title_threshold, content_threshold, lookback)
+
+
 def prompts_for_model(
     linked: DataFrame, taxonomy: DataFrame, taxonomy_first_time: DataFrame
 ) -> DataFrame:
@@ -36,11 +61,8 @@ def prompts_for_model(
     return cut_lineage(build_prompts(linked, taxonomy, taxonomy_first_time), "prompts")
 
 
-def score(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Answers ``(custom_id, response)`` from a model called on Arrow batches of prompts.
-
-    The answers are written, since a model is costly and need not answer the same way twice.
-    """
+def answered(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """``(custom_id, response)`` from a model called on Arrow batches of prompts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -48,8 +70,27 @@ def score(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFr
             yield pd.DataFrame({"custom_id": batch["custom_id"], "response": list(answers)})
 
     asked = prompts.select("custom_id", "prompt")
-    answers = asked.mapInPandas(run, "custom_id string, response string")
-    return cut_lineage(answers, "responses")
+    return asked.mapInPandas(run, "custom_id string, response string")
+
+
+def score(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Answers, written, since a model is costly and need not answer the same way twice."""
+    return cut_lineage(answered(prompts, model), "responses")
+
+
+def resumed_score(
+    prompts: DataFrame, model: Callable[[pd.Series], pd.Series], ledger: str
+) -> DataFrame:
+    """Answers as ``score`` gives them, but only prompts that the ledger has no answer to are asked.
+
+    A null answer counts as failed: it is noted, and its prompt is asked again in the next run.
+    """
+    spark = prompts.sparkSession
+    open_ = cut_lineage(open_prompts(prompts, read_ledger(spark, ledger)), "open")
+    responses = cut_lineage(answered(open_, model), "responses")
+    failed = responses.filter(F.col("response").isNull())
+    record_answers(open_, responses.filter(F.col("response").isNotNull()), ledger, failed)
+    return ledger_answers(prompts, read_ledger(spark, ledger))
 
 
 def label_edits(prompts: DataFrame, responses: DataFrame, taxonomy: DataFrame) -> DataFrame:

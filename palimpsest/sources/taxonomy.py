@@ -8,15 +8,20 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.api_pages import source_place
+
 # The columns of a taxonomy file, whose header reads #,Category Name,Definition,Example.
 TAXONOMY_SCHEMA = "label INT, category STRING, definition STRING, example STRING"
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """A taxonomy CSV with quoted commas, doubled quotes and line breaks in cells."""
+def read_taxonomy(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A taxonomy CSV with quoted commas, doubled quotes and line breaks in cells.
+
+    Several files are read in order of their names. The position is one in all of them.
+    """
     reader = spark.read.schema(TAXONOMY_SCHEMA).option("header", True).option("escape", '"')
     rows = reader.option("multiLine", True).option("enforceSchema", True).csv(path)
-    return one_per_label(rows.withColumn("position", F.monotonically_increasing_id()))
+    return one_per_label(rows.withColumn("position", source_place()))
 
 
 def bundled_taxonomy(spark: SparkSession, first_time: bool = False) -> DataFrame:

@@ -9,8 +9,20 @@ from pyspark.sql import types as T
 from palimpsest.functions.similarity import cosine
 from palimpsest.functions.similarity import title_similarity as title_similarity_column
 from palimpsest.operators import link as link_module
-from palimpsest.operators.embed import column_embedding, word_vector_embedding
-from palimpsest.operators.link import _encoded, link_edits, similar_titles
+from palimpsest.operators.changes import section_edits
+from palimpsest.operators.embed import (
+    column_embedding,
+    stored_embedding,
+    word_vector_embedding,
+)
+from palimpsest.operators.link import (
+    _encoded,
+    link_edits,
+    link_types,
+    similar_contents,
+    similar_titles,
+)
+from palimpsest.operators.prompts import is_first_time
 from palimpsest.operators.report import linking_stats, match_distance_stats, match_type_stats
 
 ITEMS = "article string, seq long, rev_id long, section string, content string, vec array<float>"
@@ -117,19 +129,138 @@ def test_similarity_columns(spark):
     assert [round(r.s, 9) for r in rows] == [1.0, 0.0, round(0.5**0.5, 9)]
 
 
-def test_both_ways_to_embed_agree(spark):
-    words = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), (".", [4.0, 4.0])]
-    vectors = spark.createDataFrame(words, "token string, vec array<float>")
+def test_all_ways_to_embed_agree(spark):
+    """Broadcast, partly broadcast and joined; of a repeated token the greatest vector counts."""
+    words = [("a", [1.0, 0.0], 5), ("a", [0.0, 9.0], 7), ("b", [0.0, 1.0], 9), (".", [4.0, 4.0], 1)]
+    words += [(None, [1.0, 1.0], 3), ("nothing", None, 2)]
+    vectors = spark.createDataFrame(words, "token string, vec array<float>, n long")
     texts = ["a b", "a a unknown.", "", None, "nothing known", "a" * 20, "b " * 6000]
     rows = [("x", i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "article string, seq long, content string")
     expected = [[0.5, 0.5], [1.5, 1.0], [0, 0], [0, 0], [0, 0], [0, 0], [0.0, 1.0]]
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 20, 10, 0):
         embed = word_vector_embedding(vectors, table_limit=limit)
         found = embed(df).orderBy("seq").collect()
         assert [r.vec for r in found] == expected, limit
 
 
+def test_limits_do_not_touch_a_bit(spark):
+    rng = np.random.default_rng(5)
+    names = [f"t{i}" for i in range(300)]
+    words = [(t, rng.normal(size=7).tolist(), i) for i, t in enumerate(names)]
+    vectors = spark.createDataFrame(words, "token string, vec array<float>, n long")
+    texts = [" ".join(rng.choice(names, rng.integers(0, 400))) for _ in range(40)]
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "article string, seq long, content string")
+    found = [
+        [r.vec for r in word_vector_embedding(vectors, table_limit=limit)(df).orderBy("seq").collect()]
+        for limit in (1 << 20, 3000, 0)
+    ]
+    assert found[0] == found[1] == found[2]
+    by_token = {t: np.array(v, np.float32) for t, v, _ in words}
+    means = [np.mean([by_token[t] for t in x.split()], axis=0, dtype=np.float64) if x else np.zeros(7) for x in texts]
+    assert np.allclose(found[0], means, atol=1e-6)
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def embed(df):
+        @F.pandas_udf("array<float>")
+        def length(texts):
+            asked.add(len(texts))
+            return texts.map(lambda t: [float(len(t))])
+
+        return column_embedding(length)(df)
+
+    stored = stored_embedding(embed, str(tmp_path / "vectors"))
+    texts = ["a", "bb", "a", None, "", "ccc", "bb"] * 20
+    df = spark.createDataFrame(
+        [(i, t, "kept") for i, t in enumerate(texts)], "n int, content string, text_id string"
+    )
+    for rows in (df, df, df.union(df.limit(5))):
+        found = stored(rows)
+        assert found.columns == ["n", "text_id", "vec"]
+        assert all(r.vec == [len(texts[r.n] or "")] and r.text_id == "kept" for r in found.collect())
+        # The null counts as an empty text.
+        assert asked.value == 4
+    more = spark.createDataFrame([(0, "new", "x")], df.schema)
+    stored(more).collect()
+    assert asked.value == 5
+
+
+def exchanges_of(df, column, capsys):
+    """Shuffles of the plan that move a column."""
+    df.explain("formatted")
+    nodes = capsys.readouterr().out.split("\n\n")
+    moved = [n for n in nodes if ") Exchange" in n.split("\n")[0] or ") Exchange" in n[:12]]
+    return [n for n in moved if f"{column}#" in n]
+
+
+def test_texts_are_shuffled_twice(spark, tmp_path, capsys):
+    """Once to their changed sections, and once to meet their previous versions."""
+    rows = [("a", i, i, None, f"lead {i}\n== A ==\n{i // 2}") for i in range(20)]
+    schema = "article string, rev_id long, second int, user string, wikitext string"
+    spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("second")).write.parquet(str(tmp_path / "revs"))
+    edits = section_edits(spark.read.parquet(str(tmp_path / "revs")))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(exchanges_of(edits, "wikitext", capsys)) == 1
+        edits.write.parquet(str(tmp_path / "edits"))
+        edits = spark.read.parquet(str(tmp_path / "edits"))
+
+        def embed(df):
+            return df.withColumn("vec", F.array(F.lit(1.0)).cast("array<float>")).drop("content")
+
+        linked = link_edits(edits, embed)
+        assert len(exchanges_of(linked, "_edit", capsys)) == 1
+        assert not exchanges_of(linked, "content", capsys)
+        assert not exchanges_of(link_types(edits, embed), "content", capsys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_types_without_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for article in ("a", "b"):
+        for seq in range(300):
+            rev_id = None if rng.random() < 0.1 else seq // 2
+            rows.append((article, seq, rev_id, rng.choice(["(Top)", "Uses", "Use", "Other"]), rng.choice(["", None, "1 0", "0 1", "2 1"])))
+    edits = spark.createDataFrame(rows, "article string, seq long, rev_id long, section string, content string")
+    edits = edits.fillna(-1, ["rev_id"])
+    linked = link_edits(edits, given_vectors, lookback=40)
+    narrow = link_types(edits, given_vectors, lookback=40)
+    expected = linked.withColumn("is_first_time", is_first_time())
+    key = ["article", "seq", "match_type", "match_distance", "is_first_time"]
+    assert sorted(map(tuple, narrow.select(*key).collect())) == sorted(map(tuple, expected.select(*key).collect()))
+    by_seq = {(r.article, r.seq): r for r in linked.collect()}
+    for r in by_seq.values():
+        if r.match_distance:
+            previous = by_seq[r.article, r.seq - r.match_distance]
+            assert (r.prev_content, r.prev_section, r.prev_rev_id) == (previous.content, previous.section, previous.rev_id)
+        else:
+            assert r.prev_section is None
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_bounds_spare_products(spread):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=100)
+    vectors = base + spread * rng.normal(size=(400, 100))
+    vectors[::7] = vectors[3]
+    vectors[5] = 0
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+    allowed = rng.random((400, 400)) < 0.7
+    same = rng.random((400, 400)) < 0.01
+    similar, products = similar_contents(unit, unit, allowed, same, 0.99)
+    assert (similar == allowed & (same | (unit @ unit.T >= 0.99))).all()
+    if spread == 1.0:
+        assert products < 0.1 * allowed.sum()
+    assert not similar_contents(unit, unit, allowed, same, 2.0)[0].any()
+
+
 def test_text_is_cut_before_embedding(spark):
     words = spark.createDataFrame([("a", [1.0]), ("b", [9.0])], "token string, vec array<float>")
     df = spark.createDataFrame([("x", 0, "a a b b")], "article string, seq long, content string")

@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.changes import section_edits
 from palimpsest.operators.embed import word_vector_embedding
-from palimpsest.plans.chain import label_edits, link_revisions, prompts_for_model, score
+from palimpsest.plans.chain import (
+    label_edits,
+    link_revisions,
+    prompts_for_model,
+    resumed_score,
+    score,
+)
 from palimpsest.sources.api_pages import (
     ANONYMOUS,
     corrupt_pages,
@@ -17,14 +23,19 @@ from palimpsest.sources.api_pages import (
 )
 from palimpsest.sources.batch import (
     NO_RESPONSE,
+    failed_prompts,
     join_responses,
+    ledger_answers,
+    open_prompts,
     read_errors,
+    read_ledger,
     read_requests,
     read_responses,
+    record_answers,
     write_requests,
 )
 from palimpsest.sources.output import COLUMNS, CSV_HEADER, read_csv, write_csv, write_parquet
-from palimpsest.sources.taxonomy import bundled_taxonomy
+from palimpsest.sources.taxonomy import bundled_taxonomy, read_taxonomy
 
 
 def response(page_id, title, *revisions):
@@ -154,6 +165,59 @@ def test_responses(spark, tmp_path):
     }
 
 
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    """Large files are read first by Spark; the order of the names counts all the same."""
+    for name, size in (("a", 3), ("b", 5000), ("c", 1)):
+        lines = [answer(f"k{i % 3}", f"{name}{i} " + "x" * size) for i in range(6)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines), encoding="utf-8")
+        rows = "".join(f'{i % 2},{name}{i},"d, ""{name}""\n{"y" * size}",e\n' for i in range(4))
+        (tmp_path / f"{name}.csv").write_text("#,Category Name,Definition,Example\n" + rows, encoding="utf-8")
+    found = read_responses(spark, [str(tmp_path / f"{n}.jsonl") for n in "cab"]).collect()
+    assert {r.custom_id: r.response.strip("x ") for r in found} == {"k0": "c3", "k1": "c4", "k2": "c5"}
+    rows = read_taxonomy(spark, [str(tmp_path / f"{n}.csv") for n in "bca"]).orderBy("position").collect()
+    assert [(r.label, r.category, r.definition[:6]) for r in rows] == [(0, "c2", 'd, "c"'), (1, "c3", 'd, "c"')]
+
+
+def test_resumed_exchange(spark, tmp_path):
+    prompts = spark.createDataFrame([(f"a#{i}", f"p{i}") for i in range(10)], "custom_id string, prompt string")
+    ledger = str(tmp_path / "ledger")
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(answer):
+        def run(texts):
+            asked.add(len(texts))
+            return texts.map(answer)
+
+        return run
+
+    first = resumed_score(prompts, model(lambda p: p.upper() if int(p[1:]) < 5 else None), ledger)
+    assert sorted(r.response for r in first.collect()) == [f"P{i}" for i in range(5)] and asked.value == 10
+    assert failed_prompts(read_ledger(spark, ledger)).agg(F.sum("n_failed")).first()[0] == 5
+    second = resumed_score(prompts, model(str.upper), ledger)
+    assert sorted(r.response for r in second.collect()) == [f"P{i}" for i in range(10)] and asked.value == 15
+    assert resumed_score(prompts, model(str), ledger).count() == 10 and asked.value == 15
+    assert failed_prompts(read_ledger(spark, ledger)).isEmpty()
+    # A prompt that has changed under its id is open again.
+    changed = prompts.withColumn("prompt", F.when(F.col("custom_id") == "a#3", "p33").otherwise(F.col("prompt")))
+    assert [r.custom_id for r in open_prompts(changed, read_ledger(spark, ledger)).collect()] == ["a#3"]
+
+
+def test_answers_and_errors_from_files_go_to_the_ledger(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    lines = [answer("a#1", "first"), answer("a#0", "zero"), answer("a#9", "stray")]
+    (tmp_path / "good.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    error = [json.dumps({"custom_id": c, "error": {"code": "429"}}) for c in ("a#2", "a#2", "a#0")]
+    (tmp_path / "bad.jsonl").write_text("\n".join(error), encoding="utf-8")
+    prompts = spark.createDataFrame([(f"a#{i}", "p") for i in range(4)], "custom_id string, prompt string")
+    responses = read_responses(spark, str(tmp_path / "good.jsonl"))
+    record_answers(prompts, responses, ledger, read_errors(spark, str(tmp_path / "bad.jsonl")))
+    kept = read_ledger(spark, ledger)
+    assert sorted(r.custom_id for r in open_prompts(prompts, kept).collect()) == ["a#2", "a#3"]
+    assert [tuple(r) for r in failed_prompts(kept).collect()] == [("a#2", 1)]
+    answers = ledger_answers(prompts, kept)
+    assert sorted(map(tuple, answers.collect())) == [("a#0", "zero"), ("a#1", "first")]
+
+
 def test_errors(spark, tmp_path):
     good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
     good.write_text(answer("a#0", "x"), encoding="utf-8")

@@ -69,6 +69,13 @@ FROM (
   WINDOW h AS (PARTITION BY art ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 """
 
+SOURCE_REVISIONS = f"""
+SELECT source AS article, doc_id AS rev_id, {EPOCH} + (doc_id // 4) * 3600 AS ts_seconds, lang AS user_name,
+  CASE WHEN doc_id % 11 = 5 THEN '' ELSE lang || chr(10) || CASE doc_id % 3 WHEN 0 THEN '== A ==' WHEN 1 THEN '=== B ==='
+    ELSE '== A ==' || chr(10) || 'x' || chr(10) || '== C/d ==' END || chr(10) || text END AS wikitext
+FROM documents
+"""
+
 LINES = f"""
 SELECT article, rev_id, ts_seconds, user_name, i, line,
   regexp_matches(line, '{HEADING}') AS head,
@@ -306,6 +313,18 @@ def sql(select: str, **given: str) -> str:
 LINK_COLUMNS = """SELECT article, seq, section, match_type, match_distance, prev_rev_id, prev_section,
   md5(coalesce(prev_content, '')) AS prev_md5 FROM links"""
 
+EDIT_COLUMNS = """SELECT article, seq, rev_id, ts_seconds, user_name AS "user", pos, section,
+  repeat('*', level) AS level_stars, md5(content) AS content_md5 FROM edits"""
+MEAN_VECTORS = """SELECT article, seq, CAST(generate_subscripts(vec, 1) - 1 AS INT) AS dim,
+  round(CAST(unnest(vec) AS DOUBLE), 6) + 0.0 AS x FROM vectors"""
+FIGURES = """
+SELECT match_type AS figure, count(*)::DOUBLE AS value FROM links GROUP BY match_type
+UNION ALL SELECT 'n_linked', count(*) FILTER (match_distance > 0) FROM links
+UNION ALL SELECT 'avg_distance', avg(match_distance) FILTER (match_distance > 0) FROM links
+UNION ALL SELECT 'max_distance', max(match_distance) FILTER (match_distance > 0) FROM links
+UNION ALL SELECT 'n_prompts', count(*) FROM links
+UNION ALL SELECT 'n_parsed', count(p.labels) FROM links l JOIN parsed p ON p.doc_id = l.rev_id"""
+
 ORACLES = {
     "section_split": sql(
         """SELECT article, rev_id, pos, section, length(content) AS n_chars, md5(content) AS content_md5
@@ -319,10 +338,9 @@ ORACLES = {
         """SELECT article, count(*) AS n_revisions,
         count(*) FILTER (WHERE length(wikitext) > 0) AS n_with_text FROM revs GROUP BY article""",
     ),
-    "section_changes": sql(
-        """SELECT article, seq, rev_id, ts_seconds, user_name AS "user", pos, section,
-        repeat('*', level) AS level_stars, md5(content) AS content_md5 FROM edits""",
-    ),
+    "section_changes": sql(EDIT_COLUMNS),
+    "section_changes_sliced": sql(EDIT_COLUMNS, revs=SOURCE_REVISIONS),
+    "carried_state": sql(EDIT_COLUMNS),
     "edits_by_section": sql(
         "SELECT article, section, count(*) AS n_edits FROM edits GROUP BY article, section"
     ),
@@ -343,11 +361,8 @@ ORACLES = {
     "cosine_pairs": """SELECT a.vec_id, round(list_cosine_similarity(
         CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "mean_embedding": sql(
-        """SELECT article, seq, CAST(generate_subscripts(vec, 1) - 1 AS INT) AS dim,
-        round(CAST(unnest(vec) AS DOUBLE), 6) + 0.0 AS x FROM vectors""",
-        items=TURN_EDITS,
-    ),
+    "mean_embedding": sql(MEAN_VECTORS, items=TURN_EDITS),
+    "mean_embedding_joined": sql(MEAN_VECTORS, items=TURN_EDITS),
     "own_embedding": sql(
         """SELECT article, seq, CAST(length(content) AS DOUBLE) AS n_chars,
         CAST(length(content) - length(replace(content, ' ', '')) AS DOUBLE) AS n_spaces FROM items""",
@@ -362,6 +377,12 @@ ORACLES = {
     "link_lookback": sql(
         LINK_COLUMNS, items=SOURCE_EDITS, links=links(0.8, 0.99, LOOKBACK)
     ),
+    "link_blocks": sql(LINK_COLUMNS, items=SOURCE_EDITS),
+    "link_type_rows": sql(
+        """SELECT article, seq, section, match_type, match_distance,
+        match_type IN ('first-time', 'none') AS is_first_time FROM links""",
+    ),
+    "chain_figures": sql(FIGURES),
     "link_turns": sql(LINK_COLUMNS, items=TURN_EDITS),
     "match_types": sql(
         """SELECT match_type, count(*) AS n,
@@ -413,8 +434,24 @@ ORACLES = {
     ),
     "api_scan": sql(
         """SELECT article, rev_id, ts_seconds, user_name AS "user", length(wikitext) AS n_chars,
-        md5(wikitext) AS text_md5 FROM revs""",
+        md5(wikitext) AS text_md5,
+        row_number() OVER (PARTITION BY article ORDER BY rev_id % 3, rev_id) - 1 AS rev_seq FROM revs""",
     ),
+    "overlapping_pages": """SELECT 'revision' AS kind, doc_id AS rev_id, md5(coalesce(text, '')) AS text_md5
+        FROM documents
+        UNION ALL SELECT CASE WHEN d.doc_id IS NULL THEN 'revision' ELSE 'conflict' END, e.doc_id + 1,
+          md5('early ' || (e.doc_id + 1))
+        FROM documents e LEFT JOIN documents d ON d.doc_id = e.doc_id + 1
+        UNION ALL SELECT 'corrupt', NULL, md5('T') FROM documents WHERE doc_id % 4 = 0""",
+    "empty_history": "SELECT count(*) AS n_pages, 0::BIGINT AS n_prompts FROM documents",
+    "taxonomy_files": """SELECT CAST(doc_id % 150 AS INT) AS label, '"Kind", ' || max(doc_id) AS category,
+        md5(arg_max(coalesce(text, ''), doc_id)) AS definition_md5, arg_max(source, doc_id) AS example
+        FROM documents GROUP BY doc_id % 150""",
+    "repeated_responses": """SELECT CAST(doc_id % 150 AS VARCHAR) AS custom_id,
+        md5(arg_max(coalesce(text, ''), doc_id)) AS response_md5 FROM documents GROUP BY doc_id % 150""",
+    "resumed_exchange": """SELECT CAST(doc_id AS VARCHAR) AS custom_id,
+        CASE WHEN length(text) % 3 = 0 THEN 'second ' ELSE 'first ' END || length(text) AS response,
+        CASE WHEN length(text) % 3 = 0 THEN 2::BIGINT ELSE 1 END AS n_asked FROM documents""",
     "partial_pages": """SELECT CASE WHEN doc_id % 5 = 0 THEN 'Asked' ELSE 'T' END AS article,
         CAST(2 * doc_id + i AS BIGINT) AS rev_id, md5(coalesce(text, '')) AS text_md5
         FROM documents, (VALUES (0), (1)) AS v(i) WHERE doc_id % 7 <> 6""",

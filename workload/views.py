@@ -53,6 +53,20 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a revision of its source's article, under headings that take turns."""
+    doc = F.col("doc_id")
+    heads = F.array(F.lit("== A ==\n"), F.lit("=== B ===\n"), F.lit("== A ==\nx\n== C/d ==\n"))
+    text = F.concat("lang", F.lit("\n"), F.get(heads, (doc % 3).cast("int")), "text")
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("article"),
+        doc.alias("rev_id"),
+        F.timestamp_seconds(F.lit(EPOCH) + F.floor(doc / 4) * 3600).alias("ts"),
+        F.col("lang").alias("user"),
+        F.when(doc % 11 == 5, "").otherwise(text).alias("wikitext"),
+    )
+
+
 def source_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an edit of its source's article; few articles with long histories."""
     lang = F.col("lang")
@@ -90,14 +104,22 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("token")
         .count()
         .withColumn("n", n)
-        .select("token", slot.alias("vec_id"))
+        .select("token", F.col("count").alias("n"), slot.alias("vec_id"))
         .join(embeddings, "vec_id")
-        .select("token", F.col("embedding").alias("vec"))
+        .select("token", "n", F.col("embedding").alias("vec"))
     )
 
 
+_embeddings: dict[tuple[str, str], Embed] = {}
+
+
 def embedding(spark: SparkSession, sf_dir: str) -> Embed:
-    return word_vector_embedding(cut_lineage(word_vectors(spark, sf_dir), "vectors"))
+    """The word vectors as a model, which a session loads once and uses for all its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _embeddings:
+        vectors = cut_lineage(word_vectors(spark, sf_dir), "vectors")
+        _embeddings[key] = word_vector_embedding(vectors)
+    return _embeddings[key]
 
 
 # Forms of answer: {0} is the label, {1} a second one, {2} the document's source.
