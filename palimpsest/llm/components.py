@@ -57,14 +57,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The ``members(bucket, node)`` of buckets that hold two nodes or more."""
-    span = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    """The ``members(bucket, node)`` of buckets that hold two nodes or more.
+
+    With a ``label``, the component that a node is known to belong to, those of buckets that hold two
+    labels or more: buckets within one component have nothing left to find.
+    """
+    by = "label" if "label" in members.columns else "node"
+    span = members.groupBy("bucket").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
     # Such buckets grow with the corpus, so they are never broadcast.
     several = span.filter("lo <> hi").select("bucket").hint("merge")
     return cut_lineage(members.join(several, "bucket", "left_semi"), "buckets")
 
 
-def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFrame, DataFrame]:
+def pivot_links(
+    shared: DataFrame, verify: Verify, rounds: int, stars: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Links found by holding each bucket against one pivot a round, and what that leaves open.
 
     A bucket of mutual near copies is tied together by as many checks as it has members. The first
@@ -72,16 +79,16 @@ def pivot_links(shared: DataFrame, verify: Verify, rounds: int) -> tuple[DataFra
     are drawn. Nodes already in the pivot's component are not checked again, and
     buckets that lie in one component are done. Returned are edges ``(a, b)`` that tie each node linked
     so far to the least of its component and, of the buckets that still span components, the rows ``(bucket, node, label)``: they need an exact check of the
-    pairs across labels, and no others.
+    pairs across labels, and no others. ``stars`` are the edges that an earlier call returned, which go
+    with the labels of ``shared``.
 
     ``verify`` takes candidates ``(bucket, a, b)`` and returns those that link.
     """
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     degrees = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("degree"))
     open_ = shared.join(degrees, "node").select(
-        "bucket", "node", F.col("node").alias("label"), "degree"
+        "bucket", "node", F.col("node" if stars is None else "label").alias("label"), "degree"
     )
-    stars = None
     for turn in range(rounds):
         draw = F.xxhash64("node", "bucket", F.lit(turn))
         order = F.struct(-F.col("degree"), "node") if turn == 0 else draw

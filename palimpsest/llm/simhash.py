@@ -86,8 +86,11 @@ def _signed(mask: int) -> int:
 KINDS = [(0, part, 3) for part in range(3)] + [(1, part, 2) for part in range(2)]
 
 
-def _bucket_keys(fingerprint: Column, max_bits: int) -> Column:
-    """Each key holds the numbers of its segment and kind, and the bits of the segments."""
+def _bucket_keys(fingerprint: Column, max_bits: int, equal_only: bool = False) -> Column:
+    """Each key holds the numbers of its segment and kind, and the bits of the segments.
+
+    With ``equal_only`` those alone whose second segment is equal too, fifteen for a fingerprint.
+    """
     segments = _segments(max_bits)
 
     def field(start: int, size: int) -> Column:
@@ -101,6 +104,8 @@ def _bucket_keys(fingerprint: Column, max_bits: int) -> Column:
         even = F.bit_count(second) % 2 == 0
         own = F.shiftleft(field(at, width), nwidth).bitwiseOR(second)
         for number, (apart, part, parts) in enumerate(KINDS):
+            if apart and equal_only:
+                continue
             key = F.lit((len(KINDS) * i + number) << KIND_BIT).bitwiseOR(own)
             low, high = twidth * part // parts, twidth * (part + 1) // parts
             third = F.shiftleft(field(tat + low, high - low), width + nwidth)
@@ -137,15 +142,22 @@ def near_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Large groups of near copies are tied together by pivots first. What is left to compare are pairs
     across components that share a bucket, all of which are checked.
     """
-    keys = F.explode(_bucket_keys(F.col("node"), max_bits)).alias("bucket")
-    shared = shared_buckets(prints.select(keys, "node"))
 
     def verify(candidates: DataFrame) -> DataFrame:
         difference = F.col("a").bitwiseXOR(F.col("b"))
         near = _chains_hold(F.col("bucket"), difference, max_bits)
         return candidates.filter(near & (F.bit_count(difference) <= max_bits))
 
-    links, unsettled = pivot_links(shared, verify, ROUNDS)
+    # The few buckets of equal segments tie most of a group together.
+    first = F.explode(_bucket_keys(F.col("node"), max_bits, True)).alias("bucket")
+    stars, _ = pivot_links(shared_buckets(prints.select(first, "node")), verify, ROUNDS)
+    # Of all buckets only those are looked at that hold nodes not tied together by then.
+    known = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labelled = prints.select("node").join(known, "node", "left")
+    labelled = cut_lineage(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
+    keys = F.explode(_bucket_keys(F.col("node"), max_bits)).alias("bucket")
+    shared = shared_buckets(labelled.select(keys, "node", "label"))
+    links, unsettled = pivot_links(shared, verify, 1, stars)
     rest = verify(across_labels(unsettled, BLOCK)).select("a", "b")
     return connected_components(links.union(rest))
 
