@@ -200,10 +200,16 @@ def _sketch_hits(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
-    """The rows of ``docs`` in which no item is contained, with all their columns."""
+    """The rows of ``docs`` in which no item is contained, with all their columns, whatever their names.
+
+    Without items, or without documents, all rows stay; null and empty texts contain nothing.
+    """
     doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
     found = search(docs, items, **columns).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_hash"))
-    return docs.join(found.distinct(), same, "left_anti")
+    names = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    same = F.col(names[doc_id]).eqNullSafe(F.col("_doc_id"))
+    same &= F.xxhash64(names[text]) == F.col("_text_hash")
+    return plain.join(found.distinct(), same, "left_anti").toDF(*docs.columns)

@@ -17,6 +17,7 @@ repeated and null ids do no harm.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,6 @@ ACCEPT = 0.5
 # Turns that add no pattern go on only while worths rise by more and could lift one over ``ACCEPT``.
 SETTLED = 1e-6
 ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# Characters next to a span in which its neighbouring words are looked for.
-NEAR = 256
 CACHE = 1 << 18
 # There are few patterns and many words, so the filter of patterns is a sparse one.
 FILTER_RATIO = 4096
@@ -150,22 +149,34 @@ def _patterns(one: np.ndarray, two: np.ndarray, after: np.ndarray) -> np.ndarray
     return keys ^ keys >> np.uint64(31)
 
 
-def _context(text: str, start: int, end: int) -> list[int]:
-    """The pattern keys of a place; none at the very start of a text."""
-    before = WORD.findall(text, max(0, start - NEAR), start)
-    # What belongs to the same word is no context.
-    if before and start and not SPACE.match(text, start - 1):
-        before = before[:-1]
-    before = before[-2:]
-    rest = WORD.match(text, end)
-    end = rest.end() if rest else end
-    after = WORD.search(text, end, min(len(text), end + NEAR))
-    if not before:
-        return []
-    one = np.array([_value(before[-1])], np.uint64)
-    two = np.array([_value(before[0]) if len(before) > 1 else 0], np.uint64)
-    rest = np.array([_value(after[0]) if after else 0], np.uint64)
-    return _patterns(one, two, rest).view(np.int64).tolist()
+class _Contexts:
+    """The pattern keys of the places of a text. Words and what lies between may have any length."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in WORD.finditer(text)]
+        self.starts = [start for start, _ in self.spans]
+        self.values: dict[int, int] = {}
+
+    def value(self, k: int) -> int:
+        """The hash of a word, 0 off the text."""
+        if not 0 <= k < len(self.spans):
+            return 0
+        if k not in self.values:
+            start, end = self.spans[k]
+            self.values[k] = _value(self.text[start:end])
+        return self.values[k]
+
+    def __call__(self, start: int, end: int) -> list[int]:
+        """None at the very start of a text. What belongs to the same words is no context."""
+        first = bisect_right(self.starts, start) - 1
+        last = bisect_left(self.starts, end) - 1
+        if first < 1:
+            return []
+        one, two, after = (
+            np.array([self.value(k)], np.uint64) for k in (first - 1, first - 2, last + 1)
+        )
+        return _patterns(one, two, after).view(np.int64).tolist()
 
 
 PLACES = "array<struct<kind: int, start: int, end: int, instance: long, keys: array<long>>>"
@@ -194,6 +205,7 @@ def places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 spans = [(k, s, e) for k, found in enumerate(base) for s, e in found]
                 taken = sorted((s, e) for _, s, e in spans)
                 spans += [(None, s, e) for s, e in _candidates(content, taken)]
+                contexts = _Contexts(content if spans else "")
                 out.append(
                     [
                         {
@@ -203,7 +215,7 @@ def places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                             "instance": np.int64(
                                 np.uint64(_value(content[start:end])).view(np.int64)
                             ),
-                            "keys": _context(content, start, end),
+                            "keys": contexts(start, end),
                         }
                         for kind, start, end in spans
                     ]

@@ -9,7 +9,8 @@ the evidence outweighs it, so the weights that are broadcast are few, and never
 coordinates. The bounded training rows go through one task in hash order, once a round, and the state
 between rounds is a table with one row for each coordinate met.
 
-At most ``train_rows`` labelled rows are used, those whose ids have the smallest hashes. Labels with a
+At most ``train_rows`` labelled rows are used, those whose ids have the smallest hashes; their features
+are hashed once, in parallel, and only coordinates are sent to the learner. Labels with a
 null id or mark do not count, repeated ones count each. Without any training row, every score is 0.
 Empty and null texts are scored by the intercept.
 """
@@ -78,11 +79,9 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def _learn(rows: Iterator[tuple[bytes, int]], z: np.ndarray, n: np.ndarray) -> None:
-    """One pass over ``rows``, which changes ``z`` and ``n``."""
-    features = Features()
-    for text, label in rows:
-        at = features(text)
+def _learn(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+    """One pass over coordinates and labels, which changes ``z`` and ``n``."""
+    for at, label in rows:
         weights = _weights(z[at], n[at])
         gradient = _sigmoid(weights.sum()) - label
         square = gradient * gradient
@@ -114,6 +113,8 @@ def train(
     rows = texts.join(F.broadcast(drawn), "_id").select(
         order.alias("_order"), "_id", "_mark", "_text"
     )
+    # Ids may repeat in the documents too, so the bound is set on what they give as well.
+    rows = with_slots(rows).orderBy("_order", "_id", "_mark", "_slots").limit(train_rows)
     rows = cut_lineage(rows, "train-rows")
     state = None
     for _ in range(ROUNDS):
@@ -123,10 +124,25 @@ def train(
     return slots, _weights(kept["z"].to_numpy(), kept["n"].to_numpy()).astype(np.float32)
 
 
+def with_slots(rows: DataFrame) -> DataFrame:
+    """The coordinates of each text, found once and where the text is, in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            slots = [features(t) for t in binary(batch.column("_text"))]
+            rest = batch.drop_columns(["_text"])
+            column = pa.array(slots, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, column], [*rest.schema.names, "_slots"])
+
+    schema = T.StructType([*rows.drop("_text").schema, T.StructField("_slots", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema)
+
+
 def _round(rows: DataFrame, state: DataFrame | None) -> DataFrame:
     """Learns from all rows in order, starting at ``state``; returns ``(slot, z, n)``.
 
-    The state comes to the task as rows ahead of the texts, so it never passes through the driver.
+    The state comes to the task as rows ahead of the others, so it never passes through the driver.
     """
     empty = {"slot": "int", "z": "double", "n": "double"}
     ahead = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()))
@@ -136,16 +152,17 @@ def _round(rows: DataFrame, state: DataFrame | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
 
-        def texts() -> Iterator[tuple[bytes, int]]:
+        def learnt() -> Iterator[tuple[np.ndarray, int]]:
             for batch in batches:
                 known = batch.filter(batch.column("slot").is_valid())
                 slots = known.column("slot").to_numpy()
                 z[slots] = known.column("z").to_numpy()
                 n[slots] = known.column("n").to_numpy()
                 rest = batch.filter(batch.column("slot").is_null())
-                yield from zip(binary(rest.column("_text")), rest.column("_mark").to_pylist())
+                for at, mark in zip(rest.column("_slots"), rest.column("_mark").to_pylist()):
+                    yield at.values.to_numpy(), mark
 
-        _learn(texts(), z, n)
+        _learn(learnt(), z, n)
         slots = np.flatnonzero(n).astype(np.int32)
         for at in range(0, len(slots), 100_000):
             part = slots[at : at + 100_000]
@@ -154,9 +171,9 @@ def _round(rows: DataFrame, state: DataFrame | None) -> DataFrame:
             )
 
     ordered = ahead.repartition(1).sortWithinPartitions(
-        F.col("slot").asc_nulls_last(), "_order", "_id", "_mark", "_text"
+        F.col("slot").asc_nulls_last(), "_order", "_id", "_mark", "_slots"
     )
-    narrow = ordered.select("_mark", "_text", "slot", "z", "n")
+    narrow = ordered.select("_mark", "_slots", "slot", "z", "n")
     return narrow.mapInArrow(run, "slot int, z double, n double")
 
 

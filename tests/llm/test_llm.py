@@ -1,6 +1,7 @@
 """Every operator against brute force or SQL on small tables, and on tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -23,7 +24,7 @@ from palimpsest.llm import (
     toxicity,
 )
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.simhash import near_duplicates
+from palimpsest.llm.simhash import near_duplicates, simhash
 from palimpsest.llm.text import words_of
 from pyspark.sql import functions as F
 
@@ -243,7 +244,11 @@ def test_personal_data_runs(spark):
     at = [text[s:e] for text in ["a (303) 555-7713, b1 2 3x 4@d 5 6"] for s, e in pii._candidates(text, [])]
     assert at == ["303) 555-7713", "b1", "2", "3x", "4@d", "5 6"]
     text = "please dial (303) 555-7713, now"
-    assert pii._context(text, 13, 26) == pii._context("please dial 5 now", 12, 13)
+    assert pii._Contexts(text)(13, 26) == pii._Contexts("please dial 5 now")(12, 13)
+    far = "please" + " " * 300 + "dial" + "\n" * 400 + "5, " + "n" * 300 + " now"
+    near = "please dial 5 " + "n" * 300
+    assert pii._Contexts(far)(710, 711) == pii._Contexts(near)(12, 13) != []
+    assert pii._Contexts("5 now")(0, 1) == []
 
 
 def test_quality(docs, rows, empty, spark):
@@ -385,5 +390,70 @@ def test_pipeline(spark, testdata, docs, empty):
         some.count()
 
 
+def test_pipeline_stages_against_brute_force(spark, testdata):
+    """Near copies and contaminated documents, found pair by pair, of a stage's own input."""
+    docs = spark.read.parquet(f"{testdata}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, testdata).collect()}
+    prints = [simhash(("" if r.text is None else r.text).encode(), 4) & (1 << 64) - 1 for r in rows]
+    roots = components(rows, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    assert kept == {rows[min(i for i in range(len(rows)) if roots[i] == root)].doc_id for root in set(roots)}
+
+    def shingles(text):
+        words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    items = [shingles(r.text) for r in spark.read.parquet(f"{testdata}/benchmark.parquet").collect()]
+    clean = {
+        r.doc_id for r in rows
+        if not any(5 * len(item & own) >= 4 * len(item) for own in [shingles(r.text)] for item in items if item)
+    }
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, testdata).collect()} == clean
+    mixed = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, testdata).collect())
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW documents AS FROM '{testdata}/documents.parquet'")
+        taken = connection.sql(entry.oracle_sql()["op7_mix_sources"]).select("doc_id, taken, size").fetchall()
+    assert mixed == Counter({d: n // size for d, n, size in taken if size and n})
+
+
+def test_plain_learning(spark):
+    """The learned weights are those of the plain method, one coordinate after the other."""
+    rng = random.Random(4)
+    texts = [(i, prose(rng, rng.randint(0, 30)) + (" vile" if i % 3 == 0 else "")) for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    slots, weights = toxicity.train(docs, labels)
+    order = labels.filter(toxicity.learnable(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()
+    features, by_id, z, n = toxicity.Features(), dict(texts), Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.ROUNDS):
+        for row in order:
+            at = features(by_id[row.doc_id].encode()).tolist()
+            now = {i: weight(i) for i in at}
+            gradient = 1 / (1 + math.exp(-sum(now.values()))) - row.toxic
+            for i in at:
+                rate = (math.sqrt(n[i] + gradient**2) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += gradient - rate * now[i]
+                n[i] += gradient**2
+    expected = {i: weight(i) for i in z if weight(i)}
+    assert set(slots.tolist()) == set(expected)
+    assert np.allclose(weights, [expected[i] for i in slots.tolist()], rtol=1e-4)
+
+
+def test_clashing_columns(spark, docs):
+    named = docs.withColumns({c: F.lit(1) for c in ("_doc_id", "_text_hash", "_source", "fingerprint", "_c0")})
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for found in (
+        contamination.decontaminate(named, items),
+        corpus_pipeline.drop_near_copies(spark, named, ""),
+    ):
+        assert found.columns == named.columns and found.count() > 0
+
+
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {name.split("_")[0] for name in entry.queries()}
