@@ -29,21 +29,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the row with the smallest id, nulls last; of equal ids, one text."""
-    text_hash = F.xxhash64("text")
-    keys = docs.select("doc_id", text_hash.alias("text_hash"), "text")
+    """Keeps of each component the row with the smallest id, nulls last; of equal ids, one text.
+
+    Null and empty texts have fingerprint zero and are one component. Without rows none come out.
+    """
+    plain, names = numbered(docs)
+    doc_id, text = F.col(names["doc_id"]), F.col(names["text"])
+    text_hash = F.xxhash64(text)
+    keys = plain.select(doc_id.alias("doc_id"), text_hash.alias("text_hash"), text.alias("text"))
     clusters = cluster_fingerprints(with_fingerprint(keys))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     best = F.min_by(F.struct("doc_id", "text_hash"), order).alias("best")
     kept = clusters.groupBy("cluster").agg(best).select(
         F.col("best.doc_id").alias("_doc_id"), F.col("best.text_hash").alias("_text_hash")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (text_hash == F.col("_text_hash"))
-    found = docs.join(cut_lineage(kept, "kept"), same, "left_semi")
+    same = doc_id.eqNullSafe(F.col("_doc_id")) & (text_hash == F.col("_text_hash"))
+    found = plain.join(cut_lineage(kept, "kept"), same, "left_semi")
     # Rows that repeat both id and text are one document.
-    return found.withColumn("_text_hash", text_hash).dropDuplicates(
-        ["doc_id", "_text_hash"]
-    ).select(*docs.columns)
+    one = found.withColumn("_text_hash", text_hash).dropDuplicates([names["doc_id"], "_text_hash"])
+    return one.select(*names.values()).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
