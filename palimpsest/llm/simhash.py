@@ -38,7 +38,7 @@ from palimpsest.materialize import cut_lineage
 BITS = 64
 SHINGLE = 4
 MAX_BITS = 4
-ROUNDS = 2
+ROUNDS = 1
 BLOCK = 2000
 # Segments and kinds are numbered above the bits of a key.
 KIND_BIT = 56
@@ -157,7 +157,7 @@ def near_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     labelled = cut_lineage(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
     keys = F.explode(_bucket_keys(F.col("node"), max_bits)).alias("bucket")
     shared = shared_buckets(labelled.select(keys, "node", "label"))
-    links, unsettled = pivot_links(shared, verify, 1, stars)
+    links, unsettled = pivot_links(shared, verify, ROUNDS, stars)
     rest = verify(across_labels(unsettled, BLOCK)).select("a", "b")
     return connected_components(links.union(rest))
 
