@@ -277,6 +277,55 @@ def test_quality(docs, rows, empty, spark):
     assert abs(quality.chi_square(quality.chi_square_quantile(0.99, 5), 5) - 0.99) < 1e-9
 
 
+def test_quality_of_moderate_outliers_and_small_groups(spark):
+    rng = random.Random(2)
+    clean = [(i, prose(rng, rng.randint(80, 300)), "en", "s") for i in range(400)]
+    # One word in ten ends in two symbols: some 3% of the characters, in a group of its own kind.
+    spiked = [(1000 + i, re.sub(r"(( \S+){9} \S+)", r"\1&&", prose(rng, 200)), "en", "s") for i in range(10)]
+    small = [(2000 + i, prose(rng, 150), "en", "t") for i in range(18)]
+    junk = [(3000 + i, re.sub(" ", "### $$ ", prose(rng, 100)), "en", "t") for i in range(2)]
+    alone = [(4000, prose(rng, 150), "fr", None), (4001, re.sub(" ", " $", prose(rng, 150)), None, "t")]
+    names = "doc_id long, text string, lang string, source string"
+    given = spark.createDataFrame(clean + spiked + small + junk + alone, names)
+    for extra in ("mean", "inverse", "grp", "_lang", "unit", "_c0", "member", "distance"):
+        given = given.withColumn(extra, F.lit("mine"))
+    found = quality.quality(given)
+    assert set(given.columns) - {"text"} <= set(found.columns)
+    kept = {r["doc_id"]: r["kept"] for r in found.collect()}
+    assert len(kept) == found.count() == 432 and found.filter("distance is null").count() == 0
+    assert found.filter("mean = 'mine' and unit = 'mine' and _c0 = 'mine'").count() == 432
+    assert sum(kept[i] for i in range(400)) >= 392
+    assert not any(kept[1000 + i] for i in range(10))
+    assert sum(kept[2000 + i] for i in range(18)) >= 17
+    assert not kept[3000] and not kept[3001] and kept[4000] and not kept[4001]
+
+
+def test_quality_distances_follow_the_estimate(spark):
+    """Distances are those that numpy gives for the rows that the last step took."""
+    rng = random.Random(3)
+    given = [(i, prose(rng, rng.randint(80, 300)), "en", "s") for i in range(300)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string")
+    stats = [quality.text_statistics(t) for _, t, *_ in given]
+    vectors, floor = np.array([s[1] for s in stats]), np.median([s[2] for s in stats], axis=0)
+    mean, cov = np.median(vectors, axis=0), None
+    width = (1.4826 * np.median(np.abs(vectors - mean), axis=0)) ** 2 + floor**2
+    inverse = np.diag(1 / width)
+    for _ in range(30):
+        distance = np.einsum("ij,jk,ik->i", vectors - mean, inverse, vectors - mean)
+        near = vectors[np.argsort(distance)[: math.ceil(quality.SHARE * len(vectors))]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency(quality.SHARE)
+        inverse = np.linalg.inv(cov + np.diag(floor**2))
+    distance = np.einsum("ij,jk,ik->i", vectors - mean, inverse, vectors - mean)
+    near = vectors[distance <= quality.chi_square_quantile(1 - quality.REWEIGHT, 5)]
+    mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * quality.consistency(1 - quality.REWEIGHT)
+    inverse = np.linalg.inv(cov + np.diag(floor**2))
+    expected = np.einsum("ij,jk,ik->i", vectors - mean, inverse, vectors - mean)
+    got = {r["doc_id"]: r["distance"] for r in quality.quality(docs).collect()}
+    # Steps take bins in part and medians are approximate, so the estimates differ a little.
+    ratio = np.array([got[i] for i in range(300)]) / expected
+    assert abs(np.median(ratio) - 1) < 0.1 and np.corrcoef(list(got.values()), expected[list(got)])[0, 1] > 0.98
+
+
 def test_sharding(docs, empty):
     names = ("b", "a", "c")
     owner = sharding.fill_table(names, 101)
