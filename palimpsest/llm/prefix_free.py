@@ -1,33 +1,41 @@
 """Exact substring deduplication across documents through prefix-free parsing.
 
-Every string of ``LENGTH`` bytes has a trigger: the place in it where the rolling hash of ``GRAM`` bytes
-is least. Consecutive string starts with one trigger make a phrase, so the triggers parse a text into
-phrases, and equal stretches of text are parsed alike. A phrase goes with the ``LENGTH - 1`` bytes after
-its last start, which is as far as the order of suffixes matters here: two suffixes of the corpus share
-``LENGTH`` bytes exactly if they are the same suffix of one such phrase, or equal to that depth as
-suffixes of different phrases. The first is settled by grouping the parse, one row per phrase however
-long the repetition; the second needs single suffixes, and only of phrases whose trigger string is
-found in different phrases. Phrases whose trigger string is met in one document only are left out from
-the start, and so is what a second count shows to be in one document only. Suffixes are compared by hashes of 128 bits, which takes the place of sorting the
-dictionary: only equality to a fixed depth is asked for, and groups of equal suffixes are what a suffix
-array would be read for.
-
-Both counts go by hash range. What comes out are bitmaps of fixed size, of trigger strings seen in
-several documents, of those seen in several phrases, and of suffixes seen in several documents. Where
-they are too small for a corpus, more is looked at, and the result stays the same.
+**Parse.** Every string of ``LENGTH`` bytes has a trigger: the place in it where the rolling hash of
+``GRAM`` bytes is least. Consecutive string starts with one trigger make a phrase, so the triggers parse
+a text into phrases, and equal stretches of text are parsed alike. A phrase goes with the ``LENGTH - 1``
+bytes after its last start, which is as far as the order of suffixes matters here, and is 80 bytes at most.
+
+**Dictionary.** One row per different phrase, with the smallest and the greatest id of a document that
+has it. Phrases whose trigger string stands in one row only are left out from the start: a count by hash
+range gives a bitmap of fixed size, and where that is too small for a corpus, more is looked at.
+
+**Suffix array of the dictionary.** Equal strings have equal triggers, so the dictionary is dealt by
+trigger and its suffixes are sorted to a depth of ``LENGTH`` where they are; neighbours with that common
+prefix are one string. Of each phrase remain the places whose string a document has that is smaller than
+all that have the phrase. Triggers in more than ``MOST`` phrases don't go to one task: their suffixes
+are rows, of which Spark finds the least id by string.
+
+**Corpus order.** The documents are parsed again, and each phrase meets its dictionary row. In the order
+of the corpus, documents with one phrase follow each other by id: all but the smallest lose the whole
+phrase, and the smallest loses the places found above. Phrases in a large part of all documents are
+salted.
 
 A row's bytes are removed if a document with a smaller id has them. Null texts are empty. Rows with a
 null id have no order: they are kept whole, and nothing is removed because of them. Rows that share an
-id do not remove each other's bytes.
+id do not remove each other's bytes, and repeated rows get equal results. Texts of any length are cut
+into overlapping pieces, so nothing is lost. An empty table gives an empty result; columns other than id
+and text are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.text import binary
@@ -41,8 +49,11 @@ CHUNK = 1 << 17
 PLACE = np.uint64((1 << 20) - 1)
 # Each bitmap has so many bits (16 MB).
 FILTER_BITS = 27
-# Phrases that a task remembers.
-SEEN = 1 << 20
+# Phrases of one trigger that a task sorts; of triggers with more, suffixes become rows.
+MOST = 4096
+# A phrase is salted if it has more than this part of all occurrences; so many phrases can be.
+HOT = 1000
+SALTS = 32
 
 _draw = np.random.default_rng(50)
 
@@ -51,20 +62,9 @@ def _odd(n: int) -> np.ndarray:
     return _draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-BYTE_HASH = [_draw.integers(0, 1 << 63, 256, np.uint64) for _ in range(3)]
+BYTE_HASH = _draw.integers(0, 1 << 63, 256, np.uint64)
 JOIN = _odd(5)
-STIR = _odd(3)
-BASES = [int(b) for b in _odd(2)]
-
-
-def _powers(base: int) -> np.ndarray:
-    powers = np.full(CHUNK + LENGTH + 1, base, np.uint64)
-    powers[0] = 1
-    return np.multiply.accumulate(powers)
-
-
-POWERS = [_powers(b) for b in BASES]
-INVERSE = [_powers(pow(b, -1, 1 << 64)) for b in BASES]
+STIR = _odd(1)
 
 
 class Chunk:
@@ -72,7 +72,8 @@ class Chunk:
 
     def __init__(self, pieces: list[tuple[int, int, bytes]]) -> None:
         """``pieces`` are ``(row, offset of the piece in its text, bytes)``, each long enough."""
-        data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        self.data = b"".join(p for _, _, p in pieces)
+        data = np.frombuffer(self.data, np.uint8)
         sizes = np.array([len(p) for _, _, p in pieces])
         ends = np.cumsum(sizes)
         starts_here = np.ones(len(data), bool)
@@ -95,16 +96,11 @@ class Chunk:
         piece = np.searchsorted(ends, self.low, side="right")
         self.row = np.array([r for r, _, _ in pieces])[piece]
         self.shift = np.array([o for _, o, _ in pieces])[piece] - (ends - sizes)[piece]
-        self._sums = []
-        for table, powers in zip(BYTE_HASH[1:], POWERS):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(table[data] * powers[: len(data)], out=sums[1:])
-            self._sums.append(sums)
 
     @staticmethod
     def _grams(data: np.ndarray) -> np.ndarray:
         """Hashes of all strings of GRAM bytes, put together from halves."""
-        parts = {1: BYTE_HASH[0][data]}
+        parts = {1: BYTE_HASH[data]}
         size = 1
         while 2 * size <= GRAM:
             h = parts[size]
@@ -121,14 +117,9 @@ class Chunk:
         whole *= STIR[0]
         return whole ^ whole >> np.uint64(29)
 
-    def keys(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from ``start`` to before ``end``."""
-        sums = self._sums[which]
-        h = (sums[end] - sums[start]) * INVERSE[which][start]
-        h ^= (end - start).astype(np.uint64) * STIR[1]
-        h ^= h >> np.uint64(32)
-        h *= STIR[2]
-        return h ^ h >> np.uint64(29)
+    def phrases(self, which: np.ndarray) -> list[bytes]:
+        ends = (self.high[which] + LENGTH).tolist()
+        return [self.data[low:end] for low, end in zip(self.low[which].tolist(), ends)]
 
 
 def _chunks(texts: Iterator[bytes]) -> Iterator[Chunk]:
@@ -151,78 +142,64 @@ def _ranges(df: DataFrame) -> int:
     return 1 << min(max(6, (4 * partitions - 1).bit_length()), FILTER_BITS - 3)
 
 
-Keyed = tuple[np.ndarray, np.ndarray, np.ndarray]
-
+def shared_triggers(rows: DataFrame) -> np.ndarray:
+    """A bitmap of the trigger strings met in several rows.
 
-def key_bitmaps(rows: DataFrame, keyed: Callable[[pa.RecordBatch], Iterable[Keyed]]) -> np.ndarray:
-    """A bitmap of keys met in several rows, and one of those among them with several names.
-
-    ``keyed`` gives arrays of keys, names and row numbers for a batch. Keys are sorted and reduced
-    where they are made and sent in blocks by hash range, with 32 bits of each that the range does not
-    tell and 30 bits of its name. Bitmaps hold a fixed number of slots, so a slot may also be set for
-    another key.
+    Hashes are sorted and reduced where they are made and sent in blocks by hash range, with 32 bits of
+    each that the range does not tell. The bitmap holds a fixed number of slots, so a slot may also be
+    set for another string.
     """
     ranges = _ranges(rows)
     bits = ranges.bit_length() - 1
+    slots = (1 << FILTER_BITS) // ranges
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(keyed(batch))
+            found = [(c.anchor, c.row) for c in _chunks(binary(batch.column("text")))]
             if not found:
                 continue
-            key, name, row = (np.concatenate(x) for x in zip(*found))
-            if not len(key):
-                continue
+            key, row = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(key)
-            key, name, row = key[order], name[order] >> np.uint64(34), row[order]
+            key, row = key[order], row[order]
             first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-            several = np.maximum.reduceat(name, first) != np.minimum.reduceat(name, first)
-            docs = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
-            key, name = key[first], (name[first] << np.uint64(2)).astype(np.uint32)
-            name |= (2 * several + docs).astype(np.uint32)
+            several = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
+            key = key[first]
             part = (key >> np.uint64(64 - bits)).astype(np.int64)
             rest = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
             edges = np.searchsorted(part, np.arange(ranges + 1))
             filled = np.flatnonzero(np.diff(edges))
+            blocks = [slice(edges[r], edges[r + 1]) for r in filled]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(filled),
-                    pa.array([rest[edges[r] : edges[r + 1]].tobytes() for r in filled]),
-                    pa.array([name[edges[r] : edges[r + 1]].tobytes() for r in filled]),
+                    pa.array([rest[b].tobytes() for b in blocks]),
+                    pa.array([np.packbits(several[b], bitorder="little").tobytes() for b in blocks]),
                 ],
-                ["range", "rest", "names"],
+                ["range", "rest", "several"],
             )
 
-    slots = (1 << FILTER_BITS) // ranges
-
     def merge(table: pa.Table) -> pa.Table:
-        rest = np.frombuffer(b"".join(table["rest"].to_pylist()), np.uint32)
-        name = np.frombuffer(b"".join(table["names"].to_pylist()), np.uint32)
-        order = np.argsort(rest)
-        rest, name = rest[order], name[order]
-        first = np.flatnonzero(np.diff(rest.astype(np.int64), prepend=-1))
-        flags = np.bitwise_or.reduceat(name, first)
-        name = name >> np.uint32(2)
-        several = (flags & np.uint32(2) > 0) | (
-            np.maximum.reduceat(name, first) != np.minimum.reduceat(name, first)
+        blocks = [np.frombuffer(b, np.uint32) for b in table["rest"].to_pylist()]
+        flags = [
+            np.unpackbits(np.frombuffer(f, np.uint8), count=len(b), bitorder="little")
+            for b, f in zip(blocks, table["several"].to_pylist())
+        ]
+        rest, several = np.concatenate(blocks), np.concatenate(flags) > 0
+        slot = np.sort(rest >> np.uint32(32 - FILTER_BITS + bits))
+        bitmap = np.zeros(slots, bool)
+        # Blocks come from different rows, so what is in two of them is in several.
+        bitmap[slot[1:][slot[1:] == slot[:-1]]] = True
+        bitmap[rest[several] >> np.uint32(32 - FILTER_BITS + bits)] = True
+        return pa.table(
+            {"range": table["range"][:1], "bits": [np.packbits(bitmap, bitorder="little").tobytes()]}
         )
-        # Blocks come from different rows, so a key in two of them is in several.
-        shared = (flags & np.uint32(1) > 0) | (np.diff(np.append(first, len(rest))) > 1)
-        slot = rest[first] >> np.uint32(32 - FILTER_BITS + bits)
-        bitmaps = np.zeros((2, slots), bool)
-        bitmaps[0, slot[shared]] = True
-        bitmaps[1, slot[shared & several]] = True
-        packed = [np.packbits(b, bitorder="little").tobytes() for b in bitmaps]
-        return pa.table({"range": table["range"][:1], "shared": [packed[0]], "many": [packed[1]]})
-
-    parts = rows.mapInArrow(emit, "range long, rest binary, names binary")
-    maps = parts.groupBy("range").applyInArrow(merge, "range long, shared binary, many binary")
-    bitmaps = np.zeros((2, (1 << FILTER_BITS) // 8), np.uint8)
-    for row in maps.toLocalIterator():
+
+    parts = rows.mapInArrow(emit, "range long, rest binary, several binary")
+    bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in parts.groupBy("range").applyInArrow(merge, "range long, bits binary").toLocalIterator():
         at = slice(row["range"] * slots // 8, (row["range"] + 1) * slots // 8)
-        bitmaps[0, at] = np.frombuffer(row["shared"], np.uint8)
-        bitmaps[1, at] = np.frombuffer(row["many"], np.uint8)
-    return bitmaps
+        bitmap[at] = np.frombuffer(row["bits"], np.uint8)
+    return bitmap
 
 
 def _look(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -230,79 +207,115 @@ def _look(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _triggers(batch: pa.RecordBatch) -> Iterator[Keyed]:
-    for c in _chunks(binary(batch.column("text"))):
-        yield c.anchor, c.keys(0, c.low, c.high + LENGTH), c.row
-
-
-class Suffixes:
-    """The phrases of a batch that may repeat, and the single suffixes of those that need them.
-
-    Of a phrase that a task meets again, the suffixes are given once more only for a smaller or the
-    same id: for larger ids the phrase itself says all that its suffixes could.
-    """
-
-    def __init__(self, bitmaps: np.ndarray) -> None:
-        self.bitmaps = bitmaps
-        self.least: dict[int, object] = {}
-
-    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, ...]]:
-        """Chunks with starts and ends in them, and their numbers of phrase."""
-        ids = batch.column("doc_id").to_pylist()
-        if len(self.least) > SEEN:
-            self.least.clear()
-        for c in _chunks(binary(batch.column("text"))):
-            met = _look(self.bitmaps[0], c.anchor)
-            many = np.flatnonzero(_look(self.bitmaps[1], c.anchor) & met)
-            names = c.keys(0, c.low[many], c.high[many] + LENGTH)
-            fresh = np.zeros(len(many), bool)
-            for k, (name, row) in enumerate(zip(names.tolist(), c.row[many].tolist())):
-                known = self.least.get(name)
-                if known is None or ids[row] <= known:
-                    self.least[name] = ids[row]
-                    fresh[k] = True
-            whole, single = np.flatnonzero(met), many[fresh]
-            counts = c.high[single] - c.low[single] + 1
-            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            low = np.concatenate([c.low[whole], np.repeat(c.low[single], counts) + inner])
-            end = np.concatenate([c.high[whole] + LENGTH, low[len(whole) :] + LENGTH])
-            yield c, low, end, np.concatenate([whole, np.repeat(single, counts)])
-
-
-def suffix_groups(rows: DataFrame) -> DataFrame:
-    """``(k1, k2, doc_id, text_hash, start, length)`` of phrases and suffixes met in several rows."""
-    triggers = rows.sparkSession.sparkContext.broadcast(key_bitmaps(rows, _triggers))
-
-    def keyed(batch: pa.RecordBatch) -> Iterator[Keyed]:
-        for c, low, end, phrase in Suffixes(triggers.value)(batch):
-            key = c.keys(0, low, end)
-            yield key, np.zeros(len(key), np.uint64), c.row[phrase]
-
-    repeated = rows.sparkSession.sparkContext.broadcast(key_bitmaps(rows, keyed)[0])
+def parse(rows: DataFrame, triggers: Broadcast) -> DataFrame:
+    """``(anchor, phrase, doc_id, text_hash, start)`` of the phrases whose trigger is in the bitmap."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = Suffixes(triggers.value)
         for batch in batches:
-            for c, low, end, phrase in suffixes(batch):
-                key = c.keys(0, low, end)
-                kept = np.flatnonzero(_look(repeated.value, key))
-                low, end, phrase = low[kept], end[kept], phrase[kept]
-                row = pa.array(c.row[phrase])
+            for c in _chunks(binary(batch.column("text"))):
+                met = np.flatnonzero(_look(triggers.value, c.anchor))
+                row = pa.array(c.row[met])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key[kept].view(np.int64)),
-                        pa.array(c.keys(1, low, end).view(np.int64)),
+                        pa.array(c.anchor[met].view(np.int64)),
+                        pa.array(c.phrases(met), pa.binary()),
                         batch.column("doc_id").take(row),
                         batch.column("text_hash").take(row),
-                        pa.array((low + c.shift[phrase]).astype(np.int32)),
-                        pa.array((end - low).astype(np.int32)),
+                        pa.array((c.low[met] + c.shift[met]).astype(np.int32)),
                     ],
-                    ["k1", "k2", "doc_id", "text_hash", "start", "length"],
+                    ["anchor", "phrase", "doc_id", "text_hash", "start"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"k1 long, k2 long, doc_id {kind}, text_hash long, start int, length int"
-    return rows.mapInArrow(emit, schema)
+    return rows.mapInArrow(
+        emit, f"anchor long, phrase binary, doc_id {kind}, text_hash long, start int"
+    )
+
+
+RUNS = "array<struct<place: int, length: int>>"
+
+
+def sorted_suffixes(phrases: pa.Table) -> pa.Array:
+    """Runs of each phrase, ``(place, length)``, whose strings belong to a phrase of smaller ``lo``.
+
+    ``phrases(phrase, lo)`` hold all phrases of their triggers. The suffix array is sorted to a depth of
+    ``LENGTH``, and neighbours that agree to it are one string.
+    """
+    values = phrases["phrase"].to_pylist()
+    data = np.frombuffer(b"".join(values), np.uint8)
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    counts = sizes - LENGTH + 1
+    phrase = np.repeat(np.arange(len(values)), counts)
+    place = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begins = (np.cumsum(sizes) - sizes)[phrase] + place
+    strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[begins]
+    order = np.argsort(strings.view(f"S{LENGTH}").ravel())
+    ranked = strings[order]
+    differs = np.ones(len(order), bool)
+    differs[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    lo = pc.rank(phrases["lo"], sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    least = np.minimum.reduceat(lo[phrase[order]], np.flatnonzero(differs))[np.cumsum(differs) - 1]
+    owned = np.zeros(len(order), bool)
+    owned[order] = least < lo[phrase[order]]
+    run = owned & ((place == 0) | ~np.append(False, owned[:-1]))
+    last = owned & ((place == counts[phrase] - 1) | ~np.append(owned[1:], False))
+    low, high = place[run], place[last]
+    ends = np.append(0, np.cumsum(np.bincount(phrase[run], minlength=len(values))))
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(low, pa.int32()), pa.array(high - low + LENGTH, pa.int32())], ["place", "length"]
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
+def _names() -> list[Column]:
+    """The name of a phrase in 128 bits."""
+    return [F.xxhash64(F.lit(seed), "phrase").alias(f"n{seed}") for seed in (1, 2)]
+
+
+def dictionary(found: DataFrame) -> DataFrame:
+    """``(n1, n2, lo, hi, n, runs)`` of the phrases in ``found`` that remove something anywhere.
+
+    ``lo`` and ``hi`` are the smallest and greatest id of a document with the phrase, ``n`` its
+    occurrences, and ``runs`` the places whose string also stands in a document before ``lo``.
+    """
+    phrases = found.groupBy("anchor", "phrase").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")
+    )
+    phrases = cut_lineage(phrases, "phrases")
+    hot = phrases.groupBy("anchor").count().filter(F.col("count") > MOST).select("anchor")
+    hot = cut_lineage(hot, "triggers")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            if len(rows):
+                yield from rows.append_column("runs", sorted_suffixes(rows)).to_batches()
+
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = pa.concat_tables([t for t in (held, pa.Table.from_batches([batch])) if t is not None])
+            anchor = held["anchor"].to_numpy()
+            whole = int(np.searchsorted(anchor, anchor[-1]))
+            yield from done(held.slice(0, whole))
+            held = held.slice(whole)
+        if held is not None:
+            yield from done(held)
+
+    dealt = phrases.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    kind = phrases.schema["lo"].dataType.simpleString()
+    schema = f"anchor long, phrase binary, lo {kind}, hi {kind}, n long, runs {RUNS}"
+    few = dealt.mapInArrow(compare, schema).select(*_names(), "lo", "hi", "n", "runs")
+
+    places = F.explode(F.sequence(F.lit(0), F.octet_length("phrase") - LENGTH)).alias("place")
+    many = phrases.join(hot, "anchor", "left_semi").select("*", places)
+    many = many.withColumn("string", F.substring("phrase", F.col("place") + 1, F.lit(LENGTH)))
+    least = many.groupBy("string").agg(F.min("lo").alias("least"))
+    run = F.struct("place", F.lit(LENGTH).alias("length"))
+    runs = F.collect_list(F.when(F.col("least") < F.col("lo"), run)).cast(RUNS).alias("runs")
+    many = many.join(least, "string").groupBy(*_names(), "lo", "hi", "n").agg(runs)
+    return few.unionByName(many).filter((F.col("lo") < F.col("hi")) | (F.size("runs") > 0))
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,12 +329,24 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.xxhash64(text).alias("text_hash"),
         F.col(text).alias("text"),
     )
-    found = cut_lineage(suffix_groups(rows), "suffixes")
-    first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = first.filter("lo < hi").select("k1", "k2", "lo")
-    later = found.join(several, ["k1", "k2"]).filter("doc_id > lo")
-    spans = F.collect_list(F.struct("start", "length")).alias("spans")
-    return later.groupBy("doc_id", "text_hash").agg(spans)
+    found = parse(rows, rows.sparkSession.sparkContext.broadcast(shared_triggers(rows)))
+    known = cut_lineage(dictionary(found), "dictionary")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    often = known.filter(F.col("n") * HOT > F.lit(total)).select("n1").distinct()
+    often = F.col("n1").isin([row["n1"] for row in often.collect()])
+    salts = F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")
+    salt = F.when(often, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    length = F.octet_length("phrase").alias("length")
+    met = found.select(*_names(), "doc_id", "text_hash", "start", length).withColumn("salt", salt)
+    met = met.join(known.select("n1", "n2", salts, "lo", "runs"), ["n1", "n2", "salt"])
+    later = F.col("doc_id") > F.col("lo")
+    own = F.transform(
+        "runs", lambda r: F.struct((F.col("start") + r["place"]).alias("start"), r["length"].alias("length"))
+    )
+    spans = met.filter(later | (F.size("runs") > 0)).select(
+        "doc_id", "text_hash", F.when(later, F.array(F.struct("start", "length"))).otherwise(own).alias("spans")
+    )
+    return spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,12 +355,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = spans.select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "spans"
     )
-    same = (F.col(doc_id) == F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_hash"))
-    joined = docs.select(doc_id, text).join(spans, same, "left").select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(text).alias("text"),
-        F.col("spans.start").alias("starts"),
-        F.col("spans.length").alias("lengths"),
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
+    joined = rows.join(spans, same, "left").select(
+        "doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

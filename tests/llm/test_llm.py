@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from palimpsest.llm import (
@@ -108,7 +109,10 @@ def test_simhash(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
-def test_prefix_free_parsing(docs, rows, empty):
+@pytest.mark.parametrize("most, hot", [(4096, 1000), (1, 1000), (4096, 10**9)])
+def test_prefix_free_parsing(docs, rows, empty, monkeypatch, most, hot):
+    monkeypatch.setattr(prefix_free, "MOST", most)
+    monkeypatch.setattr(prefix_free, "HOT", hot)
     expected = Counter()
     for doc, text, *_ in rows:
         raw = (text or "").encode()
@@ -121,11 +125,29 @@ def test_prefix_free_parsing(docs, rows, empty):
         kept = bytes(c for c, g in zip(raw, gone) if not g)
         runs = len(re.findall(b"\1+", bytes(gone)))
         expected[doc, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest()] += 1
+    docs = docs.withColumn("_doc_id", F.lit(1)).withColumn("spans", F.lit("x"))
     found = prefix_free.remove_repeats(docs).withColumn("kept", F.sha2("kept", 256))
     assert Counter(map(tuple, found.collect())) == expected
     assert prefix_free.remove_repeats(empty).count() == 0
 
 
+def test_sorted_suffixes():
+    """Against the smallest owner of every string, on phrases that share parts."""
+    rng = random.Random(5)
+    core = bytes(rng.choice(b"ab\0") for _ in range(60))
+    phrases = [core[: rng.randint(50, 60)] + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    lo = [rng.randint(1, 20) for _ in phrases]
+    first = {}
+    for phrase, owner in zip(phrases, lo):
+        for p in range(len(phrase) - 49):
+            first[phrase[p : p + 50]] = min(owner, first.get(phrase[p : p + 50], owner))
+    runs = prefix_free.sorted_suffixes(pa.table({"phrase": phrases, "lo": lo})).to_pylist()
+    for phrase, owner, found in zip(phrases, lo, runs):
+        got = {r["place"] + k for r in found for k in range(r["length"] - 49)}
+        assert got == {p for p in range(len(phrase) - 49) if first[phrase[p : p + 50]] < owner}
+        assert len(found) == sum(p - 1 not in got for p in got)
+
+
 def test_paragraphs(docs, rows, empty):
     found = []
     for doc, text, *_ in rows:
