@@ -64,7 +64,7 @@ def _odd(n: int) -> np.ndarray:
 
 BYTE_HASH = _draw.integers(0, 1 << 63, 256, np.uint64)
 JOIN = _odd(5)
-STIR = _odd(1)
+STIR = _odd(2)
 
 
 class Chunk:
@@ -92,7 +92,9 @@ class Chunk:
         first = np.flatnonzero(np.diff(trigger, prepend=-1))
         self.low = starts[first]
         self.high = starts[np.append(first[1:], len(starts)) - 1]
-        self.anchor = grams[trigger[first]]
+        # Least hashes are small ones, so they are stirred once more to spread over slots and ranges.
+        anchor = grams[trigger[first]] * STIR[1]
+        self.anchor = anchor ^ anchor >> np.uint64(32)
         piece = np.searchsorted(ends, self.low, side="right")
         self.row = np.array([r for r, _, _ in pieces])[piece]
         self.shift = np.array([o for _, o, _ in pieces])[piece] - (ends - sizes)[piece]
@@ -185,11 +187,11 @@ def shared_triggers(rows: DataFrame) -> np.ndarray:
             for b, f in zip(blocks, table["several"].to_pylist())
         ]
         rest, several = np.concatenate(blocks), np.concatenate(flags) > 0
-        slot = np.sort(rest >> np.uint32(32 - FILTER_BITS + bits))
-        bitmap = np.zeros(slots, bool)
+        order = np.sort(rest)
         # Blocks come from different rows, so what is in two of them is in several.
-        bitmap[slot[1:][slot[1:] == slot[:-1]]] = True
-        bitmap[rest[several] >> np.uint32(32 - FILTER_BITS + bits)] = True
+        shared = np.concatenate([order[1:][order[1:] == order[:-1]], rest[several]])
+        bitmap = np.zeros(slots, bool)
+        bitmap[shared >> np.uint32(32 - FILTER_BITS + bits)] = True
         return pa.table(
             {"range": table["range"][:1], "bits": [np.packbits(bitmap, bitorder="little").tobytes()]}
         )
