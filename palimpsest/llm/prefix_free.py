@@ -7,12 +7,12 @@ bytes after its last start, which is as far as the order of suffixes matters her
 
 **Dictionary.** One row per different phrase, with the smallest and the greatest id of a document that
 has it. Phrases whose trigger string stands in one row only are left out from the start: a count by hash
-range gives a bitmap of fixed size, and where that is too small for a corpus, more is looked at.
+range gives bitmaps of fixed size, and where these are too small for a corpus, more is looked at.
 
 **Suffix array of the dictionary.** Equal strings have equal triggers, so the dictionary is dealt by
 trigger and its suffixes are sorted to a depth of ``LENGTH`` where they are; neighbours with that common
 prefix are one string. Of each phrase remain the places whose string a document has that is smaller than
-all that have the phrase. Triggers in more than ``MOST`` phrases don't go to one task: their suffixes
+all that have the phrase. Triggers met more than ``MOST`` times don't go to one task: their suffixes
 are rows, of which Spark finds the least id by string.
 
 **Corpus order.** The documents are parsed again, and each phrase meets its dictionary row. In the order
@@ -49,7 +49,7 @@ CHUNK = 1 << 17
 PLACE = np.uint64((1 << 20) - 1)
 # Each bitmap has so many bits (16 MB).
 FILTER_BITS = 27
-# Phrases of one trigger that a task sorts; of triggers with more, suffixes become rows.
+# Phrases of one trigger that a task sorts at most; where there are more, suffixes become rows.
 MOST = 4096
 # A phrase is salted if it has more than this part of all occurrences; so many phrases can be.
 HOT = 1000
@@ -145,11 +145,11 @@ def _ranges(df: DataFrame) -> int:
 
 
 def shared_triggers(rows: DataFrame) -> np.ndarray:
-    """A bitmap of the trigger strings met in several rows.
+    """Bitmaps of the trigger strings met in several rows, and of those met more than ``MOST`` times.
 
     Hashes are sorted and reduced where they are made and sent in blocks by hash range, with 32 bits of
-    each that the range does not tell. The bitmap holds a fixed number of slots, so a slot may also be
-    set for another string.
+    each that the range does not tell, and counts. Bitmaps hold a fixed number of slots, so a slot may
+    also be set for another string.
     """
     ranges = _ranges(rows)
     bits = ranges.bit_length() - 1
@@ -165,6 +165,7 @@ def shared_triggers(rows: DataFrame) -> np.ndarray:
             key, row = key[order], row[order]
             first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
             several = np.maximum.reduceat(row, first) != np.minimum.reduceat(row, first)
+            times = np.minimum(np.diff(np.append(first, len(key))), MOST + 1).astype(np.uint16)
             key = key[first]
             part = (key >> np.uint64(64 - bits)).astype(np.int64)
             rest = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
@@ -176,8 +177,9 @@ def shared_triggers(rows: DataFrame) -> np.ndarray:
                     pa.array(filled),
                     pa.array([rest[b].tobytes() for b in blocks]),
                     pa.array([np.packbits(several[b], bitorder="little").tobytes() for b in blocks]),
+                    pa.array([times[b].tobytes() for b in blocks]),
                 ],
-                ["range", "rest", "several"],
+                ["range", "rest", "several", "times"],
             )
 
     def merge(table: pa.Table) -> pa.Table:
@@ -187,21 +189,28 @@ def shared_triggers(rows: DataFrame) -> np.ndarray:
             for b, f in zip(blocks, table["several"].to_pylist())
         ]
         rest, several = np.concatenate(blocks), np.concatenate(flags) > 0
-        order = np.sort(rest)
+        times = np.frombuffer(b"".join(table["times"].to_pylist()), np.uint16)
+        order = np.argsort(rest)
+        rest, several = rest[order], several[order]
+        first = np.flatnonzero(np.diff(rest.astype(np.int64), prepend=-1))
         # Blocks come from different rows, so what is in two of them is in several.
-        shared = np.concatenate([order[1:][order[1:] == order[:-1]], rest[several]])
-        bitmap = np.zeros(slots, bool)
-        bitmap[shared >> np.uint32(32 - FILTER_BITS + bits)] = True
-        return pa.table(
-            {"range": table["range"][:1], "bits": [np.packbits(bitmap, bitorder="little").tobytes()]}
-        )
-
-    parts = rows.mapInArrow(emit, "range long, rest binary, several binary")
-    bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in parts.groupBy("range").applyInArrow(merge, "range long, bits binary").toLocalIterator():
+        shared = np.logical_or.reduceat(several, first) | (np.diff(np.append(first, len(rest))) > 1)
+        often = np.add.reduceat(times[order].astype(np.int64), first) > MOST
+        slot = rest[first] >> np.uint32(32 - FILTER_BITS + bits)
+        maps = np.zeros((2, slots), bool)
+        maps[0, slot[shared]] = True
+        maps[1, slot[shared & often]] = True
+        packed = [np.packbits(m, bitorder="little").tobytes() for m in maps]
+        return pa.table({"range": table["range"][:1], "shared": packed[:1], "often": packed[1:]})
+
+    parts = rows.mapInArrow(emit, "range long, rest binary, several binary, times binary")
+    maps = parts.groupBy("range").applyInArrow(merge, "range long, shared binary, often binary")
+    bitmaps = np.zeros((2, (1 << FILTER_BITS) // 8), np.uint8)
+    for row in maps.toLocalIterator():
         at = slice(row["range"] * slots // 8, (row["range"] + 1) * slots // 8)
-        bitmap[at] = np.frombuffer(row["bits"], np.uint8)
-    return bitmap
+        bitmaps[0, at] = np.frombuffer(row["shared"], np.uint8)
+        bitmaps[1, at] = np.frombuffer(row["often"], np.uint8)
+    return bitmaps
 
 
 def _look(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -210,28 +219,56 @@ def _look(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def parse(rows: DataFrame, triggers: Broadcast) -> DataFrame:
-    """``(anchor, phrase, doc_id, text_hash, start)`` of the phrases whose trigger is in the bitmap."""
+    """``(phrase, doc_id, text_hash, start)`` of the phrases whose trigger is met in several rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in _chunks(binary(batch.column("text"))):
-                met = np.flatnonzero(_look(triggers.value, c.anchor))
+                met = np.flatnonzero(_look(triggers.value[0], c.anchor))
                 row = pa.array(c.row[met])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(c.anchor[met].view(np.int64)),
                         pa.array(c.phrases(met), pa.binary()),
                         batch.column("doc_id").take(row),
                         batch.column("text_hash").take(row),
                         pa.array((c.low[met] + c.shift[met]).astype(np.int32)),
                     ],
-                    ["anchor", "phrase", "doc_id", "text_hash", "start"],
+                    ["phrase", "doc_id", "text_hash", "start"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        emit, f"anchor long, phrase binary, doc_id {kind}, text_hash long, start int"
-    )
+    return rows.mapInArrow(emit, f"phrase binary, doc_id {kind}, text_hash long, start int")
+
+
+def owned_phrases(rows: DataFrame, triggers: Broadcast) -> DataFrame:
+    """``(anchor, often, phrase, lo, hi, n)``: the same phrases, counted by batch of rows.
+
+    ``anchor`` is the hash of the trigger, and ``often`` says whether it may be met more than ``MOST`` times.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for c in _chunks(binary(batch.column("text"))):
+                met = np.flatnonzero(_look(triggers.value[0], c.anchor))
+                columns = {
+                    "anchor": c.anchor[met].view(np.int64),
+                    "often": _look(triggers.value[1], c.anchor[met]),
+                    "phrase": pa.array(c.phrases(met), pa.binary()),
+                    "doc_id": batch.column("doc_id").take(pa.array(c.row[met])),
+                }
+                found.append(pa.table(columns))
+            if found:
+                rows = pa.concat_tables(found).group_by(["anchor", "often", "phrase"])
+                counted = rows.aggregate([("doc_id", k) for k in ("min", "max", "count")])
+                counted = counted.select(
+                    ["anchor", "often", "phrase", "doc_id_min", "doc_id_max", "doc_id_count"]
+                )
+                yield from counted.rename_columns(["anchor", "often", "phrase", "lo", "hi", "n"]).to_batches()
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"anchor long, often boolean, phrase binary, lo {kind}, hi {kind}, n long"
+    return rows.mapInArrow(emit, schema)
 
 
 RUNS = "array<struct<place: int, length: int>>"
@@ -275,17 +312,13 @@ def _names() -> list[Column]:
 
 
 def dictionary(found: DataFrame) -> DataFrame:
-    """``(n1, n2, lo, hi, n, runs)`` of the phrases in ``found`` that remove something anywhere.
+    """``(n1, n2, lo, hi, n, runs)`` of the ``owned_phrases`` that remove something anywhere.
 
     ``lo`` and ``hi`` are the smallest and greatest id of a document with the phrase, ``n`` its
-    occurrences, and ``runs`` the places whose string also stands in a document before ``lo``.
+    occurrences, and ``runs`` the places whose string also stands in a document before ``lo``. Phrases
+    cross the network once, dealt by trigger, or by themselves where the trigger is met often.
     """
-    phrases = found.groupBy("anchor", "phrase").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")
-    )
-    phrases = cut_lineage(phrases, "phrases")
-    hot = phrases.groupBy("anchor").count().filter(F.col("count") > MOST).select("anchor")
-    hot = cut_lineage(hot, "triggers")
+    whole = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -305,13 +338,15 @@ def dictionary(found: DataFrame) -> DataFrame:
         if held is not None:
             yield from done(held)
 
-    dealt = phrases.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    kind = phrases.schema["lo"].dataType.simpleString()
+    dealt = found.filter(~F.col("often")).drop("often").repartition("anchor")
+    dealt = dealt.groupBy("anchor", "phrase").agg(*whole).sortWithinPartitions("anchor")
+    kind = found.schema["lo"].dataType.simpleString()
     schema = f"anchor long, phrase binary, lo {kind}, hi {kind}, n long, runs {RUNS}"
     few = dealt.mapInArrow(compare, schema).select(*_names(), "lo", "hi", "n", "runs")
 
     places = F.explode(F.sequence(F.lit(0), F.octet_length("phrase") - LENGTH)).alias("place")
-    many = phrases.join(hot, "anchor", "left_semi").select("*", places)
+    often = cut_lineage(found.filter("often").groupBy("phrase").agg(*whole), "phrases")
+    many = often.select("*", places)
     many = many.withColumn("string", F.substring("phrase", F.col("place") + 1, F.lit(LENGTH)))
     least = many.groupBy("string").agg(F.min("lo").alias("least"))
     run = F.struct("place", F.lit(LENGTH).alias("length"))
@@ -331,15 +366,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.xxhash64(text).alias("text_hash"),
         F.col(text).alias("text"),
     )
-    found = parse(rows, rows.sparkSession.sparkContext.broadcast(shared_triggers(rows)))
-    known = cut_lineage(dictionary(found), "dictionary")
+    triggers = rows.sparkSession.sparkContext.broadcast(shared_triggers(rows))
+    known = cut_lineage(dictionary(owned_phrases(rows, triggers)), "dictionary")
     total = known.agg(F.sum("n")).first()[0] or 0
     often = known.filter(F.col("n") * HOT > F.lit(total)).select("n1").distinct()
     often = F.col("n1").isin([row["n1"] for row in often.collect()])
     salts = F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")
     salt = F.when(often, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     length = F.octet_length("phrase").alias("length")
-    met = found.select(*_names(), "doc_id", "text_hash", "start", length).withColumn("salt", salt)
+    met = parse(rows, triggers).select(*_names(), "doc_id", "text_hash", "start", length).withColumn("salt", salt)
     met = met.join(known.select("n1", "n2", salts, "lo", "runs"), ["n1", "n2", "salt"])
     later = F.col("doc_id") > F.col("lo")
     own = F.transform(
