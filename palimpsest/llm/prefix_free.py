@@ -51,6 +51,8 @@ PLACE = np.uint64((1 << 20) - 1)
 FILTER_BITS = 27
 # Phrases of one trigger that a task sorts at most; where there are more, suffixes become rows.
 MOST = 4096
+# Phrases that a task counts at a time.
+COUNTED = 1 << 17
 # A phrase is salted if it has more than this part of all occurrences; so many phrases can be.
 HOT = 1000
 SALTS = 32
@@ -241,14 +243,22 @@ def parse(rows: DataFrame, triggers: Broadcast) -> DataFrame:
 
 
 def owned_phrases(rows: DataFrame, triggers: Broadcast) -> DataFrame:
-    """``(anchor, often, phrase, lo, hi, n)``: the same phrases, counted by batch of rows.
+    """``(anchor, often, phrase, lo, hi, n)``: the same phrases, counted by some rows at a time.
 
     ``anchor`` is the hash of the trigger, and ``often`` says whether it may be met more than ``MOST`` times.
     """
+    keys = ["anchor", "often", "phrase"]
+    names = [*keys, "lo", "hi", "n"]
+
+    def counted(found: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(found).group_by(keys)
+        rows = rows.aggregate([("doc_id", k) for k in ("min", "max", "count")])
+        rows = rows.select([*keys, "doc_id_min", "doc_id_max", "doc_id_count"]).rename_columns(names)
+        yield from rows.to_batches()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, size = [], 0
             for c in _chunks(binary(batch.column("text"))):
                 met = np.flatnonzero(_look(triggers.value[0], c.anchor))
                 columns = {
@@ -258,13 +268,12 @@ def owned_phrases(rows: DataFrame, triggers: Broadcast) -> DataFrame:
                     "doc_id": batch.column("doc_id").take(pa.array(c.row[met])),
                 }
                 found.append(pa.table(columns))
-            if found:
-                rows = pa.concat_tables(found).group_by(["anchor", "often", "phrase"])
-                counted = rows.aggregate([("doc_id", k) for k in ("min", "max", "count")])
-                counted = counted.select(
-                    ["anchor", "often", "phrase", "doc_id_min", "doc_id_max", "doc_id_count"]
-                )
-                yield from counted.rename_columns(["anchor", "often", "phrase", "lo", "hi", "n"]).to_batches()
+                size += len(met)
+                if size >= COUNTED:
+                    yield from counted(found)
+                    found, size = [], 0
+            if size:
+                yield from counted(found)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"anchor long, often boolean, phrase binary, lo {kind}, hi {kind}, n long"
