@@ -35,7 +35,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+#: Spark's setting to delete the shuffles of a job that has ended, instead of waiting for the driver's GC.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, name: str = "table", drop_shuffles: bool = False) -> DataFrame:
+    """``df`` written and read back; ``drop_shuffles`` deletes at once what its job shuffled."""
+    conf = df.sparkSession.conf
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = conf.get(CLEANUP, None)
+    if drop_shuffles:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
