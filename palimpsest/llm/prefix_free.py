@@ -50,7 +50,7 @@ PLACE = np.uint64((1 << 20) - 1)
 # Each bitmap has so many bits (16 MB).
 FILTER_BITS = 27
 # Phrases of one trigger that a task sorts at most; where there are more, suffixes become rows.
-MOST = 4096
+MOST = 1 << 15
 # Phrases that a task counts at a time.
 COUNTED = 1 << 17
 # A phrase is salted if it has more than this part of all occurrences; so many phrases can be.
@@ -376,7 +376,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col(text).alias("text"),
     )
     triggers = rows.sparkSession.sparkContext.broadcast(shared_triggers(rows))
-    known = cut_lineage(dictionary(owned_phrases(rows, triggers)), "dictionary")
+    known = cut_lineage(dictionary(owned_phrases(rows, triggers)), "dictionary", drop_shuffles=True)
     total = known.agg(F.sum("n")).first()[0] or 0
     often = known.filter(F.col("n") * HOT > F.lit(total)).select("n1").distinct()
     often = F.col("n1").isin([row["n1"] for row in often.collect()])
@@ -392,7 +392,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = met.filter(later | (F.size("runs") > 0)).select(
         "doc_id", "text_hash", F.when(later, F.array(F.struct("start", "length"))).otherwise(own).alias("spans")
     )
-    return spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return cut_lineage(spans, "spans", drop_shuffles=True)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
