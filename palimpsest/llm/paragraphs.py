@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components, pivot_links, shared_buckets
 from palimpsest.llm.filters import passes, permuted, value_filter
-from palimpsest.llm.text import SEED, binary, shingle_hashes, words_of
+from palimpsest.llm.text import LOWER, SEED, binary
 from palimpsest.materialize import cut_lineage
 
 SHINGLE = 5
@@ -41,6 +41,14 @@ BLOCK = 1000
 WIDTH = 4096
 # Shingles that are worked on at a time.
 STEP = 1 << 17
+# Words of a text that are taken together; a line or passage is never parted.
+STRETCH = 1 << 14
+# Numbers for bytes, none for the space between words; a base with its inverse; joins hashes of words.
+BYTES = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES[32] = 0
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15 ^ 64)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def band_rows(threshold: float, recall: float, hashes: int) -> int:
@@ -55,29 +63,74 @@ def _class(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
 
 
-def _units(
-    text: bytes, min_words: int
-) -> Iterator[tuple[int, int, int | None, int, list[bytes]]]:
-    """First and last line, passage, class and words of each paragraph.
+Unit = tuple[int, int, int | None, int, int]
 
-    A line within a passage of several lines names the first line of it; others have no passage.
+
+def _stretches(text: bytes, min_words: int) -> Iterator[tuple[list[bytes], list[Unit]]]:
+    """Words of some adjacent lines, and the paragraphs in them.
+
+    A paragraph has its first and last line, passage, and the range of its words. A line within a passage
+    of several lines names the first line of it; others have no passage.
     """
-    wrapped: list[tuple[int, list[bytes]]] = []
-    for place, line in enumerate([*text.split(b"\n"), b""]):
-        words = words_of(line)
-        if 0 < len(words) < WRAPPED:
-            wrapped.append((place, words))
+    words: list[bytes] = []
+    units: list[Unit] = []
+    wrapped: list[tuple[int, int, int]] = []
+    # Splitting bytes at white space means the same six characters as everywhere here.
+    for place, line in enumerate([*text.translate(LOWER).split(b"\n"), b""]):
+        own, low = line.split(), len(words)
+        words += own
+        if 0 < len(own) < WRAPPED:
+            wrapped.append((place, low, len(words)))
             continue
         passage = wrapped[0][0] if len(wrapped) > 1 else None
-        for at, own in wrapped:
-            if len(own) >= min_words:
-                yield at, at, passage, _class(own), own
-        joined = [w for _, own in wrapped for w in own]
-        if passage is not None and len(joined) >= min_words:
-            yield passage, wrapped[-1][0], None, _class(joined), joined
+        units += [(at, at, passage, a, b) for at, a, b in wrapped if b - a >= min_words]
+        if passage is not None and low - wrapped[0][1] >= min_words:
+            units.append((passage, wrapped[-1][0], None, wrapped[0][1], low))
         wrapped = []
-        if words and len(words) >= min_words:
-            yield place, place, None, _class(words), words
+        if own and len(own) >= min_words:
+            units.append((place, place, None, low, len(words)))
+        if len(words) >= STRETCH:
+            yield words, units
+            words, units = [], []
+    if units:
+        yield words, units
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    powers = np.full(n, base)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+# Powers for most stretches; longer ones make their own.
+POWERS, INVERSES = _powers(BASE, 1 << 16), _powers(INVERSE, 1 << 16)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Sums of random numbers for bytes times powers by place, stirred: all words in a few passes."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts = np.append(0, np.flatnonzero(data == 32) + 1)
+    n = len(data)
+    powers = POWERS if n <= len(POWERS) else _powers(BASE, n)
+    inverses = INVERSES if n <= len(INVERSES) else _powers(INVERSE, n)
+    sums = np.add.reduceat(BYTES[data] * powers[:n], starts) * inverses[starts]
+    return (sums ^ sums >> np.uint64(32)) * FACTOR
+
+
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """A hash of every run of ``SHINGLE`` words, put together from hashes of the words.
+
+    Paragraphs of the same words have the same hashes wherever they stand, so a passage and its lines
+    share them.
+    """
+    runs = len(words) - SHINGLE + 1
+    if runs < 1:
+        return np.zeros(0, np.uint64)
+    hashes = _word_hashes(words)
+    out = hashes[:runs]
+    for i in range(1, SHINGLE):
+        out = out * FACTOR + hashes[i : i + runs]
+    return out
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -95,32 +148,40 @@ def paragraphs(docs: DataFrame, rows: int, min_words: int = MIN_WORDS) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, units, ends, values, total = [], [], [0], [], 0
-            texts = binary(batch.column("text"))
-            for owner, text in enumerate(texts):
-                for place, last, passage, node, words in _units(text, min_words):
-                    owners.append(owner)
-                    units.append((place, last, passage, node))
+            for owner, text in enumerate(binary(batch.column("text"))):
+                for words, found in _stretches(text, min_words):
+                    shingles = _shingles(words)
+                    for place, last, passage, low, high in found:
+                        owners.append(owner)
+                        units.append((place, last, passage, _class(words[low:high])))
+                        if high - low >= SHINGLE:
+                            values.append(shingles[low : high - SHINGLE + 1])
+                        ends.append(len(values) * bands)
                     total += len(words)
-                    if len(words) >= SHINGLE:
-                        values.append(shingle_hashes(words, SHINGLE))
-                    ends.append(len(values) * bands)
-                if owners and (total >= STEP or owner == len(batch) - 1):
-                    at = pa.array(owners)
-                    places, lasts, passages, nodes = map(list, zip(*units))
-                    buckets = _buckets(values, rows, bands).view(np.int64).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").take(at),
-                            batch.column("text_hash").take(at),
-                            pa.array(places, pa.int32()),
-                            pa.array(lasts, pa.int32()),
-                            pa.array(passages, pa.int32()),
-                            pa.array(_signed(nodes)),
-                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets)),
-                        ],
-                        ["doc_id", "text_hash", "place", "last", "passage", "node", "buckets"],
-                    )
-                    owners, units, ends, values, total = [], [], [0], [], 0
+                    if total >= STEP:
+                        yield table(batch, owners, units, ends, values)
+                        owners, units, ends, values, total = [], [], [0], [], 0
+            if owners:
+                yield table(batch, owners, units, ends, values)
+
+    def table(
+        batch: pa.RecordBatch, owners: list, units: list, ends: list, values: list
+    ) -> pa.RecordBatch:
+        at = pa.array(owners)
+        places, lasts, passages, nodes = map(list, zip(*units))
+        buckets = _buckets(values, rows, bands).view(np.int64).ravel()
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(at),
+                batch.column("text_hash").take(at),
+                pa.array(places, pa.int32()),
+                pa.array(lasts, pa.int32()),
+                pa.array(passages, pa.int32()),
+                pa.array(_signed(nodes)),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets)),
+            ],
+            ["doc_id", "text_hash", "place", "last", "passage", "node", "buckets"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, place int, last int, passage int, node long"
@@ -151,13 +212,17 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, min_words: int = MIN_WORDS)
         for batch in batches:
             found: dict[int, np.ndarray] = {}
             for text in binary(batch.column("text")):
-                units = [unit[3:] for unit in _units(text, min_words)]
-                if not units:
-                    continue
-                wanted = passes(np.array([n for n, _ in units], np.uint64), bits, bitmap.value)
-                for (node, words), want in zip(units, wanted.tolist()):
-                    if want and node not in found:
-                        found[node] = np.unique(shingle_hashes(words, SHINGLE)).view(np.int64)
+                for words, units in _stretches(text, min_words):
+                    spans = [(low, high) for *_, low, high in units if high - low >= SHINGLE]
+                    classes = [_class(words[low:high]) for low, high in spans]
+                    wanted = passes(np.array(classes, np.uint64), bits, bitmap.value).tolist()
+                    if not any(wanted):
+                        continue
+                    shingles = _shingles(words)
+                    for node, (low, high), want in zip(classes, spans, wanted):
+                        if want and node not in found:
+                            own = shingles[low : high - SHINGLE + 1]
+                            found[node] = np.unique(own).view(np.int64)
             if found:
                 sets = pa.array(list(found.values()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
