@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import clip, tokens
-from palimpsest.materialize import cut_lineage
 
 TABLE_LIMIT = 256 * 1024 * 1024
 # Numbers gathered at a time.
 CELLS = 4_000_000
+# Steps of frequency between a number and its double.
+BINS = 64
 
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -35,8 +36,8 @@ def word_vector_embedding(
 ) -> Embed:
     """An embedding stage: takes rows with ``content``, returns them with ``vec`` in its place.
 
-    Of the vectors as many as ``table_limit`` bytes hold are broadcast, the most frequent tokens first. A
-    text that has others gets them by a join on the token, for which rows need ``article`` and ``seq``.
+    Of the vectors about as many as ``table_limit`` bytes hold are broadcast, the most frequent tokens first.
+    A text that has others gets them by a join on the token, for which rows need ``article`` and ``seq``.
     """
     vectors = one_per_token(word_vectors)
     size = vectors.agg(
@@ -51,15 +52,13 @@ def word_vector_embedding(
         if total <= table_limit:
             return vectors, None
         # Rows of average size; the limit is on what they hold together.
-        count = int(table_limit * size["n"] // total)
-        order = [F.col("n").desc()] if "n" in vectors.columns else []
-        first = cut_lineage(vectors.orderBy(*order, "token").limit(count), "frequent")
-        return first, vectors.join(F.broadcast(first.select("token")), "token", "left_anti")
+        chosen = most_frequent(vectors, int(table_limit * size["n"] // total))
+        return vectors.filter(chosen), vectors.filter(~chosen)
 
     def embed(df: DataFrame) -> DataFrame:
         if not shared:
             first, rest = frequent()
-            shared.append((_broadcast(first, dim), first, rest))
+            shared.append((_broadcast(first, dim), first.select("token"), rest))
         known, first, rest = shared[0]
         words = tokens(clip(F.col("content"), max_chars))
         tokenised = df.withColumn("_tokens", words).drop("content")
@@ -81,6 +80,25 @@ def one_per_token(word_vectors: DataFrame) -> DataFrame:
     return kept.groupBy("token").agg(F.max("vec").alias("vec"), *most)
 
 
+def most_frequent(vectors: DataFrame, count: int) -> Column:
+    """Whether a row is among about ``count`` of the most frequent tokens.
+
+    Nothing is sorted: a histogram of frequencies, of a bounded number of bins, tells from where on tokens are
+    taken, and of the bin at the edge a share drawn by the token.
+    """
+    level = F.lit(0).cast("long")
+    if "n" in vectors.columns:
+        n = F.greatest(F.coalesce(F.col("n").cast("double"), F.lit(0.0)), F.lit(0.0))
+        level = F.floor(F.log2(n + 1) * BINS)
+    bins = vectors.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()
+    for level_, size in sorted(bins, reverse=True):
+        if size > count:
+            drawn = F.pmod(F.xxhash64("token"), F.lit(size)) < count
+            return (level > level_) | ((level == level_) & drawn)
+        count -= size
+    return F.lit(True)
+
+
 def _broadcast(vectors: DataFrame, dim: int):
     table = vectors.select("token", "vec").toArrow()
     matrix = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(table), dim)
@@ -93,7 +111,7 @@ def _with_others(df: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
     # Frequent tokens are sorted out where they are, so the join has no hot key. The outer form of
     # explode adds no filter that would find the tokens a second time.
     words = df.select(*key, F.explode_outer(F.array_distinct("_tokens")).alias("token"))
-    rare = words.join(F.broadcast(first.select("token")), "token", "left_anti")
+    rare = words.join(F.broadcast(first), "token", "left_anti")
     found = rare.join(rest.select("token", "vec"), "token")
     others = found.groupBy(*key).agg(F.collect_list(F.struct("token", "vec")).alias("_others"))
     return df.join(others, key, "left")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from palimpsest.operators import link as link_module
 from palimpsest.operators.changes import section_edits
 from palimpsest.operators.embed import (
     column_embedding,
+    most_frequent,
     stored_embedding,
     word_vector_embedding,
 )
@@ -144,6 +146,22 @@ def test_all_ways_to_embed_agree(spark):
         assert [r.vec for r in found] == expected, limit
 
 
+def test_frequent_tokens_are_chosen_without_a_sort(spark):
+    """A limit would bring all of them to one task."""
+    rows = [(f"t{i}", 1000 // (i + 1)) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "token string, n long")
+    for count in (0, 10, 300, 5000):
+        found = vectors.filter(most_frequent(vectors, count))
+        assert not re.search("Limit|TakeOrdered|Sort", found._jdf.queryExecution().toString())
+        n = [r.n for r in found.collect()]
+        assert abs(len(n) - min(count, 2000)) <= 100 and (count < 2000 or len(n) == 2000)
+        least, most = min(n, default=1000), max((r[1] for r in rows if r[1] not in n), default=0)
+        # Of frequencies as like as two bins are, tokens are drawn.
+        assert most <= 1.02 * least
+    assert vectors.drop("n").filter(most_frequent(vectors.drop("n"), 0)).isEmpty()
+    assert 400 < vectors.drop("n").filter(most_frequent(vectors.drop("n"), 500)).count() < 600
+
+
 def test_limits_do_not_touch_a_bit(spark):
     rng = np.random.default_rng(5)
     names = [f"t{i}" for i in range(300)]
