@@ -39,15 +39,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_lineage(df: DataFrame, name: str = "table", drop_shuffles: bool = False) -> DataFrame:
-    """``df`` written and read back; ``drop_shuffles`` deletes at once what its job shuffled."""
+def cut_lineage(
+    df: DataFrame, name: str = "table", drop_shuffles: bool = False, codec: str | None = None
+) -> DataFrame:
+    """``df`` written and read back; ``drop_shuffles`` deletes at once what its job shuffled.
+
+    ``codec`` is that of the files, if not the session's: texts take less room with ``zstd``.
+    """
     conf = df.sparkSession.conf
     path = scratch_path(df.sparkSession, name)
     before = conf.get(CLEANUP, None)
     if drop_shuffles:
         conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if drop_shuffles:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)

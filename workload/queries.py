@@ -148,11 +148,16 @@ def section_changes_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_columns(section_edits(views.source_revisions(spark, sf_dir), slices=SLICES))
 
 
+def written_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For stages that read the revisions more than once: written they take less than made again."""
+    return cut_lineage(views.revisions(spark, sf_dir), "revisions", codec="zstd")
+
+
 @query
 def carried_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history that comes in three parts, of which each is read without the earlier ones."""
     path = scratch_path(spark, "state")
-    revisions = views.revisions(spark, sf_dir)
+    revisions = written_revisions(spark, sf_dir)
     turn = F.col("rev_id") % 8
     found = None
     # The second part repeats some of the first.
