@@ -61,10 +61,9 @@ def word_vector_embedding(
             shared.append((_broadcast(first, dim), first.select("token"), rest))
         known, first, rest = shared[0]
         words = tokens(clip(F.col("content"), max_chars))
-        tokenised = df.withColumn("_tokens", words).drop("content")
-        if rest is not None:
-            tokenised = _with_others(tokenised, first, rest)
-        return _means(tokenised, known, dim)
+        # Texts are shuffled as they are: their tokens take three times the room.
+        met = df if rest is None else _with_others(df, words, first, rest)
+        return _means(met.withColumn("_tokens", words).drop("content"), known, dim)
 
     return embed
 
@@ -105,13 +104,13 @@ def _broadcast(vectors: DataFrame, dim: int):
     return vectors.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), matrix))
 
 
-def _with_others(df: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
+def _with_others(df: DataFrame, words: Column, first: DataFrame, rest: DataFrame) -> DataFrame:
     """Adds ``_others``, the tokens and vectors of each text that aren't broadcast."""
     key = ["article", "seq"]
     # Frequent tokens are sorted out where they are, so the join has no hot key. The outer form of
     # explode adds no filter that would find the tokens a second time.
-    words = df.select(*key, F.explode_outer(F.array_distinct("_tokens")).alias("token"))
-    rare = words.join(F.broadcast(first), "token", "left_anti")
+    found = df.select(*key, F.explode_outer(F.array_distinct(words)).alias("token"))
+    rare = found.join(F.broadcast(first), "token", "left_anti")
     found = rare.join(rest.select("token", "vec"), "token")
     others = found.groupBy(*key).agg(F.collect_list(F.struct("token", "vec")).alias("_others"))
     return df.join(others, key, "left")

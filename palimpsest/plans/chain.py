@@ -38,7 +38,7 @@ def link_revisions(
     lookback: int = LOOKBACK,
 ) -> DataFrame:
     """Section edits with their previous versions. Edits are written once and read three times."""
-    edits = cut_lineage(section_edits(revisions), "edits")
+    edits = cut_lineage(section_edits(revisions), "edits", codec="zstd")
     return link_edits(edits, embed, title_threshold, content_threshold, lookback)
 
 
@@ -50,7 +50,7 @@ def link_revision_types(
     lookback: int = LOOKBACK,
 ) -> DataFrame:
     """What ``link_revisions`` finds, without texts: for counts of matches and prompts."""
-    edits = cut_lineage(section_edits(revisions), "edits")
+    edits = cut_lineage(section_edits(revisions), "edits", codec="zstd")
     return link_types(edits, embed, title_threshold, content_threshold, lookback)
 
 

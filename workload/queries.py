@@ -274,7 +274,7 @@ def linked_columns(linked: DataFrame) -> DataFrame:
 
 def linked_revisions(spark: SparkSession, sf_dir: str, **settings: float) -> DataFrame:
     return link_revisions(
-        views.revisions(spark, sf_dir), views.embedding(spark, sf_dir), **settings
+        written_revisions(spark, sf_dir), views.embedding(spark, sf_dir), **settings
     )
 
 
@@ -305,7 +305,7 @@ def numbered_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = views.source_edits(spark, sf_dir)
     keys = edits.select("article", "ts", "rev_id")
     numbers = number_rows(keys, ["article"], ["ts", "rev_id"]).select("article", "rev_id", "seq")
-    return cut_lineage(edits.join(numbers, ["article", "rev_id"]), "edits")
+    return cut_lineage(edits.join(numbers, ["article", "rev_id"]), "edits", codec="zstd")
 
 
 @query
@@ -329,7 +329,7 @@ def link_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_revision_types(views.revisions(spark, sf_dir), views.embedding(spark, sf_dir))
+    return link_revision_types(written_revisions(spark, sf_dir), views.embedding(spark, sf_dir))
 
 
 @query
