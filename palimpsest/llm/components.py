@@ -78,9 +78,9 @@ def pivot_links(
     pivot is the node whose buckets hold most members, as the original of varied copies does; later ones
     are drawn. Nodes already in the pivot's component are not checked again, and
     buckets that lie in one component are done. Returned are edges ``(a, b)`` that tie each node linked
-    so far to the least of its component and, of the buckets that still span components, the rows ``(bucket, node, label)``: they need an exact check of the
-    pairs across labels, and no others. ``stars`` are the edges that an earlier call returned, which go
-    with the labels of ``shared``.
+    so far to the least of its component and the rows ``(bucket, node, label)`` of buckets that spanned
+    components before the last round: they need an exact check of the pairs across labels, and no others. ``stars``
+    are the edges that an earlier call returned, which go with the labels of ``shared``.
 
     ``verify`` takes candidates ``(bucket, a, b)`` and returns those that link.
     """
@@ -111,16 +111,22 @@ def pivot_links(
             .join(labels, "node", "left")
             .select("bucket", "node", F.coalesce("component", "node").alias("label"))
         )
+    return stars, open_
+
+
+def unsettled(open_: DataFrame) -> DataFrame:
+    """The rows ``(bucket, node, label)`` of buckets that span labels, written."""
     span = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    unsettled = span.filter("lo <> hi").select("bucket")
-    return stars, cut_lineage(open_.join(unsettled, "bucket", "left_semi"), "unsettled")
+    several = span.filter("lo <> hi").select("bucket")
+    return cut_lineage(open_.join(several, "bucket", "left_semi"), "unsettled")
 
 
 def across_labels(open_: DataFrame, block: int) -> DataFrame:
     """Pairs ``(bucket, a, b)`` of nodes of one bucket with different labels, each in one row.
 
-    Labels meet first, so that members of one component never meet each other; the pairs of two
-    large components are dealt out in blocks of at most about ``block`` members a side.
+    Labels meet first, so that members of one component never meet each other, and a bucket of one label
+    has no pairs; ``open_`` is read three times, so it should be written. The pairs of two large
+    components are dealt out in blocks of at most about ``block`` members a side.
     """
     groups = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     left = groups.select("bucket", F.col("label").alias("la"), F.col("n").alias("na"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.components import connected_components, pivot_links, shared_buckets
+from palimpsest.llm.components import connected_components, pivot_links, shared_buckets, unsettled
 from palimpsest.llm.filters import passes, permuted, value_filter
 from palimpsest.llm.text import LOWER, SEED, binary
 from palimpsest.materialize import cut_lineage
@@ -252,21 +252,21 @@ def linked_classes(
         enough = both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)
         return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
-    links, unsettled = pivot_links(shared, verify, ROUNDS)
-    return connected_components(links.union(_block_links(unsettled, sets, threshold)))
+    links, open_ = pivot_links(shared, verify, ROUNDS)
+    return connected_components(links.union(_block_links(unsettled(open_), sets, threshold)))
 
 
-def _block_links(unsettled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links ``(a, b)`` that join the labels of ``unsettled(bucket, node, label)`` within buckets.
+def _block_links(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` that join the labels of ``open_(bucket, node, label)`` within buckets.
 
     Buckets are cut into parts of about ``BLOCK`` nodes, and every two parts of a bucket meet in one
     block, where all similarities come from one matrix product. Of the links between two labels as
     many leave the block as join what they join.
     """
-    sizes = unsettled.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    sizes = open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    parts = unsettled.join(sizes, "bucket").withColumn("part", part)
+    parts = open_.join(sizes, "bucket").withColumn("part", part)
     rows = parts.select("*", other).select(
         "bucket",
         F.least("part", "other").alias("i"),

@@ -157,8 +157,8 @@ def near_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     labelled = cut_lineage(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
     keys = F.explode(_bucket_keys(F.col("node"), max_bits)).alias("bucket")
     shared = shared_buckets(labelled.select(keys, "node", "label"))
-    links, unsettled = pivot_links(shared, verify, ROUNDS, stars)
-    rest = verify(across_labels(unsettled, BLOCK)).select("a", "b")
+    links, open_ = pivot_links(shared, verify, ROUNDS, stars)
+    rest = verify(across_labels(cut_lineage(open_, "open"), BLOCK)).select("a", "b")
     return connected_components(links.union(rest))
 
 
