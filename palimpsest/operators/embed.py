@@ -10,11 +10,16 @@ influence on the result, not even by rounding.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +30,9 @@ from palimpsest.functions.text import clip, tokens
 TABLE_LIMIT = 256 * 1024 * 1024
 # Numbers gathered at a time.
 CELLS = 4_000_000
+# Words of texts that are taken together, and tokens of the table looked at together.
+WORDS = 500_000
+TOKENS = 1 << 16
 # Steps of frequency between a number and its double.
 BINS = 64
 
@@ -36,7 +44,8 @@ def word_vector_embedding(
 ) -> Embed:
     """An embedding stage: takes rows with ``content``, returns them with ``vec`` in its place.
 
-    Of the vectors about as many as ``table_limit`` bytes hold are broadcast, the most frequent tokens first.
+    Of the vectors about as many as ``table_limit`` bytes hold are sent to all executors, the most frequent
+    tokens first, in one file that the Python workers of a machine map together.
     A text that has others gets them by a join on the token, for which rows need ``article`` and ``seq``.
     """
     vectors = one_per_token(word_vectors)
@@ -58,7 +67,7 @@ def word_vector_embedding(
     def embed(df: DataFrame) -> DataFrame:
         if not shared:
             first, rest = frequent()
-            shared.append((_broadcast(first, dim), first.select("token"), rest))
+            shared.append((_sent(first, dim), first.select("token"), rest))
         known, first, rest = shared[0]
         words = tokens(clip(F.col("content"), max_chars))
         # Texts are shuffled as they are: their tokens take three times the room.
@@ -98,10 +107,39 @@ def most_frequent(vectors: DataFrame, count: int) -> Column:
     return F.lit(True)
 
 
-def _broadcast(vectors: DataFrame, dim: int):
+def _sent(vectors: DataFrame, dim: int) -> str:
+    """The name of an Arrow file ``(token, vec)`` that every executor gets."""
     table = vectors.select("token", "vec").toArrow()
-    matrix = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(table), dim)
-    return vectors.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), matrix))
+    token, vec = (table[c].combine_chunks() for c in ("token", "vec"))
+    # Vectors of other lengths are an error.
+    vec.flatten().to_numpy().reshape(len(table), dim)
+    folder = tempfile.mkdtemp(prefix="palimpsest-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"vectors-{uuid.uuid4().hex}.arrow"
+    batch = pa.RecordBatch.from_arrays([token, vec], ["token", "vec"])
+    with pa.OSFile(f"{folder}/{name}", "wb") as file, pa.ipc.new_file(file, batch.schema) as writer:
+        writer.write_batch(batch)
+    vectors.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
+def _mapped(name: str, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Tokens and their vectors, as they lie in the file: no worker holds a copy."""
+    with pa.memory_map(SparkFiles.get(name)) as file:
+        batch = pa.ipc.open_file(file).get_batch(0)
+    return batch.column("token"), batch.column("vec").flatten().to_numpy().reshape(len(batch), dim)
+
+
+def _places(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """The row of each word in the vocabulary, or -1. Only the words are hashed, which are the fewer."""
+    encoded = words.dictionary_encode()
+    distinct = encoded.dictionary
+    row = np.full(len(distinct) + 1, -1, np.int64)
+    for at in range(0, len(vocabulary) if len(distinct) else 0, TOKENS):
+        found = pc.index_in(vocabulary.slice(at, TOKENS), value_set=distinct)
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        row[found.drop_null().to_numpy()] = at + known
+    return row[pc.fill_null(encoded.indices, len(distinct)).to_numpy()]
 
 
 def _with_others(df: DataFrame, words: Column, first: DataFrame, rest: DataFrame) -> DataFrame:
@@ -116,35 +154,49 @@ def _with_others(df: DataFrame, words: Column, first: DataFrame, rest: DataFrame
     return df.join(others, key, "left")
 
 
-def _means(df: DataFrame, known, dim: int) -> DataFrame:
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whole rows of about ``WORDS`` words together, or one that has more."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_tokens")), 0).to_numpy())
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _means(df: DataFrame, known: str, dim: int) -> DataFrame:
     names = [c for c in df.columns if c not in ("_tokens", "_others")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, matrix = known.value
+        vocabulary, matrix = _mapped(known, dim)
         for batch in batches:
-            lists = batch.column("_tokens")
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            owner = np.repeat(np.arange(len(lists)), sizes)
-            words = lists.flatten()
-            found = pc.index_in(words, value_set=vocabulary)
-            rows = pc.fill_null(found, -1).to_numpy().astype(np.int64)
-            more = np.zeros((0, dim), np.float32)
-            if "_others" in batch.schema.names:
-                others = batch.column("_others")
-                flat = others.flatten()
-                if len(flat):
-                    more = flat.field("vec").flatten().to_numpy().reshape(-1, dim)
-                    # A token has one vector, whichever text it came with.
-                    at = pc.index_in(words, value_set=flat.field("token"))
-                    at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
-                    rows = np.where((rows < 0) & (at >= 0), at + len(matrix), rows)
-            owner, rows = owner[rows >= 0], rows[rows >= 0]
-            sums = _sums(matrix, more, rows, owner, len(lists))
-            means = (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
-            offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
-            vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.reshape(-1)))
-            kept = batch.select(names)
-            yield pa.RecordBatch.from_arrays([*kept.columns, vec], names=[*names, "vec"])
+            for part in _portions(batch):
+                yield means(part, vocabulary, matrix)
+
+    def means(batch: pa.RecordBatch, vocabulary: pa.Array, matrix: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column("_tokens")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        words = lists.flatten()
+        rows = _places(words, vocabulary)
+        more = np.zeros((0, dim), np.float32)
+        if "_others" in batch.schema.names:
+            others = batch.column("_others")
+            flat = others.flatten()
+            if len(flat):
+                more = flat.field("vec").flatten().to_numpy().reshape(-1, dim)
+                # A token has one vector, whichever text it came with.
+                at = pc.index_in(words, value_set=flat.field("token"))
+                at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+                rows = np.where((rows < 0) & (at >= 0), at + len(matrix), rows)
+        owner, rows = owner[rows >= 0], rows[rows >= 0]
+        sums = _sums(matrix, more, rows, owner, len(lists))
+        found = (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
+        offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
+        vec = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
+        kept = batch.select(names)
+        return pa.RecordBatch.from_arrays([*kept.columns, vec], names=[*names, "vec"])
 
     schema = T.StructType(df.select(*names).schema.fields).add("vec", T.ArrayType(T.FloatType()))
     return df.mapInArrow(run, schema)
