@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ from palimpsest.sources.batch import (
 )
 from palimpsest.sources.output import labelled_edits
 
+# Bytes of prompts that a model gets at a time.
+PORTION = 4 << 20
+
 
 def link_revisions(
     revisions: DataFrame,
@@ -62,15 +66,22 @@ def prompts_for_model(
 
 
 def answered(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """``(custom_id, response)`` from a model called on Arrow batches of prompts."""
+    """``(custom_id, response)`` from a model called on portions of prompts of about ``PORTION`` bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = model(batch["prompt"])
-            yield pd.DataFrame({"custom_id": batch["custom_id"], "response": list(answers)})
-
-    asked = prompts.select("custom_id", "prompt")
-    return asked.mapInPandas(run, "custom_id string, response string")
+            # A whole batch as Python strings takes several times its room.
+            step = max(1, PORTION * len(batch) // max(1, batch.nbytes))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                answers = list(model(part.column("prompt").to_pandas()))
+                response = pa.array(answers, from_pandas=True).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("custom_id"), response], ["custom_id", "response"])
+            # The next batch comes when this one is gone.
+            batch = part = None
+
+    asked = prompts.select(F.col("custom_id").cast("string"), "prompt")
+    return asked.mapInArrow(run, "custom_id string, response string")
 
 
 def score(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
