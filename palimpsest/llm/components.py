@@ -25,9 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    edges = cut_lineage(edges.distinct(), "edges")
+    edges = cut_lineage(edges.distinct(), "edges", drop_shuffles=True)
     while not _are_stars(edges):
-        edges = cut_lineage(_small_star(_large_star(edges)), "edges")
+        edges = cut_lineage(_small_star(_large_star(edges)), "edges", drop_shuffles=True)
     least = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least)
 
@@ -66,7 +66,13 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     span = members.groupBy("bucket").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
     # Such buckets grow with the corpus, so they are never broadcast.
     several = span.filter("lo <> hi").select("bucket").hint("merge")
-    return cut_lineage(members.join(several, "bucket", "left_semi"), "buckets")
+    return cut_lineage(members.join(several, "bucket", "left_semi"), "buckets", drop_shuffles=True)
+
+
+def bucket_degrees(shared: DataFrame) -> DataFrame:
+    """``(node, degree)``: how many members the buckets of each node hold together."""
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    return shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("degree"))
 
 
 def pivot_links(
@@ -80,13 +86,14 @@ def pivot_links(
     buckets that lie in one component are done. Returned are edges ``(a, b)`` that tie each node linked
     so far to the least of its component and the rows ``(bucket, node, label)`` of buckets that spanned
     components before the last round: they need an exact check of the pairs across labels, and no others. ``stars``
-    are the edges that an earlier call returned, which go with the labels of ``shared``.
+    are the edges that an earlier call returned, which go with the labels of ``shared``. Where ``shared`` has a
+    column ``degree``, that is what first pivots are chosen by, and no bucket row is joined for it.
 
     ``verify`` takes candidates ``(bucket, a, b)`` and returns those that link.
     """
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    degrees = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("degree"))
-    open_ = shared.join(degrees, "node").select(
+    if "degree" not in shared.columns:
+        shared = shared.join(bucket_degrees(shared), "node")
+    open_ = shared.select(
         "bucket", "node", F.col("node" if stars is None else "label").alias("label"), "degree"
     )
     for turn in range(rounds):
@@ -98,7 +105,7 @@ def pivot_links(
             F.max("label").alias("hi"),
         )
         pivots = pivots.filter("lo <> hi").select("bucket", "pivot")
-        held = cut_lineage(open_.join(pivots, "bucket"), "pivots")
+        held = cut_lineage(open_.join(pivots, "bucket"), "pivots", drop_shuffles=True)
         candidates = held.filter("label <> pivot.label").select(
             "bucket", F.col("pivot.node").alias("a"), F.col("node").alias("b")
         )
@@ -118,7 +125,7 @@ def unsettled(open_: DataFrame) -> DataFrame:
     """The rows ``(bucket, node, label)`` of buckets that span labels, written."""
     span = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     several = span.filter("lo <> hi").select("bucket")
-    return cut_lineage(open_.join(several, "bucket", "left_semi"), "unsettled")
+    return cut_lineage(open_.join(several, "bucket", "left_semi"), "unsettled", drop_shuffles=True)
 
 
 def across_labels(open_: DataFrame, block: int) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import (
     across_labels,
+    bucket_degrees,
     connected_components,
     pivot_links,
     shared_buckets,
@@ -150,13 +151,19 @@ def near_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     # The few buckets of equal segments tie most of a group together.
     first = F.explode(_bucket_keys(F.col("node"), max_bits, True)).alias("bucket")
-    stars, _ = pivot_links(shared_buckets(prints.select(first, "node")), verify, ROUNDS)
-    # Of all buckets only those are looked at that hold nodes not tied together by then.
+    alike = shared_buckets(prints.select(first, "node"))
+    degrees = cut_lineage(bucket_degrees(alike), "degrees")
+    ranked = cut_lineage(alike.join(degrees, "node"), "ranked")
+    stars, _ = pivot_links(ranked, verify, ROUNDS)
+    # Of all buckets only those are looked at that hold nodes not tied together by then. Nodes bring their
+    # degree along, so the many rows of these buckets are not joined for it.
     known = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labelled = prints.select("node").join(known, "node", "left")
-    labelled = cut_lineage(labelled.withColumn("label", F.coalesce("label", "node")), "labelled")
+    labelled = prints.select("node").join(known, "node", "left").join(degrees, "node", "left")
+    labelled = labelled.select(
+        "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")
+    )
     keys = F.explode(_bucket_keys(F.col("node"), max_bits)).alias("bucket")
-    shared = shared_buckets(labelled.select(keys, "node", "label"))
+    shared = shared_buckets(cut_lineage(labelled, "labelled").select(keys, "node", "label", "degree"))
     links, open_ = pivot_links(shared, verify, ROUNDS, stars)
     rest = verify(across_labels(cut_lineage(open_, "open"), BLOCK)).select("a", "b")
     return connected_components(links.union(rest))

@@ -22,3 +22,21 @@ def test_buckets_are_joined_once_a_pass(spark, monkeypatch):
                 low, high = sorted((label[a], label[b]))
                 label = {n: low if c == high else c for n, c in label.items()}
     assert {n: found.get(n, n) for n in nodes} == label
+
+
+def test_degrees_given_are_not_joined_for(spark, monkeypatch):
+    """Rows that bring their degree are joined to nothing for it, and the first pivot is the one of most members."""
+    rows = [(b, n, n, 5 if n == 7 else 1) for b in (1, 2) for n in range(5 * b, 5 * b + 5)]
+    given = spark.createDataFrame(rows, "bucket long, node long, label long, degree long")
+    counted = {r["node"]: r["degree"] for r in components.bucket_degrees(given).collect()}
+    assert counted == {n: 5 for _, n, *_ in rows}
+    monkeypatch.setattr(components, "bucket_degrees", None)
+    held = []
+
+    def verify(candidates):
+        held.extend(candidates.collect())
+        return candidates
+
+    stars, _ = components.pivot_links(given, verify, 1)
+    assert {(r["bucket"], r["a"]) for r in held} == {(1, 7), (2, 10)} and len(held) == 8
+    assert {(r["a"], r["b"]) for r in stars.collect() if r["a"] != r["b"]} == {(n, 5 * b) for b, n, *_ in rows if n != 5 * b}
