@@ -12,10 +12,18 @@ stays, all others are removed from their documents.
 Words are separated by ASCII white space and compared without regard to ASCII case. Classes are told
 apart by 64-bit hashes. Null texts have no paragraphs. Null ids come last in order. Rows that repeat
 both id and text are one document: what is removed from one is removed from all of them.
+
+A passage may also repeat within longer paragraphs that are not similar. With ``passage``, the least number
+of words of one, paragraphs have as many words, and each run of so many words that a document before has goes
+too, wherever it stands. Such runs are windows that slide over the words of the whole text. A window is filed
+under the MinHash of its shingles, and adjacent windows of one MinHash are a block. Windows are alike only within
+a bucket of several documents: its blocks are compared as wholes by a hash of all their words and, where they
+differ, window by window, so none is missed.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +51,12 @@ WIDTH = 4096
 STEP = 1 << 17
 # Words of a text that are taken together; a line or passage is never parted.
 STRETCH = 1 << 14
+# Bytes of a text whose windows are taken together.
+PART = 1 << 20
 # Numbers for bytes, none for the space between words; a base with its inverse; joins hashes of words.
 BYTES = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BYTES[32] = 0
+BYTES[[32, *range(9, 14)]] = 0
+LOWERED = BYTES[list(LOWER)]
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x9E3779B97F4A7C15 ^ 64)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -63,6 +74,7 @@ def _class(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 Unit = tuple[int, int, int | None, int, int]
 
 
@@ -106,17 +118,31 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 POWERS, INVERSES = _powers(BASE, 1 << 16), _powers(INVERSE, 1 << 16)
 
 
+def _table(powers: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
+    return powers[:n] if n <= len(powers) else _powers(base, n)
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     """Sums of random numbers for bytes times powers by place, stirred: all words in a few passes."""
     data = np.frombuffer(b" ".join(words), np.uint8)
-    starts = np.append(0, np.flatnonzero(data == 32) + 1)
-    n = len(data)
-    powers = POWERS if n <= len(POWERS) else _powers(BASE, n)
-    inverses = INVERSES if n <= len(INVERSES) else _powers(INVERSE, n)
-    sums = np.add.reduceat(BYTES[data] * powers[:n], starts) * inverses[starts]
+    return _hashes_at(BYTES[data], np.append(0, np.flatnonzero(data == 32) + 1))
+
+
+def _hashes_at(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words that start there; white space counts for nothing."""
+    n = len(numbers)
+    sums = np.add.reduceat(numbers * _table(POWERS, BASE, n), starts)
+    sums *= _table(INVERSES, INVERSE, n)[starts]
     return (sums ^ sums >> np.uint64(32)) * FACTOR
 
 
+def _starts(data: np.ndarray) -> np.ndarray:
+    """Where words start."""
+    word = (data != 32) & ((data < 9) | (data > 13))
+    word[1:] &= ~word[:-1].copy()
+    return np.flatnonzero(word)
+
+
 def _shingles(words: list[bytes]) -> np.ndarray:
     """A hash of every run of ``SHINGLE`` words, put together from hashes of the words.
 
@@ -126,13 +152,52 @@ def _shingles(words: list[bytes]) -> np.ndarray:
     runs = len(words) - SHINGLE + 1
     if runs < 1:
         return np.zeros(0, np.uint64)
-    hashes = _word_hashes(words)
+    return _joined(_word_hashes(words), SHINGLE)
+
+
+def _joined(hashes: np.ndarray, count: int) -> np.ndarray:
+    """A hash of every run of ``count`` words, there being as many at least."""
+    runs = len(hashes) - count + 1
     out = hashes[:runs]
-    for i in range(1, SHINGLE):
+    for i in range(1, count):
         out = out * FACTOR + hashes[i : i + runs]
     return out
 
 
+def _least(values: np.ndarray, count: int) -> np.ndarray:
+    """The least of every ``count`` adjacent values."""
+    runs, width = len(values) - count + 1, 1
+    while 2 * width <= count:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return np.minimum(values[:runs], values[count - width : count - width + runs])
+
+
+def _windows(text: bytes, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The windows of ``size`` words, part by part: number of the first, buckets, and hashes of the words."""
+    end, at, kept = 0, 0, np.zeros(0, np.uint64)
+    while end < len(text):
+        start, end = end, end + PART
+        # A part ends where a word does.
+        gap = SPACE.search(text, end) if end < len(text) else None
+        end = gap.start() if gap else len(text)
+        data = np.frombuffer(text, np.uint8)[start:end]
+        words = _starts(data)
+        if not len(words):
+            continue
+        hashes = _hashes_at(LOWERED[data], words)
+        hashes = np.concatenate([kept, hashes]) if len(kept) else hashes
+        more = max(0, len(hashes) - size + 1)
+        if more:
+            width, n = min(SHINGLE, size), len(hashes)
+            least = _least(permuted(_joined(hashes, width), HASHES), size - width + 1)
+            sums = np.append(np.uint64(0), np.cumsum(hashes * _table(POWERS, BASE, n)))
+            windows = (sums[size:] - sums[:more]) * _table(INVERSES, INVERSE, n)[:more]
+            yield at, permuted(least, -1), windows
+        at += more
+        kept = hashes[more:]
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
@@ -238,9 +303,9 @@ def linked_classes(
 ) -> DataFrame:
     """``(node, component)`` of the classes that are similar to another one."""
     members = found.select(F.explode("buckets").alias("bucket"), "node")
-    shared = cut_lineage(shared_buckets(members).distinct(), "bands")
+    shared = cut_lineage(shared_buckets(members).distinct(), "bands", drop_shuffles=True)
     sets = shingle_sets(docs, shared.select("node").distinct(), min_words)
-    sets = cut_lineage(sets, "shingles")
+    sets = cut_lineage(sets, "shingles", drop_shuffles=True)
 
     def verify(candidates: DataFrame) -> DataFrame:
         pairs = candidates.select(
@@ -333,7 +398,7 @@ def repeated_paragraphs(
         F.col(text).alias("text"),
     )
     found = paragraphs(rows, band_rows(threshold, recall, HASHES), min_words)
-    found = cut_lineage(found, "paragraphs")
+    found = cut_lineage(found, "paragraphs", drop_shuffles=True)
     classes = linked_classes(rows, found, threshold, min_words)
     named = found.drop("buckets").join(classes, "node", "left")
     named = named.withColumn("label", F.coalesce("component", "node"))
@@ -346,7 +411,7 @@ def repeated_paragraphs(
     )
     several = ranges.filter("low <> high").select("label", "outer")
     repeats = named.join(several, "label").select("label", "outer", "order", "passage")
-    repeats = cut_lineage(repeats, "repeats")
+    repeats = cut_lineage(repeats, "repeats", drop_shuffles=True)
     # Whole passages and lines of their own: all but the first go.
     later = F.col("passage").isNull() & (F.col("order") != F.col("outer"))
     gone = repeats.filter(later & (F.col("order.place") < F.col("order.last"))).select(
@@ -360,7 +425,7 @@ def repeated_paragraphs(
         & (F.col("passage") == F.col("p"))
     )
     # Lines of passages that stay: all but the first of what is left go.
-    left = cut_lineage(repeats.join(gone.distinct(), within, "left_anti"), "left")
+    left = cut_lineage(repeats.join(gone.distinct(), within, "left_anti"), "left", drop_shuffles=True)
     first = left.filter(~later).groupBy("label").agg(F.min("order").alias("first"))
     single = (F.col("order.place") == F.col("order.last")) & (F.col("order") != F.col("first"))
     again = left.join(first, "label").filter(later | single)
@@ -372,11 +437,199 @@ def repeated_paragraphs(
     )
 
 
-def remove_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def _blocks(buckets: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, length and hash of each run of adjacent windows in one bucket."""
+    starts = np.append(0, np.flatnonzero(buckets[1:] != buckets[:-1]) + 1)
+    sizes = np.diff(np.append(starts, len(buckets)))
+    place = (np.arange(len(buckets)) - np.repeat(starts, sizes)) % len(POWERS)
+    sums = np.add.reduceat(permuted(windows, 0) * POWERS[place], starts)
+    return starts, sizes, permuted(sums ^ sizes.astype(np.uint64), -1)
+
+
+def repeated_windows(rows: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, text_hash, at, count, keepers)`` of windows that an earlier document has.
+
+    ``rows`` is ``(doc_id, text_hash, text)``. ``count`` windows start at word ``at`` and at those after it;
+    words are numbered through the whole text.
+    """
+    rows = rows.withColumn("owner", F.xxhash64("doc_id", "text_hash"))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, total = [], 0
+            for i, text in enumerate(binary(batch.column("text"))):
+                for at, buckets, windows in _windows(text, size):
+                    starts, sizes, blocks = _blocks(buckets, windows)
+                    own = np.full(len(starts), i)
+                    found.append((own, at + starts, sizes, buckets[starts].view(np.int64), blocks.view(np.int64)))
+                    total += len(starts)
+                if total >= STEP:
+                    yield table(batch, found)
+                    found, total = [], 0
+            if found:
+                yield table(batch, found)
+
+    def table(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        own, *columns = (pa.array(np.concatenate(c)) for c in zip(*found))
+        given = [batch.column(c).take(own) for c in names[:3]]
+        return pa.RecordBatch.from_arrays([*given, *columns], names)
+
+    names = ["doc_id", "text_hash", "owner", "at", "count", "bucket", "block"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    longs = ", ".join(f"{c} long" for c in names[1:])
+    filed = cut_lineage(rows.mapInArrow(file, f"doc_id {kind}, {longs}"), "blocks", drop_shuffles=True)
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("owner", "block") for f in (F.min, F.max)]
+    span = filed.groupBy("bucket").agg(*ends).filter("owner_min <> owner_max")
+    span = span.select("bucket", F.expr("block_min <> block_max").alias("mixed")).hint("merge")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    shared = filed.join(span, "bucket").withColumn("order", order)
+    shared = cut_lineage(shared.drop("bucket", "doc_id", "text_hash", "owner"), "shared", drop_shuffles=True)
+    ends = [F.min("order").alias("first"), F.max("order").alias("last")]
+    firsts = cut_lineage(shared.groupBy("block", "mixed").agg(*ends), "firsts", drop_shuffles=True)
+    # Where all blocks of a bucket are alike, all but those of the first document go.
+    several = firsts.filter("NOT mixed AND first <> last").select("block", "first").hint("merge")
+    later = shared.filter("NOT mixed").join(several, "block").filter("order <> first")
+    later = later.select("order", "at", "count", F.array("first.doc_id").alias("keepers"))
+
+    mixed = firsts.filter("mixed").drop("mixed")
+    # Each block is looked at in the first document that has it.
+    value = F.col("block").bitwiseXOR(F.xxhash64("first.doc_id", "first.text_hash")).alias("value")
+    bits, bitmap = value_filter(mixed.select(value))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners = batch.column("owner").to_numpy().view(np.uint64)
+            found, total = [], 0
+            for owner, text in zip(owners, binary(batch.column("text"))):
+                for _, buckets, windows in _windows(text, size):
+                    _, sizes, blocks = _blocks(buckets, windows)
+                    want = passes(blocks ^ owner, bits, bitmap.value)
+                    if want.any():
+                        found.append((blocks[want], sizes[want], windows[np.repeat(want, sizes)]))
+                        total += len(found[-1][2])
+                if total >= STEP:
+                    yield lists(found)
+                    found, total = [], 0
+            if found:
+                yield lists(found)
+
+    def lists(found: list) -> pa.RecordBatch:
+        blocks, sizes, inside = (np.concatenate(c).view(np.int64) for c in zip(*found))
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        inside = pa.ListArray.from_arrays(pa.array(ends), pa.array(inside))
+        return pa.RecordBatch.from_arrays([pa.array(blocks), inside], ["block", "windows"])
+
+    held = rows.select("owner", "text").mapInArrow(look, "block long, windows array<long>")
+    held = held.dropDuplicates(["block"]).join(mixed.hint("merge"), "block")
+    held = held.select("block", "first", "last", F.posexplode("windows").alias("place", "window"))
+    held = cut_lineage(held, "windows", drop_shuffles=True)
+    least = held.groupBy("window").agg(F.min("first").alias("least"))
+    found = held.join(least.hint("merge"), "window").filter("least <> last")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("place", "least")).alias("found"))
+    inner = shared.filter("mixed").join(cut_lineage(found, "found", drop_shuffles=True).hint("merge"), "block")
+    inner = inner.select("order", "at", F.expr("filter(found, x -> x.least < order)").alias("found"))
+    places = F.array_sort("found.place")
+    # Places that are adjacent go as one range.
+    runs = F.arrays_zip(
+        F.filter(places, lambda p, i: F.coalesce(F.get(places, i - 1) < p - 1, F.lit(True))).alias("low"),
+        F.filter(places, lambda p, i: F.coalesce(F.get(places, i + 1) > p + 1, F.lit(True))).alias("high"),
+    )
+    keepers = F.array_distinct("found.least.doc_id").alias("keepers")
+    inner = inner.select("order", "at", keepers, F.explode(runs).alias("run"))
+    inner = inner.select(
+        "order",
+        F.expr("at + run.low").alias("at"),
+        F.expr("CAST(run.high - run.low + 1 AS long)").alias("count"),
+        "keepers",
+    )
+    return later.union(inner).select("order.doc_id", "order.text_hash", "at", "count", "keepers")
+
+
+def _without(text: bytes, places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
+    """The text without these lines and ranges of words and the white space after them, and how many words went."""
+    data = np.frombuffer(text, np.uint8)
+    words = _starts(data)
+    lines = np.cumsum(data == 10)[words]
+    depth = np.zeros(len(words) + 1, np.int64)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, ends, -1)
+    gone = (np.cumsum(depth)[:-1] > 0) | np.isin(lines, places)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+    cuts = np.append(words, len(data))[edges].tolist()
+    return b"".join(text[a:b] for a, b in zip([0, *cuts[1::2]], [*cuts[::2], len(data)])), int(gone.sum())
+
+
+def remove_passages(
+    docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", **how
+) -> DataFrame:
+    """``docs`` without paragraphs of ``size`` words or more and windows of ``size`` words that repeat."""
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
+    )
+    added = ["_places", "_starts", "_ends"]
+    none = F.lit(None).cast("long")
+    again = repeated_paragraphs(docs, doc_id, text, min_words=size, **how)
+    again = again.select(
+        "doc_id",
+        "text_hash",
+        F.col("place").cast("long"),
+        none.alias("at"),
+        none.alias("end"),
+        F.array("keeper").alias("keepers"),
+    )
+    end = F.col("at") + F.col("count") + (size - 1)
+    inside = repeated_windows(rows, size)
+    again = again.union(inside.select("doc_id", "text_hash", none, "at", end, "keepers"))
+    per_doc = again.groupBy(
+        F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")
+    ).agg(
+        F.collect_set("place").alias("_places"),
+        F.collect_list("at").alias("_starts"),
+        F.collect_list("end").alias("_ends"),
+        F.collect_set("keepers").alias("_keepers"),
+    )
+    keepers = F.sort_array(F.array_distinct(F.array_compact(F.flatten("_keepers")))).alias("keepers")
+    per_doc = per_doc.select("_doc_id", "_text_hash", *added, keepers)
+    per_doc = cut_lineage(per_doc, "removed", drop_shuffles=True)
+    docs = docs.drop("kept_text", "n_removed", "keepers")
+    same = F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.xxhash64(text) == F.col("_text_hash"))
+    joined = docs.join(per_doc, same, "left").select(
+        *docs.columns,
+        *added,
+        F.col(text).alias("kept_text"),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.coalesce("keepers", F.array()).alias("keepers"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, counts = batch.column("kept_text").cast(pa.binary()).to_pylist(), [0] * len(batch)
+            found = batch.column("_places").is_valid().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(found).tolist():
+                lists = [batch.column(c)[i].values.to_numpy() for c in added]
+                kept[i], counts[i] = _without(kept[i], *lists)
+            left = batch.drop_columns(added)
+            at = left.schema.get_field_index("kept_text")
+            left = left.set_column(at, "kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
+            yield left.set_column(at + 1, "n_removed", pa.array(counts, pa.int64()))
+
+    return joined.mapInArrow(run, joined.drop(*added).schema)
+
+
+def remove_paragraphs(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    passage: int | None = None,
+    **how,
+) -> DataFrame:
     """``docs`` with ``kept_text, n_removed, keepers`` added; columns of these names are replaced.
 
-    ``keepers`` are the ids of the documents that keep what was removed, sorted.
+    ``keepers`` are the ids of the documents that keep what was removed, sorted; ``n_removed`` counts
+    lines or, with ``passage``, words.
     """
+    if passage:
+        return remove_passages(docs, passage, doc_id, text, **how)
     again = repeated_paragraphs(docs, doc_id, text, **how)
     per_doc = again.groupBy(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")

@@ -146,7 +146,8 @@ def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = paragraphs.remove_paragraphs(docs)
+    # Passages of over 50 words, words counted; documents that share short lines only are left alone.
+    found = paragraphs.remove_paragraphs(docs, passage=51)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     return found.select("doc_id", n_bytes, "n_removed", digest, "keepers")

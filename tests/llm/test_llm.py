@@ -193,6 +193,50 @@ def test_wrapped_and_short_paragraphs(spark):
     assert [(got[i]["n_removed"], got[i]["keepers"]) for i in range(4)] == [(0, []), (6, [0]), (1, [0]), (1, [0])]
 
 
+def test_passages_within_lines(spark, docs, empty, monkeypatch):
+    """Runs of over 50 words go wherever they stand; documents that share less are left alone."""
+    rng = random.Random(4)
+
+    def words(n):
+        return [f"w{rng.randint(0, 99999)}" for _ in range(n)]
+
+    shared, short, line = words(51), words(50), words(30)
+    a, b, c, d = words(40), words(70), words(60), words(80)
+    texts = [
+        " ".join(a + shared + b) + "\n" + " ".join(line),
+        " ".join(line) + "\n" + " ".join(c[:30] + short + c[30:]),
+        # Within a longer line, wrapped over lines, and in other case.
+        " ".join(d[:45]) + "  " + " ".join(shared[:9]).upper() + "\n" + " ".join(shared[9:]) + "\t" + " ".join(d[45:]),
+        " ".join(short) + "\n" + " ".join(line),
+        " ".join(a + shared[:-1]),
+    ]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(paragraphs, "PART", 100)
+    got = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(given, passage=51).collect()}
+    kept = [*texts[:2], " ".join(d[:45]) + "  " + " ".join(d[45:]), texts[3], ""]
+    assert [got[i]["kept_text"] for i in range(5)] == kept
+    found = [(got[i]["n_removed"], got[i]["keepers"]) for i in range(5)]
+    assert found == [(0, []), (0, []), (51, [0]), (0, []), (90, [0])]
+    assert paragraphs.remove_paragraphs(empty, passage=51).count() == 0
+    assert paragraphs.remove_paragraphs(docs, passage=51).count() == docs.count()
+
+
+def test_windows():
+    rng = random.Random(6)
+    words = [b"%d" % rng.randint(0, 4) for _ in range(3000)]
+    for size in (1, 3, 7, 51):
+        for part in (16, 1 << 20):
+            paragraphs.PART, before = part, paragraphs.PART
+            found = [*paragraphs._windows(b" \n".join(words) + b" ", size)]
+            paragraphs.PART = before
+            assert [i for at, b, _ in found for i in range(at, at + len(b))] == [*range(3000 - size + 1)]
+            both = [x for _, b, w in found for x in zip(b.tolist(), w.tolist())]
+            by = {}
+            for i, x in enumerate(both):
+                assert by.setdefault(tuple(words[i : i + size]), x) == x
+            assert len({w for _, w in by.values()}) == len(by)
+
+
 def test_personal_data(docs, empty, spark):
     patterns = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
