@@ -528,7 +528,9 @@ def repeated_windows(rows: DataFrame, size: int) -> DataFrame:
     found = found.groupBy("block").agg(F.collect_list(F.struct("place", "least")).alias("found"))
     inner = shared.filter("mixed").join(cut_lineage(found, "found", drop_shuffles=True).hint("merge"), "block")
     inner = inner.select("order", "at", F.expr("filter(found, x -> x.least < order)").alias("found"))
-    places = F.array_sort("found.place")
+    # A column of its own, so that it is sorted once for a block and not for each place.
+    inner = inner.withColumn("places", F.array_sort("found.place"))
+    places = F.col("places")
     # Places that are adjacent go as one range.
     runs = F.arrays_zip(
         F.filter(places, lambda p, i: F.coalesce(F.get(places, i - 1) < p - 1, F.lit(True))).alias("low"),
