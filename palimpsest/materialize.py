@@ -40,10 +40,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_lineage(
-    df: DataFrame, name: str = "table", drop_shuffles: bool = False, codec: str | None = None
+    df: DataFrame, name: str = "table", drop_shuffles: bool = True, codec: str | None = None
 ) -> DataFrame:
     """``df`` written and read back; ``drop_shuffles`` deletes at once what its job shuffled.
 
+    Else shuffles of all stages lie on disk together, until the driver happens to collect its garbage.
+
     ``codec`` is that of the files, if not the session's: texts take less room with ``zstd``.
     """
     conf = df.sparkSession.conf

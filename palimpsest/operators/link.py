@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import TOP
+from palimpsest.materialize import cut_lineage
 from palimpsest.operators.embed import Embed
 
 TITLE_THRESHOLD = 0.8
@@ -52,8 +53,10 @@ def link_edits(
 
     ``edits`` is read more than once, so it should be a table rather than a long plan. It needs
     ``article, seq, rev_id, section, content`` with ``seq`` counting from 0 within an article.
+    Links are written, so that what the embedding shuffled is gone when texts are shuffled to be attached.
     """
     links = _links(edits, embed, title_threshold, content_threshold, lookback)
+    links = cut_lineage(links, "links")
     return attach_previous(edits, links, lookback)
 
 

@@ -62,7 +62,7 @@ def prompts_for_model(
     linked: DataFrame, taxonomy: DataFrame, taxonomy_first_time: DataFrame
 ) -> DataFrame:
     """Prompts, written before they leave for the model so that answers stay aligned with them."""
-    return cut_lineage(build_prompts(linked, taxonomy, taxonomy_first_time), "prompts")
+    return cut_lineage(build_prompts(linked, taxonomy, taxonomy_first_time), "prompts", codec="zstd")
 
 
 def answered(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:

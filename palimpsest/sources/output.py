@@ -44,9 +44,9 @@ def labelled_edits(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("prev_content", previous).select(*COLUMNS)
 
 
-def write_parquet(labelled: DataFrame, path: str) -> None:
-    """The typed form: labels as an array, explanations as a map."""
-    labelled.write.parquet(path)
+def write_parquet(labelled: DataFrame, path: str, codec: str | None = None) -> None:
+    """The typed form: labels as an array, explanations as a map. ``codec`` is that of the files, if not the session's."""
+    labelled.write.parquet(path, compression=codec)
 
 
 def write_csv(labelled: DataFrame, path: str) -> None:

@@ -672,7 +672,7 @@ def chain_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match types, distances and parse rate, all from the run that writes the labelled history."""
     linked, links = observed_links(linked_revisions(spark, sf_dir))
     parsed, answers = observed_answers(answered_prompts(spark, sf_dir, linked))
-    write_parquet(labelled_edits(parsed), scratch_path(spark, "labelled"))
+    write_parquet(labelled_edits(parsed), scratch_path(spark, "labelled"), codec="zstd")
     figures = link_figures(links)
     types = [(kind, n) for kind, n in figures.pop("types").items()]
     rows = [*types, *((name, value) for name, value in (figures | answers.get).items())]
