@@ -39,6 +39,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_tables: set[str] = set()
+
+
 def cut_lineage(
     df: DataFrame, name: str = "table", drop_shuffles: bool = True, codec: str | None = None
 ) -> DataFrame:
@@ -50,6 +53,7 @@ def cut_lineage(
     """
     conf = df.sparkSession.conf
     path = scratch_path(df.sparkSession, name)
+    _tables.add(path.rsplit("/", 1)[1])
     before = conf.get(CLEANUP, None)
     if drop_shuffles:
         conf.set(CLEANUP, "true")
@@ -59,3 +63,12 @@ def cut_lineage(
         if drop_shuffles:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(df: DataFrame) -> None:
+    """Deletes the tables of ``cut_lineage`` that ``df`` reads, and nothing else. No one may need them any more."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1] in _tables:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

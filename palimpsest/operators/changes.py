@@ -1,21 +1,30 @@
 """Change detection: which sections differ from the article's previous revision.
 
-Only outlines (titles, line ranges, fingerprints) take part in ordering and comparison. Full texts
-are shuffled once, at the end, to fetch the bodies of the sections that did change.
+Only outlines (titles, line ranges, fingerprints) take part in ordering and comparison. Texts are
+shuffled once, at the end, to fetch the bodies of the sections that did change; lines of other sections
+are left out of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bind, level_stars
 from palimpsest.materialize import cut_lineage
 from palimpsest.operators.ordering import SLICE, at_edges, carried, slice_by_order, slice_window
-from palimpsest.operators.sections import filled, outline, with_text
+from palimpsest.operators.sections import filled, lines_of, outline, with_text
 
 KEY = ["article"]
 ANONYMOUS = "Anonymous/Bot"
+# The bitmap of lines that are asked for: bits for each of them, at most (16 MB), and of one value that
+# ``bitmap_construct_agg`` returns.
+LINE_BITS = 16
+MOST_BITS = 1 << 27
+WORD_BITS = 1 << 15
 
 
 def _order(df: DataFrame) -> list[str]:
@@ -107,11 +116,58 @@ def changed_sections(revisions: DataFrame, slices: int | None = None) -> DataFra
     )
 
 
-def _with_bodies(sets: DataFrame, revisions: DataFrame) -> DataFrame:
-    """The only shuffle of texts: they are sent to the revisions that changed anything."""
+def _line_bits(sets: DataFrame, key: list[str], most: int) -> np.ndarray:
+    """A bitmap in which the lines of changed sections have bits. Where it is crowded, others have too."""
+    lines = F.aggregate("sections", F.lit(0).cast("long"), lambda n, s: n + s["n_lines"])
+    wanted = LINE_BITS * (sets.agg(F.sum(lines)).first()[0] or 0)
+    bits = WORD_BITS
+    while bits < min(wanted, most):
+        bits *= 2
+    asked = sets.select(*key, F.explode("sections").alias("_s")).filter("_s.n_lines > 0")
+    line = F.sequence(F.col("_s.first_line"), F.col("_s.first_line") + F.col("_s.n_lines") - 1)
+    place = _line_place(key, F.col("_line"), bits).alias("_place")
+    places = asked.select(*key, F.explode(line).alias("_line")).select(place)
+    word = F.floor(F.col("_place") / WORD_BITS).alias("word")
+    words = places.groupBy(word).agg(F.bitmap_construct_agg(F.col("_place") % WORD_BITS).alias("bits"))
+    bitmap = np.zeros((bits // WORD_BITS, WORD_BITS // 8), np.uint8)
+    for row in words.collect():
+        bitmap[row["word"]] = np.frombuffer(row["bits"], np.uint8)
+    return bitmap.reshape(-1)
+
+
+def _line_place(key: list[str], line: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(*key, line), F.lit(bits))
+
+
+def _asked_lines(revisions: DataFrame, key: list[str], bitmap: np.ndarray) -> DataFrame:
+    """Revisions whose texts have empty lines in place of those without a bit, so line numbers stay."""
+    shared = revisions.sparkSession.sparkContext.broadcast(bitmap)
+    bits = 8 * len(bitmap)
+
+    @F.arrow_udf("array<boolean>")
+    def asked(places: pa.Array) -> pa.Array:
+        place = places.flatten().to_numpy()
+        has_bit = shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+        ends = np.cumsum(pc.list_value_length(places).to_numpy())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(has_bit))
+
+    lines = lines_of(F.col("wikitext"))
+    places = F.transform(lines, lambda _, i: _line_place(key, i, bits))
+    kept = F.zip_with(lines, "_asked", lambda line, yes: F.when(yes, line).otherwise(""))
+    marked = revisions.withColumn("_asked", asked(places))
+    return marked.withColumn("wikitext", F.array_join(kept, "\n")).drop("_asked")
+
+
+def _with_bodies(sets: DataFrame, revisions: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The only shuffle of texts: they are sent to the revisions that changed anything.
+
+    Of a text go the lines of changed sections, which a bitmap of bounded size tells, and here and there others.
+    """
     # As one value the key is the same also where a part of it is null.
-    key = F.struct(*KEY, *_order(revisions)).alias("_key")
-    texts = with_text(revisions).select(key, "wikitext")
+    names = [*KEY, *_order(revisions)]
+    key = F.struct(*names).alias("_key")
+    asked = _asked_lines(with_text(revisions), names, _line_bits(sets, names, most_bits))
+    texts = asked.select(key, "wikitext")
     found = sets.withColumn("_key", key).join(texts, "_key")
     bodies = filled(F.col("wikitext"), F.col("sections"))
     return _rows(found.withColumn("sections", bodies).drop("wikitext", "_key"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.similarity import cosine, title_similarity
 from palimpsest.functions.text import TOP
-from palimpsest.materialize import cut_lineage, scratch_path
+from palimpsest.materialize import cut_lineage, drop_tables, scratch_path
 from palimpsest.operators.changes import changed_sections, continue_edits, section_edits
 from palimpsest.operators.embed import (
     column_embedding,
@@ -273,9 +273,11 @@ def linked_columns(linked: DataFrame) -> DataFrame:
 
 
 def linked_revisions(spark: SparkSession, sf_dir: str, **settings: float) -> DataFrame:
-    return link_revisions(
-        written_revisions(spark, sf_dir), views.embedding(spark, sf_dir), **settings
-    )
+    revisions = written_revisions(spark, sf_dir)
+    linked = link_revisions(revisions, views.embedding(spark, sf_dir), **settings)
+    # What was found in them is written.
+    drop_tables(revisions)
+    return linked
 
 
 @query
@@ -672,6 +674,8 @@ def chain_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match types, distances and parse rate, all from the run that writes the labelled history."""
     linked, links = observed_links(linked_revisions(spark, sf_dir))
     parsed, answers = observed_answers(answered_prompts(spark, sf_dir, linked))
+    # Prompts are written, and hold the texts.
+    drop_tables(linked)
     write_parquet(labelled_edits(parsed), scratch_path(spark, "labelled"), codec="zstd")
     figures = link_figures(links)
     types = [(kind, n) for kind, n in figures.pop("types").items()]
